@@ -217,6 +217,11 @@ def _utc_session(plans) -> bool:
     return plans[0].frame.sparkSession.conf.get("spark.sql.session.timeZone") in UTC_NAMES
 
 
+def _number(name: str) -> Column:
+    """Never null, or joins on it would add filters that keep Spark from sharing a shuffle."""
+    return F.coalesce(F.col(name).cast("int"), F.lit(-1))
+
+
 def value_frequencies(plans, wanted=None) -> dict[str, DataFrame]:
     """How often each value occurs in each column, as (column_id, value, freq) per kind of key.
 
@@ -239,7 +244,7 @@ def value_frequencies(plans, wanted=None) -> dict[str, DataFrame]:
             stacked.setdefault(kind, []).append(rows)
     counted = {}
     for kind, frames in stacked.items():
-        rows = union_all(frames).withColumn("column_id", F.col("column_id").cast("int"))
+        rows = union_all(frames).withColumn("column_id", _number("column_id"))
         if kind == "text":
             long = F.octet_length("value") > LONG_TEXT_BYTES
             rows = rows.select(
@@ -334,7 +339,7 @@ def _with_long_texts(plans, ranked: DataFrame) -> DataFrame:
         union_all(sources)
         .where(F.octet_length("text") > LONG_TEXT_BYTES)
         .select(
-            F.col("column_id").cast("int").alias("column_id"),
+            _number("column_id").alias("column_id"),
             F.unhex(F.md5("text")).alias("digest"),
             "text",
         )
@@ -371,24 +376,42 @@ def has_samples(plan: TablePlan, column: ColumnSpec) -> bool:
     return column.label in V.SAMPLED_LABELS and not name_has(column.name, V.UNSAMPLED_WORDS)
 
 
-def value_lists(plans, frequencies: dict[str, DataFrame], wanted) -> DataFrame:
-    """Per column the list of its most frequent values in order."""
-    named = name_columns(plans, top_values(plans, frequencies), wanted)
+def value_lists(tops: DataFrame) -> DataFrame:
+    """Per column_id the list of its most frequent values in order; a few entries each."""
     in_order = F.array_sort(F.collect_list(F.struct("rank", "value")))
-    return named.groupBy("table_name", "column_name").agg(
+    return tops.groupBy("column_id").agg(
         F.transform(in_order, lambda v: v["value"]).alias("values")
     )
 
 
-def repeated_keys(plans, frequencies: dict[str, DataFrame] | None = None) -> DataFrame:
+def value_summary(plans, frequencies: dict[str, DataFrame]) -> DataFrame:
+    """Per column_id distinct_count, repeated_count and the most frequent values.
+
+    Both sides read the same shuffled frequencies, which Spark then exchanges only once.
+    """
+    tops = value_lists(top_values(plans, frequencies))
+    return distinct_counts(frequencies).join(tops, "column_id", "left")
+
+
+def sample_values(plans) -> DataFrame:
+    """(table_name, column_name, values) for the columns that may be shown in prompts."""
+    frequencies = value_frequencies(plans, has_samples)
+    if not frequencies:
+        schema = "table_name string, column_name string, values array<string>"
+        return plans[0].frame.sparkSession.createDataFrame([], schema)
+    named = name_columns(plans, value_lists(top_values(plans, frequencies)))
+    return named.select("table_name", "column_name", "values")
+
+
+def repeated_keys(plans, summary: DataFrame | None = None) -> DataFrame:
     """Per table the number of key values that occur more than once; 0 without a key.
 
-    A one-column key is read off the value frequencies where these are at hand, which saves a
-    shuffle of the whole key column.
+    A one-column key is read off the value summary where this is at hand, which saves a shuffle
+    of the whole key column.
     """
 
     def is_whole_key(plan: TablePlan, column: ColumnSpec) -> bool:
-        return frequencies is not None and plan.primary_key == (column.name,)
+        return summary is not None and plan.primary_key == (column.name,)
 
     parts, single = [], False
     for plan in plans:
@@ -404,6 +427,6 @@ def repeated_keys(plans, frequencies: dict[str, DataFrame] | None = None) -> Dat
             none = F.lit(0).cast("long").alias("duplicate_count")
             parts.append(plan.frame.sparkSession.range(1).select(name, none))
     if single:
-        found = name_columns(plans, distinct_counts(frequencies), is_whole_key)
+        found = name_columns(plans, summary, is_whole_key)
         parts.append(found.select("table_name", F.col("repeated_count").alias("duplicate_count")))
     return union_all(parts)

@@ -7,14 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.functions import vocabulary as V
 from cartulary.functions.expressions import as_of_column
 from cartulary.operators import quality, schema, stats
+from cartulary.session import materialize
 from cartulary.sources.registry import Registry
 
 
 @dataclass(frozen=True)
 class Profile:
-    """Lazy results of a profile; nothing runs until one of them is used."""
+    """What a crawl knows about tables, columns and foreign keys."""
 
     tables: DataFrame
     columns: DataFrame
@@ -50,51 +52,55 @@ def described_columns(registry: Registry, names=None) -> DataFrame:
 
 
 def column_profile(
-    plans, facts: DataFrame, frequencies: dict, described: DataFrame | None = None
+    plans, facts: DataFrame, summary: DataFrame, described: DataFrame | None = None
 ) -> DataFrame:
     """All statistics per column, next to the descriptors where these are given.
 
-    Every input but the frequencies has a row per column of the schemas.
+    Every input has a row per column of the schemas.
     """
     keys = ["table_name", "column_name"]
-    counted = stats.column_ranges(stats.column_nulls(facts))
-    distinct = stats.name_columns(plans, stats.distinct_counts(frequencies))
-    tops = stats.value_lists(plans, frequencies, stats.has_top_values)
-    rows = counted.join(distinct.select(*keys, "distinct_count"), keys, "left").join(
-        tops.withColumnRenamed("values", "top_values"), keys, "left"
-    )
-    filled = F.col("row_count") > 0
-    rows = rows.withColumn("distinct_count", F.when(filled, F.col("distinct_count")))
+    named = stats.name_columns(plans, summary).select(*keys, "distinct_count", "values")
+    rows = stats.column_ranges(stats.column_nulls(facts)).join(named, keys, "left")
+    filled, is_text = F.col("row_count") > 0, F.col("clean_type").isin(*V.TEXT_LABELS)
+    rows = rows.withColumns(
+        {
+            "distinct_count": F.when(filled, F.col("distinct_count")),
+            "top_values": F.when(is_text, F.col("values")),
+        }
+    ).drop("values")
     if described is None:
         return rows
     extra = [c for c in described.columns if c not in ("ordinal", "clean_type")]
     return rows.join(described.select(extra), keys, "left")
 
 
-def profile_tables(
-    registry: Registry, as_of=None, names=None, sizes: bool = True
-) -> Profile:
+def column_statistics(registry: Registry, names=None) -> DataFrame:
+    """The statistics of all columns, lazily."""
+    plans = table_plans(registry, names)
+    facts = stats.union_all([stats.table_facts(p) for p in plans])
+    return column_profile(plans, facts, stats.value_summary(plans, stats.value_frequencies(plans)))
+
+
+def profile_tables(registry: Registry, as_of=None, names=None, sizes: bool = True) -> Profile:
     """Everything a crawl knows about the tables.
 
     Each table is scanned once for counts, ranges, freshness and rules. The values of all
     tables share one shuffle per kind of key, which serves distinct counts, most frequent
-    values and one-column keys alike.
+    values and one-column keys alike. Both passes run here, once; their results have a row per
+    table or column and are written to the shared folder for all that is derived from them.
     """
     names = list(names or registry.names())
     plans = table_plans(registry, names)
-    facts = stats.union_all([stats.table_facts(p) for p in plans])
+    facts = materialize(stats.union_all([stats.table_facts(p) for p in plans]), "table-facts")
     frequencies = stats.value_frequencies(plans)
-    described = described_columns(registry, names)
-    columns = column_profile(plans, facts, frequencies, described)
-    repeated = stats.repeated_keys(plans, frequencies)
+    summary = materialize(stats.value_summary(plans, frequencies), "value-summary")
+    columns = column_profile(plans, facts, summary, described_columns(registry, names))
+    repeated = stats.repeated_keys(plans, summary)
     tables = quality.score_tables(facts, repeated, as_of_column(as_of))
     foreign = schema.parse_foreign_keys(registry.raw_foreign_keys(names))
-    summary = _key_summary(registry, names, foreign)
-    tables = tables.join(F.broadcast(summary), "table_name", "left")
+    tables = tables.join(F.broadcast(_key_summary(registry, names, foreign)), "table_name", "left")
     if sizes:
         tables = tables.join(F.broadcast(registry.table_sizes(names)), "table_name", "left")
-    else:
-        tables = tables.withColumn("table_size_bytes", F.lit(None).cast("long"))
     return Profile(tables, columns, relationships(foreign))
 
 

@@ -115,6 +115,7 @@ class Registry:
         self.spark = spark
         self.sources = {s.name: s for s in sources}
         self.constraints = constraints or Constraints()
+        self._loaded: dict[str, DataFrame] = {}
 
     @classmethod
     def from_folder(cls, spark, folder, names, constraints=None, format="parquet", suffix=None):
@@ -139,7 +140,10 @@ class Registry:
         return sorted(n for n in self.sources if n not in CATALOG_TABLES)
 
     def load(self, name: str) -> DataFrame:
-        return self.sources[name].load(self.spark)
+        """The table; its schema is looked up once, on first use."""
+        if name not in self._loaded:
+            self._loaded[name] = self.sources[name].load(self.spark)
+        return self._loaded[name]
 
     def list_tables(self) -> DataFrame:
         """The tables to crawl as rows."""
