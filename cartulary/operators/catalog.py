@@ -194,12 +194,16 @@ def crawl_totals(outcomes: DataFrame) -> DataFrame:
 
     A table with an error counts neither itself nor its columns.
     """
+    return outcomes.agg(*_totals(), F.count("error").alias("error_count"))
+
+
+def _totals() -> list[Column]:
     good = F.col("error").isNull()
-    return outcomes.agg(
+    columns = F.sum(F.when(good, F.col("column_count")))
+    return [
         F.count_if(good).alias("tables_crawled"),
-        F.coalesce(F.sum(F.when(good, F.col("column_count"))), F.lit(0)).alias("columns_crawled"),
-        F.count("error").alias("error_count"),
-    )
+        F.coalesce(columns, F.lit(0)).alias("columns_crawled"),
+    ]
 
 
 def crawl_result(outcomes: DataFrame) -> DataFrame:
@@ -210,12 +214,11 @@ def crawl_result(outcomes: DataFrame) -> DataFrame:
     failed = F.when(
         F.col("error").isNotNull(), F.concat_ws(": ", F.col("table_name"), F.col("error"))
     )
-    totals = crawl_totals(outcomes)
-    errors = outcomes.agg(F.array_sort(F.collect_list(failed)).alias("errors"))
-    # One row on either side.
-    both = totals.withColumn("_one", F.lit(1)).join(errors.withColumn("_one", F.lit(1)), "_one")
+    totals = outcomes.agg(
+        *_totals(), F.array_sort(F.collect_list(failed)).alias("errors")
+    )
     clean = F.size("errors") == 0
-    return both.select(
+    return totals.select(
         "tables_crawled",
         "columns_crawled",
         F.when(clean, "success").otherwise("partial").alias("status"),

@@ -403,30 +403,32 @@ def sample_values(plans) -> DataFrame:
     return named.select("table_name", "column_name", "values")
 
 
-def repeated_keys(plans, summary: DataFrame | None = None) -> DataFrame:
-    """Per table the number of key values that occur more than once; 0 without a key.
+def has_one_column_key(plan: TablePlan, column: ColumnSpec) -> bool:
+    return plan.primary_key == (column.name,)
 
-    A one-column key is read off the value summary where this is at hand, which saves a shuffle
-    of the whole key column.
-    """
 
-    def is_whole_key(plan: TablePlan, column: ColumnSpec) -> bool:
-        return summary is not None and plan.primary_key == (column.name,)
+def repeated_keys(plans, summary: DataFrame | None = None) -> DataFrame:
+    """Per table with a key the number of key values that occur more than once.
 
-    parts, single = [], False
+    One-column keys are columns like any other: all tables share a shuffle of (column, value),
+    or none at all where the value summary of a profile is at hand. Only keys of several
+    columns are grouped table by table.
+    """
+    name, repeated = F.col("table_name"), F.col("repeated_count").alias("duplicate_count")
+    parts = []
+    if any(has_one_column_key(plan, c) for plan in plans for c in plan.columns):
+        if summary is None:
+            summary = distinct_counts(value_frequencies(plans, has_one_column_key))
+        named = name_columns(plans, summary, has_one_column_key)
+        parts.append(named.select(name, repeated))
     for plan in plans:
-        name = F.lit(plan.name).alias("table_name")
-        if any(is_whole_key(plan, c) for c in plan.columns):
-            single = True
-        elif plan.primary_key:
-            keys = [quoted(k) for k in plan.primary_key]
-            repeated = F.count_if(F.col("n") > 1).alias("duplicate_count")
-            groups = plan.frame.groupBy(keys).agg(F.count(F.lit(1)).alias("n"))
-            parts.append(groups.agg(repeated).select(name, "duplicate_count"))
-        else:
-            none = F.lit(0).cast("long").alias("duplicate_count")
-            parts.append(plan.frame.sparkSession.range(1).select(name, none))
-    if single:
-        found = name_columns(plans, summary, is_whole_key)
-        parts.append(found.select("table_name", F.col("repeated_count").alias("duplicate_count")))
+        if len(plan.primary_key) > 1:
+            groups = plan.frame.groupBy([quoted(k) for k in plan.primary_key])
+            counted = groups.agg(F.count(F.lit(1)).alias("n"))
+            twice = F.count_if(F.col("n") > 1).alias("duplicate_count")
+            label = F.lit(plan.name).alias("table_name")
+            parts.append(counted.agg(twice).select(label, "duplicate_count"))
+    if not parts:
+        schema = "table_name string, duplicate_count bigint"
+        return plans[0].frame.sparkSession.createDataFrame([], schema)
     return union_all(parts)

@@ -1,4 +1,9 @@
-"""Questions to the lineage graph."""
+"""Questions to the lineage graph.
+
+Questions about one table start from a handful of rows. These are written aside and, if they
+are as few as expected, sent to every task, so that the edges are scanned where they lie and
+never shuffled, however many of them a hub has.
+"""
 
 from __future__ import annotations
 
@@ -15,10 +20,7 @@ from cartulary.operators.lineage import (
     TABLE,
     Graph,
 )
-from cartulary.session import materialize
-
-# A frontier up to this many nodes is sent to every task; a larger one is shuffled.
-SMALL_FRONTIER = 50_000
+from cartulary.session import SMALL_ROWS, materialize, written_small
 
 
 def _edges(graph: Graph, kind: str, src: str = "src", dst: str = "dst", *extra: str) -> DataFrame:
@@ -27,55 +29,67 @@ def _edges(graph: Graph, kind: str, src: str = "src", dst: str = "dst", *extra:
     )
 
 
-def _nodes(graph: Graph, label: str) -> DataFrame:
-    return graph.nodes.where(F.col("label") == label)
+def _nodes(graph: Graph, label: str, *columns) -> DataFrame:
+    return graph.nodes.where(F.col("label") == label).select(*columns)
+
+
+def _named(name: str, alias: str) -> Column:
+    return F.col(name).alias(alias)
 
 
 def _both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     """Edges from either end, a loop only once."""
     back = edges.where(F.col("src") != F.col("dst")).select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), *extra
+        _named("dst", "src"), _named("src", "dst"), *extra
     )
     return edges.select("src", "dst", *extra).unionByName(back)
 
 
+def _table_called(graph: Graph, name: str, alias: str) -> DataFrame:
+    """The node of a table, as a side that is small enough to broadcast unless names repeat."""
+    found = graph.nodes.where((F.col("label") == TABLE) & (F.col("name") == name))
+    return written_small(found.select(_named("full_name", alias)), "table")
+
+
 def related_tables(graph: Graph, table: str) -> DataFrame:
     """Tables connected to one table, in either direction, a row per connection."""
-    start = _nodes(graph, TABLE).where(F.col("name") == table).select(F.col("full_name").alias("src"))
     around = _both_ways(_edges(graph, RELATED_TO, "src", "dst", "via"), "via")
-    others = _nodes(graph, TABLE).select(
-        F.col("full_name").alias("dst"), "name", "row_count", "quality_score"
+    near = written_small(around.join(_table_called(graph, table, "src"), "src"), "around")
+    others = _nodes(
+        graph, TABLE, _named("full_name", "dst"), "name", "row_count", "quality_score"
     )
     return (
-        around.join(start, "src")
-        .join(others, "dst")
+        others.join(near, "dst")
         .select(
-            F.col("name").alias("table"),
+            _named("name", "table"),
             "via",
-            F.col("row_count").alias("rows"),
-            F.col("quality_score").alias("quality"),
+            _named("row_count", "rows"),
+            _named("quality_score", "quality"),
         )
         .orderBy("table", "via")
     )
 
 
 def _referred(graph: Graph, table: str, near: str, far: str) -> DataFrame:
-    """Columns of ``table`` at the ``near`` end of a reference, with the table at the ``far`` one."""
-    start = _nodes(graph, TABLE).where(F.col("name") == table).select(F.col("full_name").alias("home"))
-    own = _edges(graph, HAS_COLUMN, "home", near).join(start, "home")
+    """Columns of ``table`` at the ``near`` end of references, with the tables at the far end."""
+    home = _table_called(graph, table, "home")
+    own = written_small(_edges(graph, HAS_COLUMN, "home", near).join(home, "home"), "own")
     # A column that refers to itself would use the same edge on both sides of the pattern.
     pairs = _edges(graph, REFERENCES).where(F.col("src") != F.col("dst"))
-    owners = _edges(graph, HAS_COLUMN, "other", far)
-    names = _nodes(graph, COLUMN).select("full_name", "name")
-    tables = _nodes(graph, TABLE).select(F.col("full_name").alias("other"), "name", "description")
-    found = (
-        own.join(pairs, near)
-        .join(owners, far)
-        .join(names.select(F.col("full_name").alias("src"), F.col("name").alias("from_column")), "src")
-        .join(names.select(F.col("full_name").alias("dst"), F.col("name").alias("to_column")), "dst")
-        .join(tables, "other")
+    found = written_small(pairs.join(own.select(near), near), "pairs")
+    names = _nodes(graph, COLUMN, "full_name", "name")
+    tables = _nodes(graph, TABLE, _named("full_name", "other"), "name", "description")
+    with_other = _edges(graph, HAS_COLUMN, "other", far).join(found, far)
+    with_names = (
+        names.select(_named("full_name", "src"), _named("name", "from_column"))
+        .join(written_small(with_other, "owners"), "src")
+        .join(names.select(_named("full_name", "dst"), _named("name", "to_column")), "dst")
+    )
+    return (
+        tables.join(with_names, "other")
+        .select("name", "from_column", "to_column", "description")
+        .distinct()
     )
-    return found.select("name", "from_column", "to_column", "description").distinct()
 
 
 def upstream(graph: Graph, table: str) -> DataFrame:
@@ -98,19 +112,19 @@ def hubs(graph: Graph, limit: int = HUB_LIMIT) -> DataFrame:
     """
     degrees = (
         _both_ways(_edges(graph, RELATED_TO))
-        .groupBy(F.col("src").alias("full_name"))
+        .groupBy(_named("src", "full_name"))
         .agg(F.count(F.lit(1)).alias("connections"))
     )
-    tables = _nodes(graph, TABLE).select("full_name", "name", "row_count", "quality_score")
+    tables = _nodes(graph, TABLE, "full_name", "name", "row_count", "quality_score")
     return (
         tables.join(degrees, "full_name")
         .groupBy("name", "row_count", "quality_score")
         .agg(F.sum("connections").alias("connections"))
         .select(
-            F.col("name").alias("table"),
+            _named("name", "table"),
             "connections",
-            F.col("row_count").alias("rows"),
-            F.col("quality_score").alias("quality"),
+            _named("row_count", "rows"),
+            _named("quality_score", "quality"),
         )
         .orderBy(F.desc("connections"), "table")
         .limit(limit)
@@ -119,11 +133,14 @@ def hubs(graph: Graph, limit: int = HUB_LIMIT) -> DataFrame:
 
 def foreign_keys(graph: Graph) -> DataFrame:
     """Every reference from column to column."""
-    columns = _nodes(graph, COLUMN)
 
     def end(key: str, table: str, column: str) -> DataFrame:
-        return columns.select(
-            F.col("full_name").alias(key), F.col("table_name").alias(table), F.col("name").alias(column)
+        return _nodes(
+            graph,
+            COLUMN,
+            _named("full_name", key),
+            _named("table_name", table),
+            _named("name", column),
         )
 
     return (
@@ -148,20 +165,19 @@ def search_tables(graph: Graph, keyword: str) -> DataFrame:
     """Tables whose name, description or tags hold the keyword, best quality first."""
     hit = matches_keyword(keyword, F.col("name"), F.col("description"), F.col("tags"))
     return (
-        _nodes(graph, TABLE)
-        .where(hit)
+        graph.nodes.where((F.col("label") == TABLE) & hit)
         .select(
-            F.col("name").alias("table"),
+            _named("name", "table"),
             "description",
-            F.col("quality_score").alias("quality"),
-            F.col("row_count").alias("rows"),
+            _named("quality_score", "quality"),
+            _named("row_count", "rows"),
         )
         .orderBy(F.desc("quality"), "table")
     )
 
 
 def lineage_path(
-    graph: Graph, start: str, end: str, edge_types=EDGE_TYPES, small_frontier: int = SMALL_FRONTIER
+    graph: Graph, start: str, end: str, edge_types=EDGE_TYPES, small_frontier: int = SMALL_ROWS
 ) -> DataFrame:
     """A shortest path between two tables over the given edges, followed in either direction.
 
@@ -169,43 +185,47 @@ def lineage_path(
     with the smallest list of names. The graph is searched level by level. A node keeps only its
     smallest path, which is enough because a smallest path starts with smallest paths. In an
     undirected graph the neighbours of a level lie in it, in the one before or in the next, so
-    only two levels are needed to tell which nodes are new. Every level is written to the shared
-    folder, which keeps the plan short and survives lost executors.
+    only two levels are needed to tell which nodes are new.
+
+    A level of few nodes is sent to every task, which leaves the edges where they are, those of
+    a hub included; a large one is shuffled together with the edges, and AQE splits hubs. Paths
+    to one node are reduced to the smallest before the shuffle. Every level is written to the
+    shared folder, which keeps the plan short and survives lost executors.
     """
     if start == end:
         raise ValueError("a path needs two different tables")
-    names = graph.nodes.select(F.col("full_name").alias("dst"), "name")
     kept = graph.edges.where(F.col("type").isin(list(edge_types))).select("src", "dst")
-    # The name travels with the edge, so no level has to look it up again.
-    steps = materialize(_both_ways(kept).join(names, "dst"), "steps")
-    tables = materialize(
-        _nodes(graph, TABLE).where(F.col("name").isin(start, end)).select("full_name", "name"),
-        "ends",
-    )
-    frontier = tables.where(F.col("name") == start).select(
-        F.col("full_name").alias("node"), F.array("name").alias("path")
-    )
-    goals = tables.where(F.col("name") == end).select(F.col("full_name").alias("node"))
-    seen = frontier.select("node")
-    size = frontier.count()
-    if size == 0 or goals.count() == 0:
-        return _path_rows(frontier.limit(0))
+    names = graph.nodes.select(_named("full_name", "node"), "name")
+    if not graph.stored:
+        kept, names = materialize(kept, "links"), materialize(names, "names")
+    steps = _both_ways(kept)
+    ends = graph.nodes.where((F.col("label") == TABLE) & F.col("name").isin(start, end))
+    ends = materialize(ends.select(_named("full_name", "node"), "name"), "ends")
+    goals = ends.where(F.col("name") == end).select("node")
+    level = ends.where(F.col("name") == start).select("node", F.array("name").alias("path"))
+    seen, size = level.select("node"), level.count()
+    if goals.isEmpty():
+        size = 0
     while size:
-        near = F.broadcast(frontier) if size <= small_frontier else frontier
+        near = level.withColumnRenamed("node", "src")
+        near = F.broadcast(near) if size <= small_frontier else near
         reached = (
-            steps.join(near, steps["src"] == near["node"])
-            .select(F.col("dst").alias("node"), F.concat("path", F.array("name")).alias("path"))
-            .groupBy("node")
+            steps.join(near, "src")
+            .groupBy(_named("dst", "node"))
             .agg(F.min("path").alias("path"))
             .join(seen, "node", "left_anti")
         )
-        seen, frontier = frontier.select("node"), materialize(reached, "frontier")
-        seen = seen.unionByName(frontier.select("node"))
-        found = frontier.join(F.broadcast(goals), "node")
+        reached = written_small(reached, "reached", small_frontier)
+        named = names.join(reached, "node").select(
+            "node", F.concat("path", F.array("name")).alias("path")
+        )
+        seen, level = level.select("node"), materialize(named, "level")
+        seen = seen.unionByName(level.select("node"))
+        found = level.join(goals, "node", "left_semi")
         if not found.isEmpty():
             return _path_rows(found)
-        size = frontier.count()
-    return _path_rows(frontier.limit(0))
+        size = level.count()
+    return _path_rows(level.limit(0))
 
 
 def _path_rows(found: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def rebuild_lineage(store: CatalogStore, database: str, created_at: Column | Non
 
 
 def stored_graph(store: CatalogStore) -> Graph:
-    return Graph(store.read("lineage_nodes"), store.read("lineage_edges"))
+    return Graph(store.read("lineage_nodes"), store.read("lineage_edges"), stored=True)
 
 
 def summarize(store: CatalogStore, started_at: Column | None = None) -> DataFrame:

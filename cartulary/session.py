@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of names and counts up to this number are sent to every task; more are shuffled.
+SMALL_ROWS = 50_000
 
 
 def build_session(app_name: str = "cartulary", master: str | None = None, **conf) -> SparkSession:
@@ -19,6 +23,7 @@ def build_session(app_name: str = "cartulary", master: str | None = None, **conf
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -56,3 +61,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_small(df: DataFrame, label: str, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` written aside and marked for broadcast if it has few rows.
+
+    Counting what was written reads only file footers. Beyond the limit the plain table is
+    returned, and joins with it are shuffled as usual.
+    """
+    staged = materialize(df, label)
+    return F.broadcast(staged) if staged.count() <= limit else staged

@@ -431,7 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "primary_keys, CAST(k AS BIGINT) AS foreign_key_count, overall_score, grade "
         "FROM scored JOIN fks USING (table_name)",
         "crawl_totals": "SELECT count(*) AS tables_crawled, "
-        "CAST(sum(c) AS BIGINT) AS columns_crawled, 0 AS error_count FROM ("
+        "CAST(sum(c) AS BIGINT) AS columns_crawled, CAST(0 AS BIGINT) AS error_count FROM ("
         + _union(f"SELECT {len(TABLES[n])} AS c, count(*) AS n FROM {n}" for n in ALL)
         + ")",
         "crawl_log": f"{scored} SELECT 'run-1' AS run_id, "

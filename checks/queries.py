@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from cartulary.operators import catalog, generation, lineage, prompts, quality,
 from cartulary.operators import traversal
 from cartulary.plans import describe as describing
 from cartulary.plans import profile as profiling
+from cartulary.session import materialize, scratch_root
 from cartulary.sources import cache as caching
 from checks import row_catalog as rows
 from checks.tables import AS_OF, gappy_registry, registry, table
@@ -647,26 +650,22 @@ def generate_batch(spark, sf_dir):
     return answered.select("doc_id", "key", "response")
 
 
+def _described(spark, sf_dir) -> describing.Descriptions:
+    """Texts for the test tables; what they are made from is written aside first."""
+    tables, columns, samples = (
+        materialize(side, "catalog-side") for side in _catalog_side(spark, sf_dir)
+    )
+    cache = caching.ResponseCache(spark, f"{scratch_root(spark)}/answers-{uuid.uuid4().hex}")
+    return describing.describe(tables, columns, samples, cache, text_length_generator())
+
+
 def generate_descriptions(spark, sf_dir):
     """Descriptions of the test tables and, from these, their tags."""
-    tables, columns, samples = _catalog_side(spark, sf_dir)
-    none, make = caching.empty_cache(spark), text_length_generator()
-    asked = generation.with_max_length(prompts.table_prompts(tables, columns, samples), "table")
-    answered, cache = generation.answer_from(asked, none, make)
-    described = answered.select("table_name", F.col("response").alias("description"))
-    tags = generation.with_max_length(prompts.tag_prompts(described, columns), "tags")
-    tagged, _ = generation.answer_from(tags, cache, make)
-    named = tagged.select("table_name", F.col("response").alias("tags"))
-    return described.join(named, "table_name")
+    return _described(spark, sf_dir).tables
 
 
 def generate_column_descriptions(spark, sf_dir):
-    _, columns, samples = _catalog_side(spark, sf_dir)
-    asked = generation.with_max_length(prompts.column_prompts(columns, samples), "column")
-    answered, _ = generation.answer_from(
-        asked, caching.empty_cache(spark), text_length_generator()
-    )
-    return answered.select(*KEYS, F.col("response").alias("description"))
+    return _described(spark, sf_dir).columns
 
 
 # ---------------------------------------------------------------------------------------------
