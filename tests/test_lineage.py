@@ -1,0 +1,219 @@
+import pytest
+from pyspark.sql import functions as F
+
+from cartulary.operators import catalog, lineage, schema
+from cartulary.operators import traversal as ask
+from cartulary.plans.profile import relationships
+from cartulary.sources.registry import PRIMARY_KEYS, RAW_COLUMNS, RAW_FOREIGN_KEYS
+from tests import shop
+
+
+
+def stamp():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+
+
+@pytest.fixture(scope="module")
+def graph(spark):
+    raw = spark.createDataFrame(shop.raw_columns(), RAW_COLUMNS)
+    foreign = schema.parse_foreign_keys(
+        spark.createDataFrame(
+            [(t, i, [c], r, [k]) for i, (t, c, r, k) in enumerate(shop.REFERENCES)],
+            RAW_FOREIGN_KEYS,
+        )
+    )
+    keys = [(t, c[0], 1) for t, c in shop.CONSTRAINTS.primary_keys.items()]
+    marked = schema.mark_keys(
+        schema.parse_columns(raw), spark.createDataFrame(keys, PRIMARY_KEYS), foreign
+    )
+    tables = spark.createDataFrame(
+        [
+            (t, 10 * (i + 1), len(c), 90.0 + i, "A", f"All {t}." if i % 2 else None)
+            for i, (t, c) in enumerate(shop.COLUMNS.items())
+        ],
+        "table_name string, row_count long, column_count long, quality_score double, "
+        "quality_grade string, ai_description string",
+    )
+    return lineage.build_graph(
+        catalog.fit(tables, "catalog_tables"),
+        catalog.fit(marked, "catalog_columns"),
+        relationships(foreign),
+        "shop",
+        stamp(),
+    ).store()
+
+
+def names(df):
+    return [r[0] for r in df.collect()]
+
+
+def test_counts(graph, rows):
+    assert rows(lineage.node_counts(graph.nodes)) == [("Column", 112), ("Table", 12), ("Database", 1)]
+    assert rows(lineage.edge_counts(graph.edges)) == [
+        ("HAS_COLUMN", 112), ("CONTAINS", 12), ("REFERENCES", 12), ("RELATED_TO", 12),
+    ]
+    assert lineage.repeated_nodes(graph.nodes).isEmpty()
+    twice = lineage.repeated_nodes(graph.nodes.unionByName(graph.nodes.where("label = 'Database'")))
+    assert rows(twice) == [("Database", "shop", 2)]
+
+
+def test_related(graph, rows):
+    assert names(ask.related_tables(graph, "orders")) == [
+        "order_items", "payments", "shipments", "users",
+    ]
+    found = rows(ask.related_tables(graph, "categories"), "table", "via")
+    assert found == [
+        ("categories", "parent_id → category_id"), ("products", "category_id → category_id"),
+    ]
+    assert names(ask.related_tables(graph, "coupons")) == []
+
+
+def test_upstream_and_downstream(graph, rows):
+    found = rows(ask.upstream(graph, "orders"))
+    assert found == [("users", "user_id", "user_id", "")]
+    found = rows(ask.upstream(graph, "categories"), "upstream_table", "from_column", "to_column")
+    assert found == [("categories", "parent_id", "category_id")]
+    found = ask.downstream(graph, "users")
+    assert names(found) == ["addresses", "orders", "reviews", "user_events"]
+    assert names(ask.downstream(graph, "coupons")) == []
+
+
+def test_paths(graph, rows):
+    assert rows(ask.lineage_path(graph, "user_events", "payments")) == [
+        (["user_events", "shop", "payments"], 2)
+    ]
+    related = (lineage.RELATED_TO,)
+    expected = [(["user_events", "users", "orders", "payments"], 3)]
+    assert rows(ask.lineage_path(graph, "user_events", "payments", related)) == expected
+    shuffled = ask.lineage_path(graph, "user_events", "payments", related, small_frontier=0)
+    assert rows(shuffled) == expected
+    assert rows(ask.lineage_path(graph, "user_events", "coupons", related)) == []
+    assert rows(ask.lineage_path(graph, "user_events", "missing")) == []
+    with pytest.raises(ValueError):
+        ask.lineage_path(graph, "orders", "orders")
+
+
+def test_equally_short_paths(spark, rows):
+    nodes = [("Table", f"d.{n}", n) for n in ("a", "b", "c", "z")]
+    edges = [("RELATED_TO", f"d.{s}", f"d.{t}") for s, t in ("ac", "cz", "zb", "ba")]
+    graph = lineage.Graph(
+        spark.createDataFrame(nodes, "label string, full_name string, name string"),
+        spark.createDataFrame(edges, "type string, src string, dst string"),
+    )
+    assert rows(ask.lineage_path(graph, "a", "z")) == [(["a", "b", "z"], 2)]
+
+
+def test_hubs(graph):
+    assert names(ask.hubs(graph)) == [
+        "orders", "products", "users", "categories", "order_items", "reviews", "addresses",
+        "inventory", "payments", "shipments",
+    ]
+    counts = {r["table"]: r["connections"] for r in ask.hubs(graph, 100).collect()}
+    assert counts == {
+        "users": 4, "orders": 4, "products": 4, "categories": 2, "order_items": 2, "reviews": 2,
+        "addresses": 1, "inventory": 1, "payments": 1, "shipments": 1, "user_events": 1,
+    }
+
+
+def test_foreign_keys(graph, rows):
+    found = rows(ask.foreign_keys(graph))
+    assert found == sorted(shop.REFERENCES)
+
+
+def test_search(graph):
+    assert names(ask.search_tables(graph, "PAYMENT")) == ["payments"]
+    assert names(ask.search_tables(graph, "all ")) == [
+        "user_events", "inventory", "shipments", "order_items", "products", "addresses",
+    ]
+    assert len(names(ask.search_tables(graph, ""))) == 12
+
+
+def links(spark, rows):
+    schema_text = "source_table string, source_column string, target_table string, target_column string"
+    return spark.createDataFrame(rows, schema_text)
+
+
+def small_catalog(spark):
+    tables = catalog.fit(
+        spark.createDataFrame([("a",), ("b",)], "table_name string"), "catalog_tables"
+    )
+    columns = catalog.fit(
+        spark.createDataFrame(
+            [("a", "x"), ("a", "y"), ("b", "k"), ("b", "j"), ("lost", "q")],
+            "table_name string, column_name string",
+        ),
+        "catalog_columns",
+    )
+    return tables, columns
+
+
+def test_missing_figures_get_defaults(spark, rows):
+    tables, columns = small_catalog(spark)
+    graph = lineage.build_graph(tables, columns, links(spark, []), "d", stamp())
+    found = rows(
+        graph.nodes.where("full_name = 'd.a'"),
+        "row_count", "column_count", "quality_score", "quality_grade", "description", "tags",
+    )
+    assert found == [(0, 0, 0.0, "N/A", "", "")]
+    found = rows(
+        graph.nodes.where("full_name = 'd.a.x'"),
+        "data_type", "is_nullable", "is_primary_key", "is_foreign_key", "null_pct", "description",
+    )
+    assert found == [("unknown", True, False, False, 0.0, "")]
+
+
+def test_edges_need_both_ends(spark, rows):
+    tables, columns = small_catalog(spark)
+    found = links(
+        spark,
+        [
+            ("a", "x", "b", "k"),
+            ("a", "x", "b", "k"),
+            ("a", "y", "b", "j"),
+            ("a", "x", "nowhere", "k"),
+            ("a", "nothing", "b", "k"),
+            ("a", "", "b", "k"),
+            (None, "x", "b", "k"),
+            ("lost", "q", "b", "k"),
+        ],
+    )
+    graph = lineage.build_graph(tables, columns, found, "d", stamp())
+    edges = sorted(rows(graph.edges, "type", "src", "dst", "via", "rel_type"), key=str)
+    assert [e for e in edges if e[0] == "REFERENCES"] == [
+        ("REFERENCES", "d.a.x", "d.b.k", None, "foreign_key"),
+        ("REFERENCES", "d.a.y", "d.b.j", None, "foreign_key"),
+        ("REFERENCES", "d.lost.q", "d.b.k", None, "foreign_key"),
+    ]
+    # Of several keys the greatest names count, also those of a column that has no node.
+    assert [e[3] for e in edges if e[0] == "RELATED_TO"] == ["y → j"]
+    assert not [e for e in edges if e[0] == "HAS_COLUMN" and "lost" in e[1]]
+    lines = rows(lineage.relationship_map(links(spark, [("a", "y", "b", "j"), ("a", "x", "b", "k")])))
+    assert lines == [("a", "b (via x)"), ("a", "b (via y)")]
+
+
+def test_a_column_that_refers_to_itself_is_no_neighbour(spark, rows):
+    tables, columns = small_catalog(spark)
+    found = links(spark, [("a", "x", "a", "x"), ("a", "x", "a", "y")])
+    graph = lineage.build_graph(tables, columns, found, "d", stamp())
+    assert rows(ask.upstream(graph, "a"), "from_column", "to_column") == [("x", "y")]
+
+
+def test_a_hub_with_most_edges(spark, rows):
+    """A star around one table: every other table refers to it."""
+    others = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("table_name"))
+    tables = others.unionByName(spark.createDataFrame([("hub",)], "table_name string"))
+    columns = tables.withColumn("column_name", F.lit("k"))
+    found = others.select(
+        F.col("table_name").alias("source_table"),
+        F.lit("k").alias("source_column"),
+        F.lit("hub").alias("target_table"),
+        F.lit("k").alias("target_column"),
+    )
+    graph = lineage.build_graph(
+        catalog.fit(tables, "catalog_tables"), catalog.fit(columns, "catalog_columns"), found, "d"
+    ).store()
+    assert rows(ask.hubs(graph, 1), "table", "connections") == [("hub", 3000)]
+    assert ask.downstream(graph, "hub").count() == 3000
+    for limit in (0, 50_000):
+        found = ask.lineage_path(graph, "t5", "t7", (lineage.RELATED_TO,), limit)
+        assert rows(found) == [(["t5", "hub", "t7"], 2)]
