@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,12 @@ CATALOG_SCHEMAS = {
 KEPT_BY_UPSERT = ("schema_name", "ai_description", "ai_tags", "created_at")
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Frames of at most one row each as one row; their columns must differ."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def empty_catalog(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], CATALOG_SCHEMAS[name])
 
@@ -230,9 +238,9 @@ def close_crawl(
     logs: DataFrame, outcomes: DataFrame, run_id: str, finished_at: Column
 ) -> DataFrame:
     """The log with the row of this run completed."""
-    result = crawl_result(outcomes).withColumn("run_id", F.lit(run_id))
     started = logs.where(F.col("run_id") == run_id).select("run_id", "started_at")
-    closed = started.join(result, "run_id").withColumn("finished_at", finished_at)
+    closed = side_by_side(started, crawl_result(outcomes))
+    closed = closed.withColumn("finished_at", finished_at)
     return logs.where(F.col("run_id") != run_id).unionByName(fit(closed, "crawl_logs"))
 
 
@@ -338,20 +346,14 @@ def catalog_summary(
     finished_at: Column | None = None,
 ) -> DataFrame:
     """One row about the whole catalog: counts, average quality, latest crawl, duration."""
-    one = F.lit(1).alias("_one")
     finished = F.current_timestamp() if finished_at is None else finished_at
     started = finished if started_at is None else started_at
     facts = tables.agg(
         F.count(F.lit(1)).alias("table_count"),
         F.round(F.avg("quality_score"), 2).alias("avg_quality"),
         F.count("ai_description").alias("described_count"),
-    ).select("*", one)
-    counted = columns.agg(F.count(F.lit(1)).alias("column_count")).select("*", one)
-    latest = latest_crawl(logs).select("*", one)
-    # One row each.
-    return (
-        facts.join(counted, "_one")
-        .join(latest, "_one", "left")
-        .withColumn("duration_minutes", minutes_between(started, finished))
-        .drop("_one")
+    )
+    counted = columns.agg(F.count(F.lit(1)).alias("column_count"))
+    return side_by_side(facts, counted, latest_crawl(logs)).withColumn(
+        "duration_minutes", minutes_between(started, finished)
     )

@@ -75,13 +75,11 @@ def describe_catalog(
 
 def description_summary(found: Descriptions, cache: ResponseCache) -> DataFrame:
     """Tables and columns described and responses cached, in one row."""
-    one = F.lit(1).alias("_one")
-    counts = [
-        found.tables.agg(F.count(F.lit(1)).alias("tables_described")).select("*", one),
-        found.columns.agg(F.count(F.lit(1)).alias("columns_described")).select("*", one),
-        cache.stats().select("total_cached", one),
-    ]
-    return counts[0].join(counts[1], "_one").join(counts[2], "_one").drop("_one")
+    return catalog.side_by_side(
+        found.tables.agg(F.count(F.lit(1)).alias("tables_described")),
+        found.columns.agg(F.count(F.lit(1)).alias("columns_described")),
+        cache.stats().select("total_cached"),
+    )
 
 
 def described_sample(tables: DataFrame) -> DataFrame:
