@@ -39,7 +39,9 @@ def generate(
             texts = respond(batch["prompt"].tolist(), lengths.tolist())
             yield batch[["prompt"]].assign(response=[text.strip() for text in texts])
 
-    count = partitions or missing.sparkSession.sparkContext.defaultParallelism
+    spark = missing.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    count = partitions or max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread = missing.select("key", "prompt", "max_length").repartition(count, "key")
     return spread.mapInPandas(answer, "prompt string, response string")
 

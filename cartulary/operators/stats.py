@@ -29,6 +29,7 @@ COLUMN_FACT = (
 CHECK_FACT = "struct<ordinal:int,column_name:string,rule:string,issues:bigint>"
 
 LONG_TEXT_BYTES = 64
+SKETCH_ERROR = 0.02
 UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
@@ -93,7 +94,8 @@ def table_facts(plan: TablePlan, ranges: bool = True, approx_distinct: bool = Fa
                 F.avg(value).alias(f"avg{i}"),
             ]
         if approx_distinct:
-            aggs.append(F.approx_count_distinct(_comparable(value, c.dtype)).alias(f"approx{i}"))
+            sketch = F.approx_count_distinct(_comparable(value, c.dtype), SKETCH_ERROR)
+            aggs.append(sketch.alias(f"approx{i}"))
     if stamp is not None:
         aggs.append(F.max(quoted(stamp.name)).alias("latest"))
     for i, (_, _, broken) in enumerate(rules):

@@ -14,6 +14,9 @@ from cartulary.session import materialize
 from cartulary.sources.registry import Registry
 from cartulary.sources.store import CatalogStore
 
+# Tables whose scans share one plan; more would make plans slow to optimize.
+TABLES_TOGETHER = 64
+
 OUTCOMES_SCHEMA = "table_name string, column_count int, error string"
 
 
@@ -31,33 +34,43 @@ def _run(registry: Registry, names, as_of) -> Profile:
     )
 
 
-def profile_all(registry: Registry, as_of=None) -> tuple[list[Profile], list[tuple]]:
-    """Profiles of all readable tables, and (table, columns, error) for every table.
+def _run_halves(registry: Registry, names: list[str], as_of, errors: dict) -> list[Profile]:
+    """Profiles the tables together, or, if that fails, each half by itself.
 
-    Tables are profiled together, which shares scans and shuffles. Only if that fails at run
-    time are they profiled one by one, so that one broken table does not hide the others.
+    One broken table among many costs a few more jobs over ever smaller halves, and everything
+    but that table is still profiled in shared scans and shuffles.
     """
-    outcomes, readable = {}, []
+    try:
+        return [_run(registry, names, as_of)]
+    except Exception as error:
+        if len(names) == 1:
+            errors[names[0]] = _message(error)
+            return []
+    middle = len(names) // 2
+    first = _run_halves(registry, names[:middle], as_of, errors)
+    return first + _run_halves(registry, names[middle:], as_of, errors)
+
+
+def profile_all(registry: Registry, as_of=None) -> tuple[list[Profile], list[tuple]]:
+    """Profiles of all readable tables, and (table, columns, error) for every table."""
+    counts, errors, readable = {}, {}, []
     for name in registry.names():
         try:
-            count = len(registry.column_specs(name))
-            if not count:
+            counts[name] = len(registry.column_specs(name))
+            if not counts[name]:
                 raise ValueError("no columns to profile")
-            outcomes[name] = (name, count, None)
             readable.append(name)
         except Exception as error:
-            outcomes[name] = (name, 0, _message(error))
+            errors[name] = _message(error)
     profiles = []
-    if readable:
-        try:
-            profiles.append(_run(registry, readable, as_of))
-        except Exception:
-            for name in readable:
-                try:
-                    profiles.append(_run(registry, [name], as_of))
-                except Exception as error:
-                    outcomes[name] = (name, 0, _message(error))
-    return profiles, [outcomes[name] for name in sorted(outcomes)]
+    for start in range(0, len(readable), TABLES_TOGETHER):
+        batch = readable[start : start + TABLES_TOGETHER]
+        profiles += _run_halves(registry, batch, as_of, errors)
+    outcomes = [
+        (name, 0 if name in errors else counts[name], errors.get(name))
+        for name in registry.names()
+    ]
+    return profiles, outcomes
 
 
 def crawl(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Rows of names and counts up to this number are sent to every task; more are shuffled.
 SMALL_ROWS = 50_000
 
+_written: list[str] = []
+
 
 def build_session(app_name: str = "cartulary", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the library is tuned for.
@@ -60,6 +62,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,3 +74,15 @@ def written_small(df: DataFrame, label: str, limit: int = SMALL_ROWS) -> DataFra
     """
     staged = materialize(df, label)
     return F.broadcast(staged) if staged.count() <= limit else staged
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables this process wrote aside; results that still read them are lost.
+
+    Returns how many there were.
+    """
+    count = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
