@@ -1,0 +1 @@
+"""Empty on purpose: a catalog is built from whole tables, and nothing in it is a stream."""
