@@ -54,16 +54,17 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the optimizer real sizes to choose
-    join strategies from.
+    join strategies from. ``by`` names a column of few values to lay the files out by, so that
+    a filter on it opens no others.
     """
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy([by] if by else []).parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def written_small(df: DataFrame, label: str, limit: int = SMALL_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions.vocabulary import PREVIEW_CHARS
+from cartulary.session import materialize
 
 CACHE_SCHEMA = "key string, response string, cached_at timestamp, prompt_preview string"
 
@@ -93,6 +94,11 @@ class ResponseCache:
     def save(self, entries: DataFrame) -> None:
         entries.write.format(self.format).mode("append").save(self.path)
 
+    def compact(self) -> None:
+        """Rewrites the folder with the current entries only, in fewer and larger files."""
+        current = materialize(self.load(), "cache")
+        current.write.format(self.format).mode("overwrite").save(self.path)
+
     def clear(self) -> None:
         empty_cache(self.spark).write.format(self.format).mode("overwrite").save(self.path)
 

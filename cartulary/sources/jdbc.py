@@ -55,7 +55,8 @@ def table_source(
     """A table read over JDBC.
 
     ``split`` names the partition column with its bounds and the number of partitions, so that
-    many executors read ranges of a large table at the same time.
+    many executors read ranges of a large table at the same time. The table is staged, so the
+    database is read once.
     """
     settings = {**options, "dbtable": f'"{schema}"."{name}"'}
     if split:
@@ -65,7 +66,9 @@ def table_source(
             upperBound=str(split["upper"]),
             numPartitions=str(split["partitions"]),
         )
-    return TableSource(name, format="jdbc", options=settings, declared=declared or {})
+    return TableSource(
+        name, format="jdbc", options=settings, declared=declared or {}, staged=True
+    )
 
 
 def split_bounds(spark: SparkSession, source: TableSource, column: str, rows: int = 1_000_000):

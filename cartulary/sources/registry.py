@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from cartulary.functions.types import label_of
 from cartulary.functions.vocabulary import CATALOG_TABLES
+from cartulary.session import materialize
 
 RAW_COLUMNS = T.StructType(
     [
@@ -49,7 +50,9 @@ class TableSource:
     """How to read one table: a registered table, or files of a format with options.
 
     ``declared`` maps a column to the type name and default its source declares, for sources
-    whose own type names Spark does not keep.
+    whose own type names Spark does not keep. A ``staged`` table is copied to the shared folder
+    when it is first used: a profile reads each column of a columnar table twice, but a database
+    or text files would be read from end to end every time.
     """
 
     name: str
@@ -60,6 +63,7 @@ class TableSource:
     schema: T.StructType | None = None
     frame: DataFrame | None = None
     declared: dict = field(default_factory=dict)
+    staged: bool = False
 
     def load(self, spark: SparkSession) -> DataFrame:
         if self.frame is not None:
@@ -142,7 +146,9 @@ class Registry:
     def load(self, name: str) -> DataFrame:
         """The table; its schema is looked up once, on first use."""
         if name not in self._loaded:
-            self._loaded[name] = self.sources[name].load(self.spark)
+            source = self.sources[name]
+            frame = source.load(self.spark)
+            self._loaded[name] = materialize(frame, "staged") if source.staged else frame
         return self._loaded[name]
 
     def list_tables(self) -> DataFrame:
@@ -213,7 +219,7 @@ class Registry:
 
     def _table_size(self, name: str) -> DataFrame:
         source = self.sources[name]
-        paths = [source.path] if source.path and source.format != "jdbc" else []
+        paths = [source.path] if source.path else []
         if source.table:
             paths = self.load(name).inputFiles()
         total = F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("table_size_bytes")

@@ -60,6 +60,9 @@ def test_cache_folder(spark, rows, tmp_path):
         assert rows(cache.stats(), "total_cached", "exists") == [(2, True)]
         assert ("Later.", PROMPT + "...") in rows(cache.load(), "response", "prompt_preview")
         assert ("y", "x" * 100 + "...") in rows(cache.load(), "response", "prompt_preview")
+        before = sorted(rows(cache.load()))
+        cache.compact()
+        assert sorted(rows(cache.load())) == before and cache._read().count() == 2
         cache.clear()
         assert rows(cache.stats(), "total_cached") == [(0,)]
 

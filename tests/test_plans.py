@@ -59,10 +59,10 @@ def test_quality_reads_each_key_once(spark):
     assert text.count("FileScan parquet") == 2 * len(names)
 
 
-def test_search_reads_three_texts_and_pushes_the_label(spark, tmp_path):
+def test_search_opens_the_files_of_tables_only(spark, tmp_path):
     graph = row_catalog.graph(spark, FOLDER).store()
     text = first_plan(traversal.search_tables(graph, "ring"))
-    assert "EqualTo(label,Table)" in text
+    assert "PartitionFilters: [isnotnull(label" in text
     assert "null_pct" not in text.split("ReadSchema")[1]
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cartulary import Constraints, ForeignKey, Registry, TableSource
 from cartulary.plans import refresh as refreshing
 from cartulary.plans.crawl import crawl
+from cartulary.plans.profile import column_statistics
 from cartulary.sources.cache import ResponseCache
 from cartulary.sources.store import CatalogStore
 from cartulary.operators import lineage
@@ -145,6 +146,21 @@ def test_tables_of_a_database(spark, rows, store):
     assert reg.table_sizes(["people"]).first()["table_size_bytes"] > 0
 
 
+def test_staged_tables_are_read_once(spark, rows, folder):
+    reads = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    counted = spark.range(20).repartition(2).mapInPandas(note, "id long")
+    reg = Registry(spark, [TableSource("t", frame=counted, staged=True)], CONSTRAINTS)
+    found = column_statistics(reg).first()
+    assert (found["row_count"], found["distinct_count"]) == (20, 20)
+    assert reads.value == 20
+
+
 def test_sizes_of_tables_without_files(spark, rows):
     reg = Registry(spark, [TableSource("t", frame=spark.range(3))])
     assert rows(reg.table_sizes()) == [("t", 0)]
