@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.functions.expressions import side_by_side
+
 CATALOG_SCHEMAS = {
     "catalog_tables": (
         "table_name string, column_count bigint, row_count bigint, table_size_bytes bigint, "
@@ -35,12 +35,6 @@ CATALOG_SCHEMAS = {
 KEPT_BY_UPSERT = ("schema_name", "ai_description", "ai_tags", "created_at")
 
 
-def side_by_side(*frames: DataFrame) -> DataFrame:
-    """Frames of at most one row each as one row; their columns must differ."""
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
-
-
 def empty_catalog(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], CATALOG_SCHEMAS[name])
 

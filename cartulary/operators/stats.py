@@ -16,6 +16,7 @@ from cartulary.functions.expressions import (
     percent,
     quoted,
     round2,
+    side_by_side,
     utc_naive,
     value_text,
 )
@@ -35,12 +36,16 @@ UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 @dataclass(frozen=True)
 class TablePlan:
-    """A table with the column descriptors its statistics are planned from."""
+    """A table with the column descriptors its statistics are planned from.
+
+    ``footers`` is the same table, read in a way that takes counts from file footers.
+    """
 
     name: str
     frame: DataFrame
     columns: tuple[ColumnSpec, ...]
     primary_key: tuple[str, ...] = ()
+    footers: DataFrame | None = None
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -79,14 +84,16 @@ def table_facts(plan: TablePlan, ranges: bool = True, approx_distinct: bool = Fa
     """One row holding everything a single pass over the table can tell.
 
     All counters share one aggregate, so the table is scanned once and each task sends a single
-    row to the final step. ``approx_distinct`` adds sketches to the same pass.
+    row to the final step. ``approx_distinct`` adds sketches to the same pass. Where file footers
+    hold the counts, only the other figures need a scan, and only of their columns.
     """
     stamp = freshness_column(plan.columns)
     rules = rules_for(plan.columns)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    counts = [F.count(F.lit(1)).alias("n")]
+    aggs = []
     for i, c in enumerate(plan.columns):
         value = quoted(c.name)
-        aggs.append(F.count(value).alias(f"filled{i}"))
+        counts.append(F.count(value).alias(f"filled{i}"))
         if ranges and is_numeric(c):
             aggs += [
                 F.min(value).alias(f"min{i}"),
@@ -100,7 +107,11 @@ def table_facts(plan: TablePlan, ranges: bool = True, approx_distinct: bool = Fa
         aggs.append(F.max(quoted(stamp.name)).alias("latest"))
     for i, (_, _, broken) in enumerate(rules):
         aggs.append(F.count_if(broken).alias(f"issues{i}"))
-    row = plan.frame.agg(*aggs)
+    if plan.footers is None:
+        row = plan.frame.agg(*counts, *aggs)
+    else:
+        row = plan.footers.agg(*counts)
+        row = side_by_side(row, plan.frame.agg(*aggs)) if aggs else row
 
     def column_fact(i: int, c: ColumnSpec) -> Column:
         low = high = mean = F.lit(None)

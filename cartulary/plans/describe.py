@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.functions.expressions import side_by_side
 from cartulary.functions.vocabulary import DESCRIBED_SAMPLE
 from cartulary.operators import catalog, prompts, stats
 from cartulary.operators.generation import GeneratorFactory, answer_with, with_max_length
@@ -75,7 +76,7 @@ def describe_catalog(
 
 def description_summary(found: Descriptions, cache: ResponseCache) -> DataFrame:
     """Tables and columns described and responses cached, in one row."""
-    return catalog.side_by_side(
+    return side_by_side(
         found.tables.agg(F.count(F.lit(1)).alias("tables_described")),
         found.columns.agg(F.count(F.lit(1)).alias("columns_described")),
         cache.stats().select("total_cached"),

@@ -30,7 +30,8 @@ def table_plans(registry: Registry, names=None) -> list[stats.TablePlan]:
         if not columns:
             raise ValueError(f"table {name} has no columns to profile")
         key = tuple(registry.constraints.primary_key(name))
-        plans.append(stats.TablePlan(name, registry.load(name), columns, key))
+        footers = registry.load_footers(name)
+        plans.append(stats.TablePlan(name, registry.load(name), columns, key, footers))
     return plans
 
 

@@ -45,6 +45,15 @@ PRIMARY_KEYS = T.StructType(
 TABLE_NAMES = T.StructType([T.StructField("table_name", T.StringType())])
 
 
+# Formats whose counts can come from file footers, with the setting that allows it, and the
+# setting that decides which reader a format gets: only the newer one looks at footers.
+FOOTER_SETTINGS = {
+    "parquet": "spark.sql.parquet.aggregatePushdown",
+    "orc": "spark.sql.orc.aggregatePushdown",
+}
+V1_SOURCES = "spark.sql.sources.useV1SourceList"
+
+
 @dataclass(frozen=True)
 class TableSource:
     """How to read one table: a registered table, or files of a format with options.
@@ -53,6 +62,10 @@ class TableSource:
     whose own type names Spark does not keep. A ``staged`` table is copied to the shared folder
     when it is first used: a profile reads each column of a columnar table twice, but a database
     or text files would be read from end to end every time.
+
+    ``footer_counts`` takes row and null counts of Parquet or ORC files from their footers, so
+    that columns without other statistics are not read for them. The files must hold statistics,
+    as those written by Spark do.
     """
 
     name: str
@@ -64,6 +77,7 @@ class TableSource:
     frame: DataFrame | None = None
     declared: dict = field(default_factory=dict)
     staged: bool = False
+    footer_counts: bool = False
 
     def load(self, spark: SparkSession) -> DataFrame:
         if self.frame is not None:
@@ -151,6 +165,24 @@ class Registry:
             self._loaded[name] = materialize(frame, "staged") if source.staged else frame
         return self._loaded[name]
 
+    def load_footers(self, name: str) -> DataFrame | None:
+        """The table in a form whose counts Spark takes from file footers, if it has one.
+
+        Only for flat tables: the counts of nested columns are not those of their rows.
+        """
+        source = self.sources[name]
+        setting = FOOTER_SETTINGS.get(source.format)
+        flat = all(isinstance(f.dataType, T.AtomicType) for f in self.load(name).schema.fields)
+        if not (source.footer_counts and source.path and setting and flat):
+            return None
+        self.spark.conf.set(setting, "true")
+        kept = self.spark.conf.get(V1_SOURCES)
+        self.spark.conf.set(V1_SOURCES, "")
+        try:
+            return source.load(self.spark)
+        finally:
+            self.spark.conf.set(V1_SOURCES, kept)
+
     def list_tables(self) -> DataFrame:
         """The tables to crawl as rows."""
         rows = [(n,) for n in self.sources]

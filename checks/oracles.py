@@ -421,6 +421,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "flagship_quality": f"{scored} {SCORES}",
         "gappy_quality": f"{variants} {SCORES}",
+        "footer_quality": f"{scored} {SCORES}",
         "table_list": _union(
             f"SELECT '{name}' AS table_name, count(*) AS row_count, "
             f"CAST({len(TABLES[name])} AS BIGINT) AS column_count FROM {name}"

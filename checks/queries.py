@@ -16,7 +16,7 @@ from cartulary.plans import profile as profiling
 from cartulary.session import materialize, scratch_root
 from cartulary.sources import cache as caching
 from checks import row_catalog as rows
-from checks.tables import AS_OF, gappy_registry, registry, table
+from checks.tables import AS_OF, footer_registry, gappy_registry, registry, table
 
 KEYS = ["table_name", "column_name"]
 
@@ -61,6 +61,11 @@ def gappy_quality(spark, sf_dir):
     return _scores(profiling.quality_profile(gappy_registry(spark, sf_dir), AS_OF))
 
 
+def footer_quality(spark, sf_dir):
+    """Quality with row and null counts from file footers."""
+    return _scores(profiling.quality_profile(footer_registry(spark, sf_dir), AS_OF))
+
+
 def table_list(spark, sf_dir):
     """Tables to crawl with their row and column counts."""
     reg = registry(spark, sf_dir)
@@ -797,6 +802,7 @@ QUERIES = {
     for f in (
         flagship_quality,
         gappy_quality,
+        footer_quality,
         table_list,
         table_metadata,
         table_size,

@@ -149,6 +149,37 @@ def test_sketches_come_from_the_same_pass(spark):
     assert found["d"][0] == 10 and abs(found["id"][0] - 1000) < 100
 
 
+def test_counts_from_file_footers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame = spark.range(1000).select(
+        "id",
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("n"), "id")).alias("note"),
+        F.when(F.col("id") % 5 > 0, F.col("id") - 10).alias("count"),
+        F.timestamp_seconds("id").alias("at"),
+    )
+    frame.repartition(3).write.parquet(path)
+    plain = Registry(spark, [TableSource("t", path=path)])
+    quick = Registry(spark, [TableSource("t", path=path, footer_counts=True)])
+    assert spark.conf.get("spark.sql.sources.useV1SourceList")
+    expected, found = (
+        sorted(map(str, profiling.column_statistics(reg).collect())) for reg in (plain, quick)
+    )
+    assert found == expected
+    as_of = "2024-02-01"
+    assert (
+        profiling.quality_profile(quick, as_of).collect()
+        == profiling.quality_profile(plain, as_of).collect()
+    )
+    plan = profiling.table_plans(quick)[0]
+    text = stats.table_facts(plan, ranges=False)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), COUNT(id), COUNT(note)" in text
+    assert "ReadSchema: struct<count:bigint,at:timestamp>" in text
+    nested = frame.select("id", F.array("id").alias("ids"))
+    nested.write.parquet(str(tmp_path / "n"))
+    deep = Registry(spark, [TableSource("n", path=str(tmp_path / "n"), footer_counts=True)])
+    assert deep.load_footers("n") is None
+
+
 def test_a_table_without_columns_is_refused(spark):
     with pytest.raises(ValueError):
         profiling.table_plans(registry(spark, t=spark.range(3).drop("id")))
