@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def tick(name: str) -> str:
+    """A column name for SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """A column by its exact name, whatever characters the name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its exact name."""
+    return F.col(tick(name))
+
+
+def text_literal(text: str) -> str:
+    """A text for SQL text, whatever characters it holds."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def strip(text: Column) -> Column:

@@ -17,17 +17,14 @@ from cartulary.functions.expressions import (
     quoted,
     round2,
     side_by_side,
+    text_literal,
+    tick,
     utc_naive,
     value_text,
 )
 from cartulary.sources.registry import ColumnSpec
 
-COLUMN_FACT = (
-    "struct<ordinal:int,column_name:string,clean_type:string,null_count:bigint,"
-    "min_value:string,max_value:string,"
-    "min_number:double,max_number:double,avg_number:double,approx_distinct:bigint>"
-)
-CHECK_FACT = "struct<ordinal:int,column_name:string,rule:string,issues:bigint>"
+CHECKS = "array<struct<ordinal:int,column_name:string,rule:string,issues:bigint>>"
 
 LONG_TEXT_BYTES = 64
 SKETCH_ERROR = 0.02
@@ -61,17 +58,18 @@ def is_numeric(column: ColumnSpec) -> bool:
 # ---------------------------------------------------------------------------------------------
 
 
-def rules_for(columns) -> list[tuple[ColumnSpec, str, Column]]:
-    """The validity rules that apply, each with the condition of a violation."""
+def rules_for(columns) -> list[tuple[ColumnSpec, str, str]]:
+    """The validity rules that apply, each with the SQL condition of a violation."""
+    low, high = V.RATING_RANGE
     rules = []
     for c in columns:
-        value = quoted(c.name)
+        value = tick(c.name)
         if is_numeric(c) and name_has(c.name, V.NON_NEGATIVE_WORDS):
-            rules.append((c, "negative", value < 0))
+            rules.append((c, "negative", f"{value} < 0"))
         if c.label in V.TEXT_LABELS and not c.nullable:
-            rules.append((c, "blank", F.trim(value) == ""))
+            rules.append((c, "blank", f"trim({value}) = ''"))
         if c.label == "integer" and name_has(c.name, (V.RATING_WORD,)):
-            rules.append((c, "rating", ~value.between(*V.RATING_RANGE)))
+            rules.append((c, "rating", f"{value} NOT BETWEEN {low} AND {high}"))
     return rules
 
 
@@ -86,67 +84,53 @@ def table_facts(plan: TablePlan, ranges: bool = True, approx_distinct: bool = Fa
     All counters share one aggregate, so the table is scanned once and each task sends a single
     row to the final step. ``approx_distinct`` adds sketches to the same pass. Where file footers
     hold the counts, only the other figures need a scan, and only of their columns.
+
+    The expressions are SQL texts because a wide table has very many of them, and each text is
+    handed to Spark at once.
     """
     stamp = freshness_column(plan.columns)
     rules = rules_for(plan.columns)
-    counts = [F.count(F.lit(1)).alias("n")]
-    aggs = []
+    counts, others, columns = ["count(1) AS n"], [], []
     for i, c in enumerate(plan.columns):
-        value = quoted(c.name)
-        counts.append(F.count(value).alias(f"filled{i}"))
-        if ranges and is_numeric(c):
-            aggs += [
-                F.min(value).alias(f"min{i}"),
-                F.max(value).alias(f"max{i}"),
-                F.avg(value).alias(f"avg{i}"),
-            ]
+        value = tick(c.name)
+        ranged = ranges and is_numeric(c)
+        counts.append(f"count({value}) AS filled{i}")
         if approx_distinct:
-            sketch = F.approx_count_distinct(_comparable(value, c.dtype), SKETCH_ERROR)
-            aggs.append(sketch.alias(f"approx{i}"))
+            sketch = f"approx_count_distinct({_comparable(c.name, c.dtype)}, {SKETCH_ERROR})"
+            others.append(f"{sketch} AS approx{i}")
+        if ranged:
+            others += [f"{f}({value}) AS {f}{i}" for f in ("min", "max", "avg")]
+        low, high, mean = (f"min{i}", f"max{i}", f"avg{i}") if ranged else ("NULL",) * 3
+        approx = f"CASE WHEN n > 0 THEN approx{i} END" if approx_distinct else "NULL"
+        columns.append(
+            f"named_struct('ordinal', {c.ordinal}, 'column_name', {text_literal(c.name)}, "
+            f"'clean_type', {text_literal(c.label)}, 'null_count', n - filled{i}, "
+            f"'min_value', CAST({low} AS STRING), 'max_value', CAST({high} AS STRING), "
+            f"'min_number', CAST({low} AS DOUBLE), 'max_number', CAST({high} AS DOUBLE), "
+            f"'avg_number', CAST({mean} AS DOUBLE), 'approx_distinct', CAST({approx} AS BIGINT))"
+        )
     if stamp is not None:
-        aggs.append(F.max(quoted(stamp.name)).alias("latest"))
-    for i, (_, _, broken) in enumerate(rules):
-        aggs.append(F.count_if(broken).alias(f"issues{i}"))
+        others.append(f"max({tick(stamp.name)}) AS latest")
+    others += [f"count_if({broken}) AS issues{i}" for i, (_, _, broken) in enumerate(rules)]
     if plan.footers is None:
-        row = plan.frame.agg(*counts, *aggs)
+        row = plan.frame.selectExpr(*counts, *others)
     else:
-        row = plan.footers.agg(*counts)
-        row = side_by_side(row, plan.frame.agg(*aggs)) if aggs else row
-
-    def column_fact(i: int, c: ColumnSpec) -> Column:
-        low = high = mean = F.lit(None)
-        if ranges and is_numeric(c):
-            low, high, mean = F.col(f"min{i}"), F.col(f"max{i}"), F.col(f"avg{i}")
-        approx = F.col(f"approx{i}") if approx_distinct else F.lit(None)
-        return F.struct(
-            F.lit(c.ordinal),
-            F.lit(c.name),
-            F.lit(c.label),
-            F.col("n") - F.col(f"filled{i}"),
-            low.cast("string"),
-            high.cast("string"),
-            low.cast("double"),
-            high.cast("double"),
-            mean.cast("double"),
-            F.when(F.col("n") > 0, approx).cast("bigint"),
-        ).cast(COLUMN_FACT)
-
-    def check_fact(i: int, c: ColumnSpec, rule: str) -> Column:
-        return F.struct(
-            F.lit(c.ordinal), F.lit(c.name), F.lit(rule), F.col(f"issues{i}")
-        ).cast(CHECK_FACT)
-
-    facts = F.array(*[column_fact(i, c) for i, c in enumerate(plan.columns)])
-    checks = F.array(*[check_fact(i, c, rule) for i, (c, rule, _) in enumerate(rules)])
+        row = plan.footers.selectExpr(*counts)
+        row = side_by_side(row, plan.frame.selectExpr(*others)) if others else row
+    checks = ", ".join(
+        f"named_struct('ordinal', {c.ordinal}, 'column_name', {text_literal(c.name)}, "
+        f"'rule', '{rule}', 'issues', issues{i})"
+        for i, (c, rule, _) in enumerate(rules)
+    )
     latest = utc_naive(F.col("latest"), stamp.dtype) if stamp else F.lit(None)
     return row.select(
         F.lit(plan.name).alias("table_name"),
         F.col("n").alias("row_count"),
         F.lit(len(plan.columns)).alias("column_count"),
-        facts.cast(f"array<{COLUMN_FACT}>").alias("columns"),
+        F.expr(f"array({', '.join(columns)})").alias("columns"),
         F.lit(stamp.name if stamp else None).cast("string").alias("freshness_column"),
         latest.cast("timestamp_ntz").alias("latest"),
-        checks.cast(f"array<{CHECK_FACT}>").alias("checks"),
+        F.expr(f"array({checks})").cast(CHECKS).alias("checks"),
     )
 
 
@@ -182,17 +166,16 @@ def column_nulls(facts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 
-def _comparable(value: Column, dtype: T.DataType) -> Column:
-    """Nested and binary values as text, everything else as it is."""
+def _comparable(name: str, dtype: T.DataType) -> str:
+    """SQL text of a column: nested and binary values as text, everything else as it is."""
+    value = tick(name)
     if isinstance(dtype, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(value)))
+        return f"to_json(array_sort(map_entries({value})))"
     if isinstance(dtype, (T.ArrayType, T.StructType)):
-        return F.to_json(value)
+        return f"to_json({value})"
     if isinstance(dtype, T.BinaryType):
-        return F.hex(value)
-    if isinstance(dtype, T.AtomicType):
-        return value
-    return value.cast("string")
+        return f"hex({value})"
+    return value if isinstance(dtype, T.AtomicType) else f"CAST({value} AS STRING)"
 
 
 def key_kind(dtype: T.DataType, utc: bool) -> str:
@@ -203,18 +186,18 @@ def key_kind(dtype: T.DataType, utc: bool) -> str:
     return "real" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "text"
 
 
-def key_of(value: Column, dtype: T.DataType, utc: bool) -> Column:
-    """The key a value is grouped by: equal keys mean equal values, and the other way round."""
-    kind = key_kind(dtype, utc)
+def key_of(name: str, dtype: T.DataType, utc: bool) -> str:
+    """SQL text of the key a value is grouped by: equal keys mean equal values and vice versa."""
+    kind, value = key_kind(dtype, utc), tick(name)
     if kind == "real":
-        return value.cast("double")
+        return f"CAST({value} AS DOUBLE)"
     if kind == "text":
-        return _comparable(value, dtype).cast("string")
+        return f"CAST({_comparable(name, dtype)} AS STRING)"
     if isinstance(dtype, T.DateType):
-        return F.unix_date(value).cast("bigint")
+        return f"CAST(unix_date({value}) AS BIGINT)"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(value.cast("timestamp"))
-    return value.cast("bigint")
+        return f"unix_micros(CAST({value} AS TIMESTAMP))"
+    return f"CAST({value} AS BIGINT)"
 
 
 def numbered(plans) -> list[tuple[TablePlan, list[tuple[int, ColumnSpec]]]]:
@@ -246,13 +229,13 @@ def value_frequencies(plans, wanted=None) -> dict[str, DataFrame]:
     utc = _utc_session(plans)
     stacked: dict[str, list[DataFrame]] = {}
     for plan, columns in numbered(plans):
-        keys: dict[str, list[Column]] = {}
+        keys: dict[str, list[str]] = {}
         for cid, c in columns:
             if wanted is None or wanted(plan, c):
-                key = key_of(quoted(c.name), c.dtype, utc).alias(str(cid))
-                keys.setdefault(key_kind(c.dtype, utc), []).append(key)
+                key = key_of(c.name, c.dtype, utc)
+                keys.setdefault(key_kind(c.dtype, utc), []).append(f"{key} AS `{cid}`")
         for kind, selected in keys.items():
-            source = plan.frame.select(selected)
+            source = plan.frame.selectExpr(*selected)
             rows = source.unpivot([], source.columns, "column_id", "value")
             stacked.setdefault(kind, []).append(rows)
     counted = {}

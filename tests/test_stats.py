@@ -54,11 +54,17 @@ def test_all_null_columns(spark):
 
 
 def test_names_with_odd_characters(spark):
-    frame = spark.createDataFrame([(1, "x")], "`a.b` int, `c ``d` string")
+    names = "`a.b` int, `c ``d` string, `it's` int, `a\\b` date, `total count` double"
+    frame = spark.createDataFrame([(1, "x", 2, None, -1.0)], names)
     found = by_column(
         profiling.column_statistics(registry(spark, **{"my table": frame})), "distinct_count"
     )
-    assert found == {"a.b": (1,), "c `d": (1,)}
+    assert found == {
+        "a.b": (1,), "c `d": (1,), "it's": (1,), "a\\b": (0,), "total count": (1,),
+    }
+    plan = profiling.table_plans(registry(spark, t=frame))[0]
+    assert stats.table_facts(plan).select("freshness_column").first()[0] == "a\\b"
+    assert stats.table_facts(plan).select(F.inline("checks")).first()["issues"] == 1
 
 
 def test_every_type_is_counted(spark):
