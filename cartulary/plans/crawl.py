@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.expressions import as_of_column
 from cartulary.operators import catalog
-from cartulary.plans.profile import Profile, profile_tables
+from cartulary.plans.profile import Profile, profile_tables, together
 from cartulary.session import materialize
 from cartulary.sources.registry import Registry
 from cartulary.sources.store import CatalogStore
@@ -54,6 +54,7 @@ def _run_halves(registry: Registry, names: list[str], as_of, errors: dict) -> li
 def profile_all(registry: Registry, as_of=None) -> tuple[list[Profile], list[tuple]]:
     """Profiles of all readable tables, and (table, columns, error) for every table."""
     counts, errors, readable = {}, {}, []
+    registry.preload()
     for name in registry.names():
         try:
             counts[name] = len(registry.column_specs(name))
@@ -89,16 +90,15 @@ def crawl(
     stamp = as_of_column(as_of)
     outcomes = spark.createDataFrame(rows, OUTCOMES_SCHEMA)
     good = outcomes.where("error is null").select("table_name")
-    for found in profiles:
-        save(store, found, stamp, good, keep_ai)
+    if profiles:
+        save(store, together(profiles), stamp, good, keep_ai)
     closed = catalog.close_crawl(store.read("crawl_logs"), outcomes, run_id, as_of_column(None))
     store.replace("crawl_logs", closed)
     return store.read("crawl_logs").where(F.col("run_id") == run_id)
 
 
 def save(store: CatalogStore, found: Profile, stamp, crawled: DataFrame, keep_ai=True) -> None:
-    """Merges one profile into the catalog tables."""
-    crawled = found.tables.select("table_name").join(crawled, "table_name", "left_semi")
+    """Merges a profile into the catalog tables, of which it replaces those crawled."""
     tables = catalog.table_rows(found.tables, stamp)
     columns = catalog.column_rows(found.columns, stamp)
     links = catalog.relationship_rows(found.relationships, stamp)

@@ -24,8 +24,9 @@ class Profile:
 
 
 def table_plans(registry: Registry, names=None) -> list[stats.TablePlan]:
-    plans = []
-    for name in names or registry.names():
+    plans, names = [], list(names or registry.names())
+    registry.preload(names)
+    for name in names:
         columns = tuple(registry.column_specs(name))
         if not columns:
             raise ValueError(f"table {name} has no columns to profile")
@@ -105,6 +106,15 @@ def profile_tables(registry: Registry, as_of=None, names=None, sizes: bool = Tru
     return Profile(tables, columns, relationships(foreign))
 
 
+def together(profiles: list[Profile]) -> Profile:
+    """Several profiles of different tables as one."""
+    return Profile(
+        stats.union_all([p.tables for p in profiles]),
+        stats.union_all([p.columns for p in profiles]),
+        stats.union_all([p.relationships for p in profiles]),
+    )
+
+
 def _key_summary(registry: Registry, names, foreign: DataFrame) -> DataFrame:
     """Primary-key columns and number of foreign keys; a row per table."""
     spark = registry.spark

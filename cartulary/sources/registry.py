@@ -6,6 +6,7 @@ schema metadata: a row per column or key, never a row of data.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,9 @@ PRIMARY_KEYS = T.StructType(
 TABLE_NAMES = T.StructType([T.StructField("table_name", T.StringType())])
 
 
+# Schemas looked up at the same time; each lookup opens one file.
+SCHEMA_LOOKUPS = 16
+
 # Formats whose counts can come from file footers, with the setting that allows it, and the
 # setting that decides which reader a format gets: only the newer one looks at footers.
 FOOTER_SETTINGS = {
@@ -165,6 +169,18 @@ class Registry:
             self._loaded[name] = materialize(frame, "staged") if source.staged else frame
         return self._loaded[name]
 
+    def preload(self, names=None) -> None:
+        """Looks up the schemas of many tables at once; a table that fails will do so on use."""
+
+        def attempt(name: str) -> None:
+            try:
+                self.load(name)
+            except Exception:
+                pass
+
+        with ThreadPoolExecutor(SCHEMA_LOOKUPS) as pool:
+            list(pool.map(attempt, names or self.names()))
+
     def load_footers(self, name: str) -> DataFrame | None:
         """The table in a form whose counts Spark takes from file footers, if it has one.
 
