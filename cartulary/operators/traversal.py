@@ -7,6 +7,8 @@ never shuffled, however many of them a hub has.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,21 +178,29 @@ def search_tables(graph: Graph, keyword: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class _Side:
+    """One of the two searches: its latest level, what is no longer new, and its direction."""
+
+    level: DataFrame
+    seen: DataFrame
+    size: int
+    forward: bool
+
+
 def lineage_path(
-    graph: Graph, start: str, end: str, edge_types=EDGE_TYPES, small_frontier: int = SMALL_ROWS
+    graph: Graph, start: str, end: str, edge_types=EDGE_TYPES, small_level: int = SMALL_ROWS
 ) -> DataFrame:
     """A shortest path between two tables over the given edges, followed in either direction.
 
     One row (path, hops), none if the tables are not connected; of equally short paths the one
-    with the smallest list of names. The graph is searched level by level. A node keeps only its
-    smallest path, which is enough because a smallest path starts with smallest paths. In an
-    undirected graph the neighbours of a level lie in it, in the one before or in the next, so
-    only two levels are needed to tell which nodes are new.
+    with the smallest list of names.
 
-    A level of few nodes is sent to every task, which leaves the edges where they are, those of
-    a hub included; a large one is shuffled together with the edges, and AQE splits hubs. Paths
-    to one node are reduced to the smallest before the shuffle. Every level is written to the
-    shared folder, which keeps the plan short and survives lost executors.
+    The graph is searched level by level from both ends, always on the side with fewer nodes,
+    until the two latest levels share a node. Levels are complete, so that happens first when
+    their distances add up to that of the tables, and every shortest path crosses a shared node.
+    A node keeps only its smallest list of names, which is enough because the smallest path
+    through a node is the smallest one to it followed by the smallest one from it.
     """
     if start == end:
         raise ValueError("a path needs two different tables")
@@ -201,33 +211,49 @@ def lineage_path(
     steps = _both_ways(kept)
     ends = graph.nodes.where((F.col("label") == TABLE) & F.col("name").isin(start, end))
     ends = materialize(ends.select(_named("full_name", "node"), "name"), "ends")
-    goals = ends.where(F.col("name") == end).select("node")
-    level = ends.where(F.col("name") == start).select("node", F.array("name").alias("path"))
-    seen, size = level.select("node"), level.count()
-    if goals.isEmpty():
-        size = 0
-    while size:
-        near = level.withColumnRenamed("node", "src")
-        near = F.broadcast(near) if size <= small_frontier else near
-        reached = (
-            steps.join(near, "src")
-            .groupBy(_named("dst", "node"))
-            .agg(F.min("path").alias("path"))
-            .join(seen, "node", "left_anti")
-        )
-        reached = written_small(reached, "reached", small_frontier)
-        named = names.join(reached, "node").select(
-            "node", F.concat("path", F.array("name")).alias("path")
-        )
-        seen, level = level.select("node"), materialize(named, "level")
-        seen = seen.unionByName(level.select("node"))
-        found = level.join(goals, "node", "left_semi")
+    sides = []
+    for name, forward in ((start, True), (end, False)):
+        level = ends.where(F.col("name") == name).select("node", F.array("name").alias("path"))
+        sides.append(_Side(level, level.select("node"), level.count(), forward))
+    while all(side.size for side in sides):
+        sides.sort(key=lambda side: side.size)
+        sides[0] = _grow(steps, names, sides[0], small_level)
+        found = _meet(*sides)
         if not found.isEmpty():
-            return _path_rows(found)
-        size = level.count()
-    return _path_rows(level.limit(0))
+            return found
+    return _meet(*sides)
+
 
+def _grow(steps: DataFrame, names: DataFrame, side: _Side, small_level: int) -> _Side:
+    """The next level of a search.
 
-def _path_rows(found: DataFrame) -> DataFrame:
-    best = found.agg(F.min("path").alias("path")).where("path is not null")
+    A level of few nodes is sent to every task, which leaves the edges where they are, those of
+    a hub included; a large one is shuffled together with the edges, and AQE splits hubs. Paths
+    to one node are reduced to the smallest before the shuffle. In an undirected graph the
+    neighbours of a level lie in it, in the one before or in the next, so two levels are enough
+    to tell which nodes are new. Levels are written to the shared folder, which keeps the plan
+    short and survives lost executors.
+    """
+    near = side.level.withColumnRenamed("node", "src")
+    near = F.broadcast(near) if side.size <= small_level else near
+    reached = (
+        steps.join(near, "src")
+        .groupBy(_named("dst", "node"))
+        .agg(F.min("path").alias("path"))
+        .join(side.seen, "node", "left_anti")
+    )
+    reached = written_small(reached, "reached", small_level)
+    own = F.array("name")
+    path = F.concat("path", own) if side.forward else F.concat(own, "path")
+    level = materialize(names.join(reached, "node").select("node", path.alias("path")), "level")
+    seen = side.level.select("node").unionByName(level.select("node"))
+    return _Side(level, seen, level.count(), side.forward)
+
+
+def _meet(one: _Side, other: _Side) -> DataFrame:
+    """The smallest path through a node that both levels hold, if there is one."""
+    head, tail = (one, other) if one.forward else (other, one)
+    rest = tail.level.select("node", F.expr("slice(path, 2, size(path))").alias("rest"))
+    whole = head.level.join(rest, "node").select(F.concat("path", "rest").alias("path"))
+    best = whole.agg(F.min("path").alias("path")).where("path is not null")
     return best.select("path", (F.size("path") - 1).alias("hops"))

@@ -104,7 +104,8 @@ def constraints_from(keys: list, columns: list) -> Constraints:
             target = targets.get(rows[0]["unique_constraint_name"], [])
             names = {r["ordinal_position"]: r["column_name"] for r in target}
             referred = tuple(names[r["position_in_unique_constraint"]] for r in rows if names)
-            foreign.append(ForeignKey(table, own, target[0]["table_name"] if target else "", referred))
+            refers_to = target[0]["table_name"] if target else ""
+            foreign.append(ForeignKey(table, own, refers_to, referred))
     not_null: dict = {}
     for row in columns:
         if row["is_nullable"] == "NO":

@@ -12,7 +12,6 @@ from checks.tables import (
     GAPPY,
     GAPPY_COLUMNS,
     GAPPY_KEYS,
-    GAPPY_REQUIRED,
     PRIMARY_KEYS,
     TABLES,
 )

@@ -167,7 +167,8 @@ def freshness_steps(spark, sf_dir):
     """Every order as a table last updated on its date, seen from near the newest date."""
     days = elapsed_days(F.col("o_orderdate"), as_of_column("2001-07-20 12:00:00"))
     return (
-        table(spark, sf_dir, "orders").select(scores.freshness_score(F.lit(True), days).alias("freshness"))
+        table(spark, sf_dir, "orders")
+        .select(scores.freshness_score(F.lit(True), days).alias("freshness"))
         .groupBy("freshness")
         .agg(F.count(F.lit(1)).alias("orders"))
     )

@@ -93,7 +93,8 @@ def test_descriptions_are_set_by_key(spark, rows):
         [("t", "new", None), ("missing", "x", "y")],
         "table_name string, description string, tags string",
     )
-    found = sorted(rows(catalog.describe_tables(known, updates), "table_name", "ai_description", "ai_tags"))
+    told = catalog.describe_tables(known, updates)
+    found = sorted(rows(told, "table_name", "ai_description", "ai_tags"))
     assert found == [("t", "new", None), ("u", "old", "old")]
     cols = columns(spark, [("t", "a", 0.0, "old"), ("t", "b", 0.0, "old")])
     updates = spark.createDataFrame(
@@ -128,7 +129,8 @@ def test_crawl_log(spark, rows):
 
 
 def test_reads(spark, rows):
-    known = catalog.table_rows(tables(spark, [("b", 5, 1.0), ("a", 5, 2.0), ("c", None, 3.0)]), stamp())
+    found = tables(spark, [("b", 5, 1.0), ("a", 5, 2.0), ("c", None, 3.0)])
+    known = catalog.table_rows(found, stamp())
     assert [r[0] for r in rows(catalog.tables_by_size(known))] == ["c", "a", "b"]
     assert [r[0] for r in rows(catalog.tables_for_lineage(known))] == ["a", "b", "c"]
     cols = columns(spark, [("t", "b", 1.0, None), ("t", "a", 2.0, None), ("u", "c", 3.0, None)])

@@ -108,7 +108,8 @@ def samples(spark, rows):
 
 
 def test_table_prompt(spark):
-    tables = spark.createDataFrame([("t", 1000), ("empty", None)], "table_name string, row_count long")
+    counts = [("t", 1000), ("empty", None)]
+    tables = spark.createDataFrame(counts, "table_name string, row_count long")
     cols = columns(spark, [("t", f"c{i:02}", "string", 0.0) for i in range(12, 0, -1)])
     shown = samples(
         spark,

@@ -1,3 +1,5 @@
+from random import Random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,12 +50,15 @@ def names(df):
 
 
 def test_counts(graph, rows):
-    assert rows(lineage.node_counts(graph.nodes)) == [("Column", 112), ("Table", 12), ("Database", 1)]
+    assert rows(lineage.node_counts(graph.nodes)) == [
+        ("Column", 112), ("Table", 12), ("Database", 1),
+    ]
     assert rows(lineage.edge_counts(graph.edges)) == [
         ("HAS_COLUMN", 112), ("CONTAINS", 12), ("REFERENCES", 12), ("RELATED_TO", 12),
     ]
     assert lineage.repeated_nodes(graph.nodes).isEmpty()
-    twice = lineage.repeated_nodes(graph.nodes.unionByName(graph.nodes.where("label = 'Database'")))
+    root = graph.nodes.where("label = 'Database'")
+    twice = lineage.repeated_nodes(graph.nodes.unionByName(root))
     assert rows(twice) == [("Database", "shop", 2)]
 
 
@@ -85,7 +90,7 @@ def test_paths(graph, rows):
     related = (lineage.RELATED_TO,)
     expected = [(["user_events", "users", "orders", "payments"], 3)]
     assert rows(ask.lineage_path(graph, "user_events", "payments", related)) == expected
-    shuffled = ask.lineage_path(graph, "user_events", "payments", related, small_frontier=0)
+    shuffled = ask.lineage_path(graph, "user_events", "payments", related, small_level=0)
     assert rows(shuffled) == expected
     assert rows(ask.lineage_path(graph, "user_events", "coupons", related)) == []
     assert rows(ask.lineage_path(graph, "user_events", "missing")) == []
@@ -103,6 +108,44 @@ def test_equally_short_paths(spark, rows):
     assert rows(ask.lineage_path(graph, "a", "z")) == [(["a", "b", "z"], 2)]
 
 
+def shortest(edges, start, end):
+    """The smallest shortest path by trying them all, one step at a time."""
+    around = {}
+    for a, b in edges:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    paths, seen = [[start]], {start}
+    while paths:
+        hits = [p for p in paths if p[-1] == end]
+        if hits:
+            return min(hits)
+        paths = [p + [n] for p in paths for n in around.get(p[-1], ()) if n not in seen]
+        seen |= {p[-1] for p in paths}
+    return None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_paths_in_random_graphs(spark, rows, seed):
+    random = Random(seed)
+    names = [f"n{i:02}" for i in range(30)]
+    edges = {tuple(random.sample(names, 2)) for _ in range(34)} | {("n05", "n05")}
+    graph = lineage.Graph(
+        spark.createDataFrame(
+            [("Table", f"d.{n}", n) for n in names], "label string, full_name string, name string"
+        ),
+        spark.createDataFrame(
+            [("RELATED_TO", f"d.{a}", f"d.{b}") for a, b in edges],
+            "type string, src string, dst string",
+        ),
+        stored=True,
+    )
+    start, end = random.sample(names, 2)
+    best = shortest(edges, start, end)
+    expected = [] if best is None else [(best, len(best) - 1)]
+    for limit in (0, 50_000):
+        assert rows(ask.lineage_path(graph, start, end, small_level=limit)) == expected
+
+
 def test_hubs(graph):
     assert names(ask.hubs(graph)) == [
         "orders", "products", "users", "categories", "order_items", "reviews", "addresses",
@@ -129,8 +172,8 @@ def test_search(graph):
 
 
 def links(spark, rows):
-    schema_text = "source_table string, source_column string, target_table string, target_column string"
-    return spark.createDataFrame(rows, schema_text)
+    names = ("source_table", "source_column", "target_table", "target_column")
+    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
 
 
 def small_catalog(spark):
@@ -187,7 +230,8 @@ def test_edges_need_both_ends(spark, rows):
     # Of several keys the greatest names count, also those of a column that has no node.
     assert [e[3] for e in edges if e[0] == "RELATED_TO"] == ["y → j"]
     assert not [e for e in edges if e[0] == "HAS_COLUMN" and "lost" in e[1]]
-    lines = rows(lineage.relationship_map(links(spark, [("a", "y", "b", "j"), ("a", "x", "b", "k")])))
+    two = links(spark, [("a", "y", "b", "j"), ("a", "x", "b", "k")])
+    lines = rows(lineage.relationship_map(two))
     assert lines == [("a", "b (via x)"), ("a", "b (via y)")]
 
 

@@ -120,5 +120,6 @@ def test_grades(spark, score, grade):
 
 
 def test_ranking(spark, rows):
-    frame = spark.createDataFrame([("b", 90.0), ("a", 90.0), ("c", 95.0)], "table_name string, overall_score double")
+    found = [("b", 90.0), ("a", 90.0), ("c", 95.0)]
+    frame = spark.createDataFrame(found, "table_name string, overall_score double")
     assert rows(quality.rank_tables(frame), "table_name") == [("c",), ("a",), ("b",)]

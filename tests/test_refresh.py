@@ -102,7 +102,9 @@ def test_whole_run(spark, rows, store, folder, tmp_path):
 
 def test_one_broken_table_does_not_hide_the_others(spark, rows, store, folder):
     broken = spark.range(5).select(
-        F.when(F.col("id") == 3, F.raise_error(F.lit("bad block"))).otherwise(F.col("id")).alias("n")
+        F.when(F.col("id") != 3, F.col("id"))
+        .otherwise(F.raise_error(F.lit("bad block")))
+        .alias("n")
     )
     more = [
         TableSource("broken", frame=broken),

@@ -111,6 +111,7 @@ def test_declared_keys():
 
 
 def test_declared_types():
-    assert jdbc.declared_type(column("t", "c", "character varying", 150)) == "character varying(150)"
+    text = jdbc.declared_type(column("t", "c", "character varying", 150))
+    assert text == "character varying(150)"
     assert jdbc.declared_type(column("t", "c", "numeric", None, 10, 2)) == "numeric(10,2)"
     assert jdbc.declared_type(column("t", "c", "integer")) == "integer"
