@@ -175,7 +175,9 @@ def _comparable(name: str, dtype: T.DataType) -> str:
         return f"to_json({value})"
     if isinstance(dtype, T.BinaryType):
         return f"hex({value})"
-    return value if isinstance(dtype, T.AtomicType) else f"CAST({value} AS STRING)"
+    if isinstance(dtype, T.VariantType) or not isinstance(dtype, T.AtomicType):
+        return f"CAST({value} AS STRING)"
+    return value
 
 
 def key_kind(dtype: T.DataType, utc: bool) -> str:

@@ -18,14 +18,15 @@ def build_session(app_name: str = "cartulary", master: str | None = None, **conf
     """A session with the settings the library is tuned for.
 
     Shuffle partitions are left to the cluster: AQE coalesces small ones and splits skewed
-    ones, so only a starting number matters and that depends on the cluster's size. AQE also
-    hashes instead of sorting where every partition of the smaller side stays below a bound.
+    ones, so only a starting number matters and that depends on the cluster's size. Skewed joins
+    are split even where that costs another shuffle. AQE also hashes instead of sorting where every partition of the smaller side stays below a bound.
     Tables laid out by a column of a few values are written without sorting by it.
     """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.maxConcurrentOutputFileWriters", "16")

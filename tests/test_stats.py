@@ -71,16 +71,22 @@ def test_every_type_is_counted(spark):
     frame = spark.sql(
         """SELECT * FROM VALUES
         (1Y, 2S, 3L, 1.5F, 1.25BD, DATE'2024-01-01', TIMESTAMP'2024-01-01 10:00:00',
-         TIMESTAMP_NTZ'2024-01-01 10:00:00', X'00ff', array(1, 2), map('a', 1), struct(1 AS q)),
+         TIMESTAMP_NTZ'2024-01-01 10:00:00', X'00ff', array(1, 2), map('a', 1), struct(1 AS q),
+         parse_json('{"a": 1}'), INTERVAL '1' DAY),
         (1Y, 2S, 3L, 1.5F, 1.25BD, DATE'2024-01-01', TIMESTAMP'2024-01-01 10:00:00',
-         TIMESTAMP_NTZ'2024-01-01 10:00:00', X'00ff', array(1, 2), map('a', 1), struct(1 AS q)),
+         TIMESTAMP_NTZ'2024-01-01 10:00:00', X'00ff', array(1, 2), map('a', 1), struct(1 AS q),
+         parse_json('{"a": 1}'), INTERVAL '1' DAY),
         (2Y, 3S, 4L, 2.5F, 2.25BD, DATE'2024-01-02', TIMESTAMP'2024-01-01 10:00:01',
-         TIMESTAMP_NTZ'2024-01-01 10:00:01', X'01ff', array(2, 1), map('b', 1), struct(2 AS q))
-        AS t(by, sh, lo, fl, de, da, ts, tn, bi, ar, ma, st)"""
+         TIMESTAMP_NTZ'2024-01-01 10:00:01', X'01ff', array(2, 1), map('b', 1), struct(2 AS q),
+         parse_json('{"a": 2}'), INTERVAL '2' DAY)
+        AS t(by, sh, lo, fl, de, da, ts, tn, bi, ar, ma, st, va, iv)"""
     )
     reg = registry(spark, t=frame)
     found = by_column(profiling.column_statistics(reg), "distinct_count", "min_value")
     assert {c: v[0] for c, v in found.items()} == dict.fromkeys(frame.columns, 2)
+    facts = stats.table_facts(profiling.table_plans(reg)[0], approx_distinct=True)
+    sketched = by_column(stats.column_nulls(facts), "approx_distinct")
+    assert sketched == dict.fromkeys(frame.columns, (2,))
     assert {c: v[1] for c, v in found.items() if v[1]} == {
         "by": "1", "sh": "2", "lo": "3", "fl": "1.5", "de": "1.25",
     }
