@@ -17,6 +17,8 @@ from cartulary.sources.cache import (
     misses,
 )
 
+PROMPTS_PER_TASK = 1_000
+
 # Called once per task; returns the function that answers a batch of prompts, given their
 # maximum lengths.
 GeneratorFactory = Callable[[], Callable[[list[str], list[int]], list[str]]]
@@ -27,8 +29,9 @@ def generate(
 ) -> DataFrame:
     """(prompt, response) for every prompt; responses lose white space at both ends.
 
-    Answers are slow next to everything else here, so the prompts are spread over all cores
-    first. The generator is made once per task, in the task.
+    Answers are slow next to everything else here. So the prompts are written aside and counted,
+    then spread over all cores, in tasks small enough that a lost one does not cost much. The
+    generator is made once per task, in the task.
     """
     default_length = MAX_LENGTHS["default"]
 
@@ -39,10 +42,10 @@ def generate(
             texts = respond(batch["prompt"].tolist(), lengths.tolist())
             yield batch[["prompt"]].assign(response=[text.strip() for text in texts])
 
-    spark = missing.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    count = partitions or max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = missing.select("key", "prompt", "max_length").repartition(count, "key")
+    asked = materialize(missing.select("key", "prompt", "max_length"), "prompts")
+    total, cores = asked.count(), missing.sparkSession.sparkContext.defaultParallelism
+    count = partitions or max(1, min(total, cores), -(-total // PROMPTS_PER_TASK))
+    spread = asked.repartition(count, "key")
     return spread.mapInPandas(answer, "prompt string, response string")
 
 

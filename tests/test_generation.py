@@ -95,6 +95,28 @@ def test_entries_are_written_aside_before_they_are_joined(spark, rows, tmp_path)
     assert notes(folder) == ["a/80", "b/80"]
 
 
+def test_many_prompts_make_many_tasks(spark, monkeypatch):
+    def tasks(number):
+        found = spark.range(number).select(F.concat(F.lit("p"), "id").alias("prompt"))
+        missing = caching.misses(found, caching.empty_cache(spark))
+        answered = generation.generate(missing, counting_tasks())
+        return answered.select("response").distinct().count()
+
+    def counting_tasks():
+        def make():
+            import uuid
+
+            name = uuid.uuid4().hex
+            return lambda batch, lengths: [name] * len(batch)
+
+        return make
+
+    assert tasks(1) == 1
+    assert 1 < tasks(200) <= 8
+    monkeypatch.setattr(generation, "PROMPTS_PER_TASK", 10)
+    assert tasks(200) > 8
+
+
 def columns(spark, rows):
     return spark.createDataFrame(
         rows, "table_name string, column_name string, clean_type string, null_pct double"
