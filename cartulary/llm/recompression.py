@@ -97,6 +97,9 @@ def anchors(words: np.ndarray, bounds: np.ndarray, window: int = WINDOW):
     if not len(at):
         return np.zeros(0, np.uint64), nothing, nothing, nothing
     names, start, left, right = recompress(words, bounds)
+    # A symbol may be one common word. The words its parse depends on are in every window that
+    # holds it, so they may name it too, and chance repeats get rare.
+    names = mix(names ^ Stretches(words).of(np.maximum(left, 0), np.minimum(right, len(words))), 3)
     # Symbols whose stretch lies in the window: adjacent ones, since stretches are in order.
     n = len(words)
     low = np.cumsum(np.bincount(left + 1, minlength=n + 2))[at]
