@@ -303,7 +303,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     from others; ids are whole numbers, and rows that repeat an id must be equal: they get equal
     results. Windows of equal hashes (128 bits, of the anchor's name and the words) count as equal.
     """
-    gone = repeated_windows(docs, id_column, text_column)
+    # Written before texts move, so that the two steps do not need disk at the same time.
+    gone = written(repeated_windows(docs, id_column, text_column), "gone")
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     joined = source.join(gone, source["id"] == gone["doc"], "left").select("id", "text", "gone")
     return joined.mapInArrow(
