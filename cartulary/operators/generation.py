@@ -40,7 +40,7 @@ def generate(
         for batch in batches:
             lengths = batch["max_length"].fillna(default_length).astype(int)
             texts = respond(batch["prompt"].tolist(), lengths.tolist())
-            yield batch[["prompt"]].assign(response=[text.strip() for text in texts])
+            yield batch[["prompt"]].assign(response=[(text or "").strip() for text in texts])
 
     asked = materialize(missing.select("key", "prompt", "max_length"), "prompts")
     total, cores = asked.count(), missing.sparkSession.sparkContext.defaultParallelism

@@ -26,7 +26,9 @@ from cartulary.sources.registry import ColumnSpec
 
 CHECKS = "array<struct<ordinal:int,column_name:string,rule:string,issues:bigint>>"
 
+# Longer texts travel as digests with their first characters; ranks do not depend on either.
 LONG_TEXT_BYTES = 64
+HEAD_CHARS = 32
 SKETCH_ERROR = 0.02
 UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
@@ -249,6 +251,7 @@ def value_frequencies(plans, wanted=None) -> dict[str, DataFrame]:
                 "column_id",
                 F.when(~long, F.col("value")).alias("value"),
                 F.when(long, F.unhex(F.md5("value"))).alias("digest"),
+                F.when(long, F.substring("value", 1, HEAD_CHARS)).alias("head"),
             )
         counted[kind] = rows.groupBy(rows.columns).agg(F.count(F.lit(1)).alias("freq"))
     return counted
@@ -277,23 +280,28 @@ def distinct_counts(frequencies: dict[str, DataFrame]) -> DataFrame:
 def top_values(plans, frequencies: dict[str, DataFrame], limit: int = V.TOP_VALUES) -> DataFrame:
     """The most frequent values per column as (column_id, rank, value, freq).
 
-    Equal frequencies rank by value; texts beyond the fixed size rank after the short ones, by
-    digest. Every task keeps only its best few per column before the final ranking, so no task
-    sees all values of a column. The long texts that made it are then looked up by digest.
+    Equal frequencies rank by value. Every task keeps only its best few per column before the
+    final ranking, so no task sees all values of a column. Texts are ranked by their first
+    characters in this, and none that shares them with one of the best is left out; the long ones
+    among these are then looked up by digest and ranked in full.
 
     Nulls are ranked last and dropped after the ranking: a filter before it would reach below
     the shuffle and keep it from being shared with the distinct counts.
     """
     parts = []
     for kind, frame in frequencies.items():
-        order = [F.asc(_no_value(frame)), F.desc("freq"), F.asc_nulls_last("value")]
+        value, place = F.col("value"), F.row_number()
         if kind == "text":
-            order.append(F.asc("digest"))
-        place = F.row_number().over(Window.partitionBy("column_id").orderBy(*order))
+            value, place = F.coalesce("head", F.substring("value", 1, HEAD_CHARS)), F.rank()
+        order = [F.asc(_no_value(frame)), F.desc("freq"), F.asc_nulls_last(value)]
+        place = place.over(Window.partitionBy("column_id").orderBy(*order))
         ranked = frame.withColumn("rank", place)
         ranked = ranked.where((F.col("rank") <= limit) & ~_no_value(frame))
         if kind == "text":
-            ranked = _with_long_texts(plans, ranked)
+            texts = _with_long_texts(plans, ranked.drop("head", "rank"))
+            place = Window.partitionBy("column_id").orderBy(F.desc("freq"), F.asc("value"))
+            ranked = texts.withColumn("rank", F.row_number().over(place))
+            ranked = ranked.where(F.col("rank") <= limit)
         elif kind == "real":
             ranked = ranked.withColumn("value", value_text(F.col("value"), T.DoubleType()))
         else:
@@ -322,8 +330,9 @@ def _whole_text(plans) -> Column:
 def _with_long_texts(plans, ranked: DataFrame) -> DataFrame:
     """Replaces the digests among the ranked values by the texts they stand for.
 
-    At most a few digests per column are left, so these are broadcast, and one more scan keeps
-    the texts that match; copies of a text collapse within the task that finds them.
+    Usually a few digests per column are left; many where texts of one frequency share their first
+    characters, so how they meet the texts is up to Spark. Copies collapse in the task that finds
+    them.
     """
     sources = []
     for plan, columns in numbered(plans):
@@ -343,7 +352,7 @@ def _with_long_texts(plans, ranked: DataFrame) -> DataFrame:
         )
     )
     wanted = ranked.where("digest is not null").select("column_id", "digest")
-    found = keyed.join(F.broadcast(wanted), ["column_id", "digest"]).distinct()
+    found = keyed.join(wanted, ["column_id", "digest"]).distinct()
     joined = ranked.join(found, ["column_id", "digest"], "left")
     return joined.withColumn("value", F.coalesce("value", "text")).drop("text")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +42,7 @@ def build_session(app_name: str = "cartulary", master: str | None = None, **conf
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine: on a cluster the
-    executors could not read each other's files there.
+    A local session without that setting uses a folder in its warehouse; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -54,8 +52,7 @@ def scratch_root(spark: SparkSession) -> str:
         return context.getCheckpointDir().rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cartulary-"))
-    return context.getCheckpointDir().rstrip("/")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:

@@ -177,15 +177,10 @@ def _tops(names, labels, skip=()) -> str:
         for column, label in _columns(name):
             if label not in labels or any(word in column for word in skip):
                 continue
-            order = (
-                "CASE WHEN strlen(v) <= 64 THEN v END ASC NULLS LAST, md5(v)"
-                if label == "string"
-                else "v"
-            )
             parts.append(
                 f"SELECT '{name}' AS table_name, '{column}' AS column_name, rank, "
                 f"CAST(v AS VARCHAR) AS value, freq FROM (SELECT v, freq, "
-                f"row_number() OVER (ORDER BY freq DESC, {order}) AS rank FROM "
+                f"row_number() OVER (ORDER BY freq DESC, v) AS rank FROM "
                 f"(SELECT {column} AS v, count(*) AS freq FROM {_source(name)} "
                 f"WHERE {column} IS NOT NULL GROUP BY 1)) WHERE rank <= 3"
             )

@@ -115,6 +115,15 @@ def test_long_texts_travel_as_digests(spark, rows):
     assert tuple(widest) == (5, 16)
 
 
+def test_long_texts_rank_by_value_like_short_ones(spark, rows):
+    heads = ["h" * 90 + c for c in "dcba"]
+    for texts in (["a" * 100, "m", "n", "o"], [*heads, "h" * 40, "i"], ["b", "a" * 64, "a" * 65, "a" * 66]):
+        frame = spark.createDataFrame([(t,) for t in texts], "s string")
+        plans = profiling.table_plans(registry(spark, t=frame))
+        found = stats.top_values(plans, stats.value_frequencies(plans))
+        assert [r[1] for r in sorted(rows(found, "rank", "value"))] == sorted(texts)[:3]
+
+
 def test_a_value_in_a_third_of_the_rows(spark):
     frame = spark.range(90_000).select(
         F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"),
