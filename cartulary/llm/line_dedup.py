@@ -75,24 +75,24 @@ def drop_shared_lines(
         keyed.join(shared, ["h", "g"])
         .where(F.col("doc") != F.col("keeper"))
         .groupBy("doc", "body")
-        .agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-        .select(F.col("doc")[id_column].alias("_id"), F.col("body").alias("_body"), "gone")
+        .agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
+        .select(F.col("doc")[id_column].alias("__id"), F.col("body").alias("__body"), "__gone")
     )
     marked = docs.drop("n_lines", "n_dropped").join(
         gone,
-        docs[id_column].eqNullSafe(gone["_id"])
-        & (F.xxhash64(docs[text_column]) == gone["_body"]),
+        docs[id_column].eqNullSafe(gone["__id"])
+        & (F.xxhash64(docs[text_column]) == gone["__body"]),
         "left",
     )
     lines = _lines(F.col(text_column))
-    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1))
-    stops = F.concat(F.col("gone"), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda p: p + 1))
+    stops = F.concat(F.col("__gone"), F.array(F.size(lines)))
     stretches = F.flatten(
         F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0))))
     )
     return marked.select(
         *[
-            F.when(F.col("gone").isNull(), F.coalesce(F.col(c), F.lit("")))
+            F.when(F.col("__gone").isNull(), F.coalesce(F.col(c), F.lit("")))
             .otherwise(F.array_join(stretches, "\n"))
             .alias(c)
             if c == text_column
@@ -101,5 +101,5 @@ def drop_shared_lines(
             if c not in ("n_lines", "n_dropped")
         ],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
