@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from cartulary.llm.common import offsets, slices, spread
 
 # Text that is encoded at a time; pieces in it are encoded once.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 2 << 20
 
 # Fixed value of byte-level vocabularies: how a text is cut into pieces.
 PIECES = (
@@ -179,25 +179,32 @@ def encode_texts(vocab: Vocabulary, texts: list[str]) -> list[bytes]:
 
 
 def encode(
-    docs: DataFrame, path: str, text_column: str = "text", ids_column: str = "ids"
+    docs: DataFrame,
+    path: str,
+    text_column: str = "text",
+    ids_column: str = "ids",
+    keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with the ids of its texts: a binary of little-endian unsigned 32-bit numbers.
 
     ``path`` names the vocabulary, a file that every executor has. A null text is empty; a column
-    of ``docs`` named ``ids_column`` is replaced; all others stay. Each text is encoded whole;
+    of ``docs`` named ``ids_column`` is replaced; all others stay, the text only if ``keep_text``
+    says so, since it would go back to Spark once more. Each text is encoded whole;
     a special token's string in a text is that token. Memory is bounded by ``ENCODE_BYTES`` of
     text, or one text. No row moves: an empty table gives an empty table.
     """
     kept = docs.drop(ids_column)
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids_column, T.BinaryType())])
+    fields = [f for f in kept.schema.fields if keep_text or f.name != text_column]
+    schema = T.StructType([*fields, T.StructField(ids_column, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for part in slices(batches, text_column, ENCODE_BYTES):
             texts = [t or "" for t in part.column(text_column).to_pylist()]
-            yield part.append_column(
-                pa.field(ids_column, pa.binary()), pa.array(encode_texts(vocab, texts), pa.binary())
-            )
+            coded = pa.array(encode_texts(vocab, texts), pa.binary())
+            if not keep_text:
+                part = part.drop_columns([text_column])
+            yield part.append_column(pa.field(ids_column, pa.binary()), coded)
 
     return kept.mapInArrow(run, schema)
 
