@@ -47,6 +47,9 @@ class TablePlan:
     footers: DataFrame | None = None
 
 
+SAMPLES = "table_name string, column_name string, values array<string>"
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -168,13 +171,52 @@ def column_nulls(facts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 
+# Times in nested values keep their microseconds.
+JSON_TIMES = (
+    "map('timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSSXXX', "
+    "'timestampNTZFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+)
+
+
+def _has_real(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _has_real(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_has_real(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.MapType):
+        return _has_real(dtype.keyType) or _has_real(dtype.valueType)
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
+
+
+def _one_zero(value: str, dtype: T.DataType, depth: int = 0) -> str:
+    """SQL text of a value whose negative zeros, at any depth, are plain zeros."""
+    if not _has_real(dtype):
+        return value
+    if isinstance(dtype, T.ArrayType):
+        item = f"x{depth}"
+        return f"transform({value}, {item} -> {_one_zero(item, dtype.elementType, depth + 1)})"
+    if isinstance(dtype, T.MapType):
+        key, item = f"k{depth}", f"x{depth}"
+        keys = _one_zero(key, dtype.keyType, depth + 1)
+        items = _one_zero(item, dtype.valueType, depth + 1)
+        keyed = f"transform_keys({value}, ({key}, {item}) -> {keys})"
+        return f"transform_values({keyed}, ({key}, {item}) -> {items})"
+    if isinstance(dtype, T.StructType):
+        fields = ", ".join(
+            f"{text_literal(f.name)}, {_one_zero(f'{value}.{tick(f.name)}', f.dataType, depth)}"
+            for f in dtype.fields
+        )
+        return f"if({value} IS NULL, NULL, named_struct({fields}))"
+    return f"({value} + CAST(0 AS {dtype.simpleString()}))"
+
+
 def _comparable(name: str, dtype: T.DataType) -> str:
     """SQL text of a column: nested and binary values as text, everything else as it is."""
     value = tick(name)
     if isinstance(dtype, T.MapType):
-        return f"to_json(array_sort(map_entries({value})))"
+        return f"to_json(array_sort(map_entries({_one_zero(value, dtype)})), {JSON_TIMES})"
     if isinstance(dtype, (T.ArrayType, T.StructType)):
-        return f"to_json({value})"
+        return f"to_json({_one_zero(value, dtype)}, {JSON_TIMES})"
     if isinstance(dtype, T.BinaryType):
         return f"hex({value})"
     if isinstance(dtype, T.VariantType) or not isinstance(dtype, T.AtomicType):
@@ -404,8 +446,7 @@ def sample_values(plans) -> DataFrame:
     """(table_name, column_name, values) for the columns that may be shown in prompts."""
     frequencies = value_frequencies(plans, has_samples)
     if not frequencies:
-        schema = "table_name string, column_name string, values array<string>"
-        return plans[0].frame.sparkSession.createDataFrame([], schema)
+        return plans[0].frame.sparkSession.createDataFrame([], SAMPLES)
     named = name_columns(plans, value_lists(top_values(plans, frequencies)))
     return named.select("table_name", "column_name", "values")
 

@@ -31,6 +31,21 @@ def sample_values(registry: Registry, names=None) -> DataFrame:
     return stats.sample_values(table_plans(registry, names))
 
 
+def readable_samples(registry: Registry, names: list[str]) -> list[DataFrame]:
+    """The samples of all tables that can be read, written aside; the others have none.
+
+    Tables are sampled together or, if that fails, each half by itself, as in a crawl.
+    """
+    try:
+        return [materialize(sample_values(registry, names), "samples")]
+    except Exception:
+        if len(names) == 1:
+            return []
+    middle = len(names) // 2
+    first = readable_samples(registry, names[:middle])
+    return first + readable_samples(registry, names[middle:])
+
+
 def describe(
     tables: DataFrame,
     columns: DataFrame,
@@ -64,10 +79,15 @@ def describe(
 def describe_catalog(
     registry: Registry, store: CatalogStore, cache: ResponseCache, make_generator: GeneratorFactory
 ) -> DataFrame:
-    """Describes everything in the catalog and returns how much that was."""
+    """Describes everything in the catalog and returns how much that was.
+
+    A table that can no longer be read is described without samples.
+    """
     tables, columns = store.read("catalog_tables"), store.read("catalog_columns")
-    known = registry.names()
-    samples = materialize(sample_values(registry, known), "samples")
+    names = registry.names()
+    sampled = readable_samples(registry, names) if names else []
+    none = registry.spark.createDataFrame([], stats.SAMPLES)
+    samples = stats.union_all([none, *sampled])
     found = describe(tables, columns, samples, cache, make_generator)
     store.replace("catalog_tables", catalog.describe_tables(tables, found.tables))
     store.replace("catalog_columns", catalog.describe_columns(columns, found.columns))

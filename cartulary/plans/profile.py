@@ -30,7 +30,7 @@ def table_plans(registry: Registry, names=None) -> list[stats.TablePlan]:
         columns = tuple(registry.column_specs(name))
         if not columns:
             raise ValueError(f"table {name} has no columns to profile")
-        key = tuple(registry.constraints.primary_key(name))
+        key = tuple(registry.primary_key(name))
         footers = registry.load_footers(name)
         plans.append(stats.TablePlan(name, registry.load(name), columns, key, footers))
     return plans
@@ -118,7 +118,7 @@ def together(profiles: list[Profile]) -> Profile:
 def _key_summary(registry: Registry, names, foreign: DataFrame) -> DataFrame:
     """Primary-key columns and number of foreign keys; a row per table."""
     spark = registry.spark
-    rows = [(n, ", ".join(registry.constraints.primary_key(n))) for n in names]
+    rows = [(n, ", ".join(registry.primary_key(n))) for n in names]
     keys = spark.createDataFrame(rows, "table_name string, primary_keys string")
     counts = foreign.groupBy("table_name").agg(F.count(F.lit(1)).alias("foreign_key_count"))
     return keys.join(counts, "table_name", "left").na.fill(0, ["foreign_key_count"])

@@ -46,11 +46,14 @@ def misses(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     """Each prompt once that still needs a response; an empty response does not count as one.
 
     Copies of a prompt collapse before the shuffle, so a prompt that a third of the rows share
-    is sent once per task.
+    is sent once per task. That shuffle by key is the only one a prompt's text passes: the keys
+    of the cache come to it.
     """
     keyed = prompts.withColumn("key", prompt_key(F.col("prompt")))
     limit = F.col("max_length") if "max_length" in prompts.columns else F.lit(None).cast("int")
-    once = keyed.groupBy("key", "prompt").agg(F.max(limit).alias("max_length"))
+    once = keyed.groupBy("key").agg(
+        F.min("prompt").alias("prompt"), F.max(limit).alias("max_length")
+    )
     answered = cache.where("response <> ''").select("key")
     return once.join(answered, "key", "left_anti")
 

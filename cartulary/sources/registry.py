@@ -9,6 +9,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,18 +247,37 @@ class Registry:
                 rows.append((fk.table, seen[fk.table], list(fk.columns), fk.references, referred))
         return self.spark.createDataFrame(rows, RAW_FOREIGN_KEYS)
 
+    def primary_key(self, name: str) -> list[str]:
+        """The key columns of a table as its schema spells them; one that is absent is an error.
+
+        Names are compared as Spark does: in any case unless ``spark.sql.caseSensitive`` is set.
+        """
+        columns = [c.name for c in self.column_specs(name)]
+        strict = self.spark.conf.get("spark.sql.caseSensitive") == "true"
+        found = []
+        for key in self.constraints.primary_key(name):
+            like = [c for c in columns if not strict and c.lower() == key.lower()]
+            if key in columns:
+                found.append(key)
+            elif len(like) == 1:
+                found.append(like[0])
+            else:
+                raise ValueError(f"table {name} has no single key column {key}")
+        return found
+
     def primary_keys(self, names=None) -> DataFrame:
         rows = [
             (name, column, position)
             for name in (names or self.names())
-            for position, column in enumerate(self.constraints.primary_key(name), 1)
+            for position, column in enumerate(self.primary_key(name), 1)
         ]
         return self.spark.createDataFrame(rows, PRIMARY_KEYS)
 
     def table_sizes(self, names=None) -> DataFrame:
         """Bytes on disk per table; 0 where a source has no files of its own.
 
-        Lists the files without opening them: only their length is read.
+        Files under a path are listed without being opened. Those of a session table are taken
+        from the rows, of which no column is read; a file without rows does not count there.
         """
         frames = [self._table_size(name) for name in (names or self.names())]
         sizes = frames[0]
@@ -267,18 +287,25 @@ class Registry:
 
     def _table_size(self, name: str) -> DataFrame:
         source = self.sources[name]
-        paths = [source.path] if source.path else []
         if source.table:
-            paths = self.load(name).inputFiles()
+            files = self._files_of_rows(name)
+        elif source.path:
+            reader = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            files = reader.load(source.path).select("length")
+        else:
+            files = None
+        if files is None:
+            files = self.spark.createDataFrame([], "length long")
         total = F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("table_size_bytes")
-        if not paths:
-            return self.spark.range(1).select(
-                F.lit(name).alias("table_name"), F.lit(0).cast("long").alias("table_size_bytes")
+        return files.agg(total).select(F.lit(name).alias("table_name"), "table_size_bytes")
+
+    def _files_of_rows(self, name: str) -> DataFrame | None:
+        """Lengths of the files that a table's rows come from; None where there are no files."""
+        try:
+            file = self.load(name).select(
+                F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_size").alias("length"),
             )
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        return (
-            files.load(paths)
-            .select("length")
-            .agg(total)
-            .select(F.lit(name).alias("table_name"), "table_size_bytes")
-        )
+        except AnalysisException:
+            return None
+        return file.distinct()

@@ -261,3 +261,21 @@ def test_a_hub_with_most_edges(spark, rows):
     for limit in (0, 50_000):
         found = ask.lineage_path(graph, "t5", "t7", (lineage.RELATED_TO,), limit)
         assert rows(found) == [(["t5", "hub", "t7"], 2)]
+
+
+def test_repeated_rows_make_one_node_and_one_edge(spark, rows):
+    tables, columns = small_catalog(spark)
+    other = tables.where("table_name = 'a'").withColumn("row_count", F.lit(7).cast("long"))
+    keys = links(spark, [("a", "x", "b", "k"), ("a", "x", "b", "k")])
+    once = lineage.build_graph(tables, columns, keys, "d", stamp())
+    twice = lineage.build_graph(
+        tables.unionByName(tables).unionByName(other), columns.unionByName(columns), keys, "d", stamp()
+    )
+    assert rows(twice.edges.orderBy("type", "src", "dst")) == rows(
+        once.edges.orderBy("type", "src", "dst")
+    )
+    assert twice.nodes.count() == once.nodes.count()
+    assert lineage.repeated_nodes(twice.nodes).count() == 0
+    assert rows(twice.nodes.where("full_name = 'd.a'"), "row_count") == [(7,)]
+    raw = lineage.table_nodes(tables.unionByName(tables), "d")
+    assert sorted(rows(lineage.repeated_nodes(raw), "full_name", "count")) == [("d.a", 2), ("d.b", 2)]

@@ -1,3 +1,6 @@
+from pathlib import Path
+from urllib.parse import unquote, urlparse
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +177,24 @@ def test_edge_counts_survive_the_store(spark, rows, store, folder):
     assert rows(lineage.edge_counts(graph.edges)) == [
         ("HAS_COLUMN", 5), ("CONTAINS", 2), ("REFERENCES", 1), ("RELATED_TO", 1),
     ]
+
+
+def test_a_broken_table_does_not_stop_the_descriptions(spark, rows, store, folder, tmp_path):
+    missing = TableSource("missing", path=str(folder / "nowhere"))
+    reg = Registry(spark, sources(folder, missing), CONSTRAINTS)
+    cache = ResponseCache(spark, str(tmp_path / "cache"))
+    summary = refreshing.refresh_catalog(reg, store, "shop", cache, template(), AS_OF).first()
+    assert (summary["status"], summary["described_count"]) == ("partial", 2)
+    assert refreshing.stored_graph(store).nodes.where("label = 'Column'").count() == 5
+
+
+def test_size_of_a_table_with_a_space_in_a_partition(spark, rows, store):
+    store.setup()
+    rows_by_text = spark.sql("select id, if(id < 5, 'a b', 'c%') as p from range(10)")
+    rows_by_text.write.partitionBy("p").saveAsTable(f"{store.database}.spaced")
+    reg = Registry(spark, [TableSource("spaced", table=f"{store.database}.spaced")])
+    size = reg.table_sizes().first()["table_size_bytes"]
+    described = spark.sql(f"describe formatted {store.database}.spaced").collect()
+    folder = next(r["data_type"] for r in described if r["col_name"] == "Location")
+    files = Path(unquote(urlparse(folder).path)).rglob("*.parquet")
+    assert size == sum(f.stat().st_size for f in files) > 0

@@ -204,3 +204,25 @@ def test_counts_from_file_footers(spark, tmp_path):
 def test_a_table_without_columns_is_refused(spark):
     with pytest.raises(ValueError):
         profiling.table_plans(registry(spark, t=spark.range(3).drop("id")))
+
+
+def test_keys_are_found_in_any_case_or_missed_loudly(spark, rows):
+    frame = spark.createDataFrame([(1,), (1,), (2,)], "id int")
+    source = TableSource("t", frame=frame)
+    reg = Registry(spark, [source], Constraints({"t": ("ID",)}))
+    assert rows(stats.repeated_keys(profiling.table_plans(reg))) == [("t", 1)]
+    assert rows(reg.primary_keys(), "table_name")[0] == ("t",)
+    with pytest.raises(ValueError, match="nothing"):
+        profiling.table_plans(Registry(spark, [source], Constraints({"t": ("nothing",)})))
+
+
+def test_nested_values_keep_microseconds_and_know_one_zero(spark):
+    frame = spark.sql(
+        "select named_struct('t', timestamp'2024-01-01 00:00:00.000001', 'it''s', 1) as s,"
+        " array(0.0D, 1.5D) as a, map('k', array(0.0F)) as m, array(named_struct('d', 0.0D)) as n"
+        " union all "
+        "select named_struct('t', timestamp'2024-01-01 00:00:00.000002', 'it''s', 1),"
+        " array(-0.0D, 1.5D), map('k', array(-0.0F)), array(named_struct('d', -0.0D))"
+    )
+    found = by_column(profiling.column_statistics(registry(spark, t=frame)), "distinct_count")
+    assert found == {"s": (2,), "a": (1,), "m": (1,), "n": (1,)}
