@@ -187,3 +187,20 @@ def test_tag_and_relationship_prompts(spark):
     )
     text = prompts.relationship_prompts(links).first()["prompt"]
     assert text.endswith("Relationship:\na.b references c.d\n\nExplanation:")
+
+
+def test_the_text_of_a_prompt_passes_one_shuffle(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    asked = spark.range(1000).selectExpr("concat('prompt ', id % 10) as prompt")
+    known = spark.range(5).selectExpr("md5(concat('prompt ', id)) as key", "'yes' as response")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        missing = caching.misses(asked, known)
+        plan = missing._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert sorted(r["prompt"] for r in missing.collect()) == [f"prompt {i}" for i in range(5, 10)]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
