@@ -28,6 +28,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS, BLOCK_RADIUS = 23, 8, 2
 # Items whose index is sent to the executors at a time; more take further passes.
 ITEM_BYTES = 8 << 20
+# Stretch of a document, in window starts, whose SimHashes are held at a time.
+STRETCH = 1 << 13
 
 _WORD = re.compile(r"\w+")
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -53,7 +55,8 @@ def window_simhashes(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray
 
     A shingle weighs as often as it stands in the window.
     """
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(shingles), axis=0)])
+    sums = np.zeros((len(shingles) + 1, 64), np.int32)
+    np.cumsum(_signs(shingles), axis=0, out=sums[1:])
     return np.packbits(sums[stops] - sums[starts] > 0, axis=1)
 
 
@@ -121,36 +124,43 @@ class ItemIndex:
             np.add.at(reach, np.clip(at - size + 1, 0, last), 1)
             np.add.at(reach, np.minimum(at, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(reach)[:-1] > 0)
-            low = int(starts[0])
-            part = document[low : int(starts[-1]) + size]
-            starts = starts - low
-            stops = np.minimum(starts + size, len(part))
-            prints = window_simhashes(part, starts, stops)
-            hit = group["near"][0][prints[:, 0]]
-            for block in range(1, BLOCKS):
-                hit = hit | group["near"][block][prints[:, block]]
-            for n in np.flatnonzero(hit.any(axis=0)).tolist():
-                window = np.flatnonzero(hit[:, n])
-                apart = _BITS[prints[window] ^ group["prints"][n]].sum(axis=1, dtype=np.int32)
-                window = window[apart <= RADIUS]
-                # At most as many shingles in common as are in the item at all.
-                sums = np.concatenate([[0], np.cumsum(np.isin(part, group["sets"][n]))])
-                most = sums[stops[window]] - sums[starts[window]]
-                sizes = stops[window] - starts[window] + size
-                best, where = 0.0, -1
-                bound = most / np.maximum(sizes - most, 1)
-                for w in window[bound >= threshold].tolist():
-                    bag = Counter(part[starts[w] : stops[w]].tolist())
-                    found = weighted_similarity(bag, group["bags"][n])
-                    if found > best:
-                        best, where = found, w
-                if best >= threshold:
-                    yield (
-                        group["items"][n],
-                        low + int(starts[where]),
-                        int(stops[where] - starts[where]) + k - 1,
-                        best,
-                    )
+            best: dict[int, tuple[float, int, int]] = {}
+            for own in np.split(starts, np.flatnonzero(np.diff(starts // STRETCH)) + 1):
+                low = int(own[0])
+                part = document[low : int(own[-1]) + size]
+                for n, found, start, length in _verified(group, size, part, own - low, threshold):
+                    if found > best.get(n, (0.0,))[0]:
+                        best[n] = (found, low + start, length + k - 1)
+            for n, (found, start, length) in best.items():
+                yield group["items"][n], start, length, found
+
+
+def _verified(
+    group: dict, size: int, part: np.ndarray, starts: np.ndarray, threshold: float
+) -> Iterator[tuple[int, float, int, int]]:
+    """Number in the group, similarity, start and shingles of the best window per item."""
+    stops = np.minimum(starts + size, len(part))
+    prints = window_simhashes(part, starts, stops)
+    hit = group["near"][0][prints[:, 0]]
+    for block in range(1, BLOCKS):
+        hit = hit | group["near"][block][prints[:, block]]
+    for n in np.flatnonzero(hit.any(axis=0)).tolist():
+        window = np.flatnonzero(hit[:, n])
+        apart = _BITS[prints[window] ^ group["prints"][n]].sum(axis=1, dtype=np.int32)
+        window = window[apart <= RADIUS]
+        # At most as many shingles in common as are in the item at all.
+        sums = np.concatenate([[0], np.cumsum(np.isin(part, group["sets"][n]))])
+        most = sums[stops[window]] - sums[starts[window]]
+        sizes = stops[window] - starts[window] + size
+        best, where = 0.0, -1
+        bound = most / np.maximum(sizes - most, 1)
+        for w in window[bound >= threshold].tolist():
+            bag = Counter(part[starts[w] : stops[w]].tolist())
+            found = weighted_similarity(bag, group["bags"][n])
+            if found > best:
+                best, where = found, w
+        if best >= threshold:
+            yield n, best, int(starts[where]), int(stops[where] - starts[where])
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[list]:
