@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.common import WHITE, written
 
+#: Columns that the operator adds.
+COUNTS = ("n_lines", "n_dropped")
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,7 +81,7 @@ def drop_shared_lines(
         .agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
         .select(F.col("doc")[id_column].alias("__id"), F.col("body").alias("__body"), "__gone")
     )
-    marked = docs.drop("n_lines", "n_dropped").join(
+    marked = docs.drop(*COUNTS).join(
         gone,
         docs[id_column].eqNullSafe(gone["__id"])
         & (F.xxhash64(docs[text_column]) == gone["__body"]),
@@ -98,7 +101,7 @@ def drop_shared_lines(
             if c == text_column
             else F.col(c)
             for c in docs.columns
-            if c not in ("n_lines", "n_dropped")
+            if c not in COUNTS
         ],
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),

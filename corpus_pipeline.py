@@ -20,19 +20,30 @@ from cartulary.llm.queries import BYTE_BPE, MULTILINGUAL
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer if documents have a column of that name (in any case) themselves."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents with a language: without letters, or between languages, they go."""
     model = language.fit(docs.where(language.is_training(F.col("doc_id"))), MULTILINGUAL)
-    found = language.identify(docs, model)
-    kept = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    lang, score = _free(docs, "lang_pred"), _free(docs, "score")
+    found = language.identify(docs, model, lang_column=lang, score_column=score)
+    kept = (F.col(lang) != language.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)
     return found.where(kept).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without lines that three or more share; the length is that of what is left."""
-    kept = line_dedup.drop_shared_lines(docs)
+    aside = {c: _free(docs, c) for c in docs.columns if c in line_dedup.COUNTS}
+    kept = line_dedup.drop_shared_lines(docs.withColumnsRenamed(aside))
     length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", length).select(docs.columns)
+    own = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+    return kept.withColumn("n_chars", length).select(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
