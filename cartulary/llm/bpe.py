@@ -178,33 +178,38 @@ def encode_texts(vocab: Vocabulary, texts: list[str]) -> list[bytes]:
     return out
 
 
+def _encoded(vocab: Vocabulary, part: pa.RecordBatch, column: str) -> pa.Array:
+    texts = [t or "" for t in part.column(column).to_pylist()]
+    return pa.array(encode_texts(vocab, texts), pa.binary())
+
+
+def _decoded(vocab: Vocabulary, ids: pa.Array) -> pa.Array:
+    token = vocab.bytes.__getitem__
+    texts = (
+        b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace")
+        for x in ids.to_pylist()
+    )
+    return pa.array(texts, pa.string())
+
+
 def encode(
-    docs: DataFrame,
-    path: str,
-    text_column: str = "text",
-    ids_column: str = "ids",
-    keep_text: bool = True,
+    docs: DataFrame, path: str, text_column: str = "text", ids_column: str = "ids"
 ) -> DataFrame:
     """``docs`` with the ids of its texts: a binary of little-endian unsigned 32-bit numbers.
 
     ``path`` names the vocabulary, a file that every executor has. A null text is empty; a column
-    of ``docs`` named ``ids_column`` is replaced; all others stay, the text only if ``keep_text``
-    says so, since it would go back to Spark once more. Each text is encoded whole;
+    of ``docs`` named ``ids_column`` is replaced; all others stay. Each text is encoded whole;
     a special token's string in a text is that token. Memory is bounded by ``ENCODE_BYTES`` of
     text, or one text. No row moves: an empty table gives an empty table.
     """
     kept = docs.drop(ids_column)
-    fields = [f for f in kept.schema.fields if keep_text or f.name != text_column]
-    schema = T.StructType([*fields, T.StructField(ids_column, T.BinaryType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids_column, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for part in slices(batches, text_column, ENCODE_BYTES):
-            texts = [t or "" for t in part.column(text_column).to_pylist()]
-            coded = pa.array(encode_texts(vocab, texts), pa.binary())
-            if not keep_text:
-                part = part.drop_columns([text_column])
-            yield part.append_column(pa.field(ids_column, pa.binary()), coded)
+            ids = _encoded(vocab, part, text_column)
+            yield part.append_column(pa.field(ids_column, pa.binary()), ids)
 
     return kept.mapInArrow(run, schema)
 
@@ -220,17 +225,46 @@ def decode(
     schema = T.StructType([*kept.schema.fields, T.StructField(text_column, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).bytes.__getitem__
+        vocab = vocabulary(path)
         for part in slices(batches, ids_column, ENCODE_BYTES):
-            texts = [
-                b"".join(map(token, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
-                for ids in part.column(ids_column).to_pylist()
-            ]
-            yield part.append_column(pa.field(text_column, pa.string()), pa.array(texts, pa.string()))
+            texts = _decoded(vocab, part.column(ids_column))
+            yield part.append_column(pa.field(text_column, pa.string()), texts)
 
     return kept.mapInArrow(run, schema)
 
 
+def encode_and_decode(
+    docs: DataFrame,
+    path: str,
+    text_column: str = "text",
+    ids_column: str = "ids",
+    decoded_column: str = "decoded",
+) -> DataFrame:
+    """``docs`` with the ids of its texts in place of the texts, and what the ids decode to.
+
+    The same as ``encode`` followed by ``decode``, without the text column, in one Python worker
+    per task: ids do not go back to Spark in between.
+    """
+    given = docs.drop(*{ids_column, decoded_column} - {text_column})
+    schema = T.StructType(
+        [
+            *[f for f in given.schema.fields if f.name != text_column],
+            T.StructField(ids_column, T.BinaryType()),
+            T.StructField(decoded_column, T.StringType()),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for part in slices(batches, text_column, ENCODE_BYTES):
+            ids = _encoded(vocab, part, text_column)
+            part = part.drop_columns([text_column])
+            part = part.append_column(pa.field(ids_column, pa.binary()), ids)
+            yield part.append_column(pa.field(decoded_column, pa.string()), _decoded(vocab, ids))
+
+    return given.mapInArrow(run, schema)
+
+
 def digests(encoded: DataFrame, ids_column: str = "ids", text_column: str = "decoded"):
     """Columns that sum up an encoding: token count and SHA-256 of ids and decoded text."""
     return (

@@ -52,7 +52,7 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, BYTE_BPE, keep_text=False), BYTE_BPE)
+    coded = bpe.encode_and_decode(docs, BYTE_BPE)
     return coded.select("doc_id", *bpe.digests(coded))
 
 

@@ -62,8 +62,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of each document, with the digests of ids and decoded text."""
-    ids = bpe.encode(docs.select("doc_id", "text"), BYTE_BPE, keep_text=False)
-    coded = bpe.decode(ids, BYTE_BPE)
+    coded = bpe.encode_and_decode(docs.select("doc_id", "text"), BYTE_BPE)
     return coded.select("doc_id", "ids", *bpe.digests(coded))
 
 
