@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from cartulary.llm import decontamination as D
 from cartulary.llm.common import offsets, shingle_hashes
@@ -94,6 +95,26 @@ def test_several_passes_give_the_same(spark, monkeypatch):
     assert once and sorted(map(tuple, D.find_items(docs, items).collect())) == once
 
 
+def test_short_stretches_give_the_same(monkeypatch):
+    r = random.Random(4)
+    word = lambda: f"w{r.randint(0, 300)}"
+    items = [(i, " ".join(word() for _ in range(r.randint(1, 40)))) for i in range(20)]
+    texts = []
+    for _ in range(60):
+        text = [word() for _ in range(r.randint(0, 100))]
+        for _ in range(3):
+            at = r.randint(0, len(text))
+            text[at:at] = r.choice(items)[1].split()
+        texts.append(" ".join(text))
+    part = pa.RecordBatch.from_pydict({"id": list(range(60)), "text": texts})
+    index = D.ItemIndex(items)
+    expected = sorted(D._found(part, index, 0.8))
+    assert {(d, i): (s, round(x, 9)) for d, i, s, _, x in expected} == brute_force(list(enumerate(texts)), items)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(D, "STRETCH", size)
+        assert sorted(D._found(part, index, 0.8)) == expected
+
+
 def test_blocks_find_all_fingerprints_within_the_radius():
     r = np.random.default_rng(4)
     prints = r.integers(0, 256, (50, 8), dtype=np.uint8)
