@@ -68,7 +68,8 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
     printed = winnowing.fingerprints(
         followed.select("doc_id", "text", edited.alias("edited"), "next_text"),
-        {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"},
+        {"text": "fingerprint", "edited": "edited_fingerprint"},
+        {"near_edited": ("text", "edited"), "near_next": ("text", "next_text")},
     )
     return printed.select(
         "doc_id",
@@ -76,8 +77,8 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         _sha256(F.col("edited")).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        winnowing.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        winnowing.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 

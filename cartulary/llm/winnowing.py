@@ -2,7 +2,8 @@
 
 Every ``gram`` characters are hashed; of each ``window`` adjacent hashes the smallest is kept, the
 rightmost of equal ones, with its position. Two texts that share a passage of at least
-``gram + window - 1`` characters therefore share a fingerprint at the same place of it.
+``gram + window - 1`` characters therefore share a fingerprint at the same place of it: 15 with the
+settings below. So a text of 29 characters or more shares one with any text that keeps its first half.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartulary.llm.common import mix, offsets, slices
 
-GRAM, WINDOW = 16, 64
+GRAM, WINDOW = 8, 8
+# Text that is hashed at a time; a character takes some 60 bytes of memory meanwhile.
+HASHED_BYTES = 1 << 20
 
 # The base of the rolling hash and its inverse modulo 2^64 (fixed values).
 _BASE = 0x9E3779B97F4A7C15
@@ -87,49 +90,53 @@ def _printed(hashes: np.ndarray, places: np.ndarray) -> str:
     return np.stack([hashes, places], axis=1).astype(">u4").tobytes().hex()
 
 
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared hashes among all hashes of two fingerprints, 0 to 1; 1 if both are empty."""
+    x, y = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    either = len(x) + len(y) - both
+    return both / either if either else 1.0
+
+
 def fingerprints(
-    docs: DataFrame, columns: dict[str, str], gram: int = GRAM, window: int = WINDOW
+    docs: DataFrame,
+    columns: dict[str, str],
+    alike: dict[str, tuple[str, str]] | None = None,
+    gram: int = GRAM,
+    window: int = WINDOW,
 ) -> DataFrame:
     """``docs`` with the fingerprint of each text column named in ``columns``.
 
     ``columns`` maps a text column to the column its fingerprint goes to, a text of sixteen
-    hexadecimal digits per kept hash: eight of the hash, eight of its position. Columns of that
-    name are replaced, all others stay. A null text is empty and has an empty fingerprint. Memory
-    is bounded by a slice of texts; no row moves.
+    hexadecimal digits per kept hash: eight of the hash, eight of its position. ``alike`` maps
+    further columns to pairs of text columns, whose fingerprints' likeness goes there. Columns of
+    those names are replaced, all others stay. A null text is empty and has an empty fingerprint.
+    Memory is bounded by a slice of texts; no row moves.
     """
-    kept = docs.drop(*columns.values())
+    alike = alike or {}
+    kept = docs.drop(*columns.values(), *alike)
     fields = [T.StructField(name, T.StringType()) for name in columns.values()]
+    fields += [T.StructField(name, T.DoubleType()) for name in alike]
     schema = T.StructType([*kept.schema.fields, *fields])
+    sources = list(dict.fromkeys([*columns, *(c for pair in alike.values() for c in pair)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, next(iter(columns))):
+        for part in slices(batches, sources[0], HASHED_BYTES):
+            found = {}
+            for source in sources:
+                found[source] = winnow([t or "" for t in part.column(source).to_pylist()], gram, window)
             for source, target in columns.items():
-                texts = [t or "" for t in part.column(source).to_pylist()]
-                found = pa.array([_printed(*f) for f in winnow(texts, gram, window)], pa.string())
-                part = part.append_column(pa.field(target, pa.string()), found)
+                printed = pa.array([_printed(*f) for f in found[source]], pa.string())
+                part = part.append_column(pa.field(target, pa.string()), printed)
+            for target, (a, b) in alike.items():
+                pairs = zip(found[a], found[b], strict=True)
+                near = pa.array([likeness(x, y) for (x, _), (y, _) in pairs], pa.float64())
+                part = part.append_column(pa.field(target, pa.float64()), near)
             yield part
 
     return kept.mapInArrow(run, schema)
 
 
-def fingerprint_hashes(fingerprint: Column) -> Column:
-    """The distinct hashes in a fingerprint, in hexadecimal digits."""
-    return F.array_distinct(
-        F.transform(
-            F.filter(F.split(F.regexp_replace(fingerprint, "(.{16})", "$1 "), " "), lambda x: x != ""),
-            lambda x: F.substring(x, 1, 8),
-        )
-    )
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes among all hashes of two fingerprints, 0 to 1; 1 if both are empty."""
-    x, y = fingerprint_hashes(a), fingerprint_hashes(b)
-    both = F.size(F.array_intersect(x, y))
-    either = F.size(x) + F.size(y) - both
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
-
-
 def with_next(
     docs: DataFrame,
     id_column: str = "doc_id",

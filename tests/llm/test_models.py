@@ -110,3 +110,21 @@ def test_next_texts_and_edited_texts(spark):
     result = op6_fingerprints(spark, SMALL).collect()
     assert len(result) == len(given_texts(spark))
     assert sum(r.near_edited > r.near_next for r in result) > 0.9 * len(result)
+
+
+def test_short_texts_are_like_their_edited_texts(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [r for r in docs.where("length(text) >= 200").orderBy("doc_id").limit(130).collect()]
+    # Any text that keeps 15 characters in its first half, however long the rest.
+    short = [r.asDict() | {"text": r.text[:n], "n_chars": n} for n, r in enumerate(rows, 29)]
+    spark.createDataFrame(short, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in op6_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(found) == len(short) == 130
+    texts = [r["text"] for r in short]
+    for row, text, following in zip(short, texts, texts[1:] + texts[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        x, y = ({h for h, _ in brute_winnow(t)} for t in (text, edited))
+        near = found[row["doc_id"]].near_edited
+        assert near == len(x & y) / len(x | y) and near > 0
+        assert near < 1 or text == edited
