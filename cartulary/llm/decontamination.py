@@ -3,9 +3,11 @@
 Windows of an item's size are slid over the places of a document that share a run of words with
 an item. Their SimHashes are looked up in an index over 8-bit blocks of the items' SimHashes: two
 fingerprints at most ``RADIUS`` bits apart differ in at most two bits of some block, so none
-within the radius is missed. What is found is verified by the exact weighted similarity of runs
-of words. A window without any run of words in common has similarity 0, so looking only at shared
-places loses nothing.
+within the radius is missed. A run of words that a window repeats can carry its fingerprint out of
+the radius of an item it is like, so windows become candidates, too, where enough of their runs of
+words are an item's to reach the threshold. What is found is verified by the exact weighted
+similarity of runs of words. A window without any run of words in common has similarity 0, so
+looking only at shared places loses nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartulary.llm.common import mix, offsets, shingle_hashes, slices
+from cartulary.llm.common import mix, offsets, shingle_hashes, slices, spread
 
 SHINGLE, THRESHOLD = 5, 0.8
 # With eight blocks, 23 bits leave at most two for the block with the fewest.
@@ -60,12 +62,6 @@ def window_simhashes(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray
     return np.packbits(sums[stops] - sums[starts] > 0, axis=1)
 
 
-def weighted_similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard similarity of two bags of shingles."""
-    both = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    return both / (sum(a.values()) + sum(b.values()) - both)
-
-
 class ItemIndex:
     """The items of one pass: their shingles, and blocks of SimHashes by window size."""
 
@@ -84,10 +80,16 @@ class ItemIndex:
                 [window_simhashes(h, np.array([0]), np.array([len(h)])) for _, _, h in members]
             )
             near = _BITS[np.arange(256, dtype=np.uint8)[:, None, None] ^ prints[None]] <= BLOCK_RADIUS
+            sets = [np.unique(m[2]) for m in members]
+            owned = np.concatenate(sets)
+            order = np.argsort(owned, kind="stable")
             self.groups[key] = {
                 "items": [m[0] for m in members],
                 "bags": [Counter(m[2].tolist()) for m in members],
-                "sets": [np.unique(m[2]) for m in members],
+                "sets": sets,
+                # All shingles of the group in order, and the number of the item of each.
+                "owned": owned[order],
+                "owner": np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order],
                 "prints": prints,
                 "near": near.transpose(2, 0, 1).copy(),  # block, value, item
             }
@@ -135,6 +137,30 @@ class ItemIndex:
                 yield group["items"][n], start, length, found
 
 
+def _shared(group: dict, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of a stretch's shingles, given by value and number, each item of the group has."""
+    low = np.searchsorted(group["owned"], values, side="left")
+    number = np.searchsorted(group["owned"], values, side="right") - low
+    at = np.repeat(low, number) + spread(number)
+    return np.bincount(group["owner"][at], np.repeat(counts, number), len(group["items"]))
+
+
+def _similarities(
+    part: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: np.ndarray, bag: Counter, size: int, counts: dict
+) -> np.ndarray:
+    """Weighted Jaccard similarity of windows and an item of ``size`` shingles.
+
+    ``most`` are the shingles of each window that the item has at all, ``counts`` those of the
+    stretch by value. What a window has more often than the item is not in common.
+    """
+    both = most.copy()
+    for shingle, n in bag.items():
+        if counts.get(shingle, 0) > n:
+            sums = np.concatenate([[0], np.cumsum(part == np.uint64(shingle))])
+            both -= np.maximum(sums[stops] - sums[starts] - n, 0)
+    return both / (stops - starts + size - both)
+
+
 def _verified(
     group: dict, size: int, part: np.ndarray, starts: np.ndarray, threshold: float
 ) -> Iterator[tuple[int, float, int, int]]:
@@ -144,23 +170,29 @@ def _verified(
     hit = group["near"][0][prints[:, 0]]
     for block in range(1, BLOCKS):
         hit = hit | group["near"][block][prints[:, block]]
-    for n in np.flatnonzero(hit.any(axis=0)).tolist():
-        window = np.flatnonzero(hit[:, n])
-        apart = _BITS[prints[window] ^ group["prints"][n]].sum(axis=1, dtype=np.int32)
-        window = window[apart <= RADIUS]
+    values, numbers = np.unique(part, return_counts=True)
+    counts = dict(zip(values.tolist(), numbers.tolist(), strict=True))
+    # A window like an item has the threshold's share of the item's shingles at least.
+    enough = _shared(group, values, numbers) >= threshold * size - 1e-9
+    sizes = stops - starts + size
+    for n in np.flatnonzero(hit.any(axis=0) | enough).tolist():
+        candidate = hit[:, n].copy()
+        apart = _BITS[prints[candidate] ^ group["prints"][n]].sum(axis=1, dtype=np.int32)
+        candidate[candidate] = apart <= RADIUS
         # At most as many shingles in common as are in the item at all.
         sums = np.concatenate([[0], np.cumsum(np.isin(part, group["sets"][n]))])
-        most = sums[stops[window]] - sums[starts[window]]
-        sizes = stops[window] - starts[window] + size
-        best, where = 0.0, -1
-        bound = most / np.maximum(sizes - most, 1)
-        for w in window[bound >= threshold].tolist():
-            bag = Counter(part[starts[w] : stops[w]].tolist())
-            found = weighted_similarity(bag, group["bags"][n])
-            if found > best:
-                best, where = found, w
-        if best >= threshold:
-            yield n, best, int(starts[where]), int(stops[where] - starts[where])
+        most = sums[stops] - sums[starts]
+        candidate |= most / np.maximum(sizes - most, 1) >= threshold
+        window = np.flatnonzero(candidate)
+        if not len(window):
+            continue
+        found = _similarities(
+            part, starts[window], stops[window], most[window], group["bags"][n], size, counts
+        )
+        where = int(np.argmax(found))
+        if found[where] >= threshold:
+            w = window[where]
+            yield n, float(found[where]), int(starts[w]), int(stops[w] - starts[w])
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[list]:

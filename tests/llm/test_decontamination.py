@@ -71,6 +71,18 @@ def test_edited_items_in_documents(spark):
     assert len(check(spark, docs, items)) > 50
 
 
+def test_items_whose_edited_tail_repeats_a_run_of_words(spark):
+    r = random.Random(5)
+    items, docs = [], []
+    for i, size in enumerate([59, 104, 154, 304] * 4):
+        own = [f"w{r.randint(0, 10**6)}" for _ in range(size)]
+        items.append((i, " ".join(own)))
+        # As long a tail as leaves a similarity of 0.8 just within.
+        tail = size - 4 - -(-8 * (size - 4) // 9)
+        docs.append((i, " ".join(["before", *own[: size - tail], *["again"] * tail, "after"])))
+    assert check(spark, docs, items).keys() == {(i, i) for i in range(len(items))}
+
+
 def test_odd_texts(spark):
     part = " ".join(LONG.split()[3000:3040])
     check(spark, list(enumerate([*ODD_TEXTS, LONG])), [(0, part), (1, None), (2, ""), (3, "..."), (4, "Same, text"), (5, "a a a a a a a")])
