@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.llm import bpe, decontamination, jaccard, language, line_dedup
-from cartulary.llm.common import table, written
+from cartulary.llm.common import WHITE, table, written
 from cartulary.llm.queries import BYTE_BPE, MULTILINGUAL
 
 # Documents whose likeliest language has a lower probability go.
@@ -47,10 +47,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least id."""
-    classes = jaccard.near_duplicates(docs)
-    gone = classes.where("class_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates, that with the least id.
+
+    Rows are told apart by numbers of their own. So a group keeps one row, too, if rows repeat its
+    least id (the first by a hash of the text) or have no id (one stays if all are without), and
+    rows that repeat an id with another text are judged one by one. Texts without words are near
+    nothing: of these go only rows that repeat both an id and its text; without an id all stay.
+    """
+    row = _free(docs, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = jaccard.near_duplicates(numbered, row).select(F.col(row).alias("row"), "class_id")
+    text = F.coalesce("text", F.lit(""))
+    alone = (F.btrim(text, F.lit(WHITE)) == "") & F.col("doc_id").isNotNull()
+    about = numbered.select(
+        F.col(row).alias("row"),
+        "doc_id",
+        F.xxhash64("text").alias("hash"),
+        F.when(alone, F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256))).alias("alone"),
+    )
+    group = F.when(F.col("alone").isNull(), F.col("class_id")).alias("class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash", "row"))
+    kept = classes.join(about, "row").groupBy(group, "alone").agg(first.alias("first"))
+    kept = written(kept.select(F.col("first.row").alias(row)), "firsts")
+    return numbered.join(kept, row, "left_semi").select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -105,6 +105,33 @@ def test_columns_named_like_those_of_the_operators_keep_their_values(spark, give
     assert corpus_pipeline.encode(spark, docs, given[0]).count() == docs.count()
 
 
+def test_one_row_of_a_group_stays_if_ids_repeat_or_are_null(spark, given):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]
+    rows = [
+        *[(1, words[0]), (1, words[0]), (7, f"{words[0]} more")],
+        *[(None, words[1]), (None, words[1]), (None, f"{words[1]} more")],
+        *[(None, words[2]), (9, words[2]), (9, words[2])],
+        *[(3, words[3]), (3, words[4]), (2, words[3])],
+        *[(6, words[5]), (6, f"{words[5]} more")],
+        *[(None, words[6])],
+        *[(4, ""), (4, ""), (4, None), (4, None), (4, " "), (5, ""), (None, ""), (None, "")],
+    ]
+    docs = spark.read.parquet(f"{given[0]}/documents.parquet")
+    filled = {"lang": "en", "source": "s", "n_chars": 1}
+    rows = [tuple({**filled, "doc_id": i, "text": t}.get(c) for c in docs.columns) for i, t in rows]
+    docs = spark.createDataFrame(rows, docs.schema).repartition(3)
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, given[0]).collect()]
+    nulls = sorted(t for i, t in found if i is None)
+    assert len(nulls) == 4 and nulls[:2] == ["", ""] and nulls[3] == words[6]
+    assert nulls[2] in (words[1], f"{words[1]} more")
+    known = sorted((i, "-" if t is None else t) for i, t in found if i is not None)
+    sixth = next(t for i, t in known if i == 6)
+    assert sixth in (words[5], f"{words[5]} more")
+    assert known == sorted(
+        [(1, words[0]), (9, words[2]), (2, words[3]), (3, words[4]), (6, sixth), (4, ""), (4, "-"), (4, " "), (5, "")]
+    )
+
+
 def test_no_documents(spark, given, tmp_path):
     folder = str(tmp_path)
     for name in ("documents", "benchmark"):
