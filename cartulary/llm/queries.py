@@ -12,10 +12,13 @@ from cartulary.llm import (
     chat,
     decontamination,
     extraction,
+    hard_negatives,
+    infilling,
     jaccard,
     language,
     line_dedup,
     recompression,
+    simhash,
     warc,
     winnowing,
 )
@@ -124,6 +127,29 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = infilling.fill_in_middle(table(spark, folder, "documents"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        _sha256(F.col("output")).alias("output_sha256"),
+        _sha256(infilling.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(given.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
@@ -135,4 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negative_mining": op13_hard_negative_mining,
 }
