@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartulary.llm.common import written
+from cartulary.llm.common import spread, written
 
 SCALE, POSITIVES, NEGATIVES, LOW_PERCENT, HIGH_PERCENT = 256, 5, 10, 30, 90
 #: Rows and bytes of the sample that the top level and the first thresholds come from.
@@ -165,78 +165,92 @@ class CoverTree:
         self.least, self.most = np.array(least), np.array(most)
         self.ids, self.labels, self.rows, self.vectors = ids[kept], labels[kept], rows[kept], vectors[kept]
 
-    def search(self, queries: np.ndarray, wanted: list["Wanted"]) -> None:
-        """Lets each of ``wanted`` take what it needs, best nodes first."""
+    def search(self, queries: np.ndarray, wanted: "Wanted") -> None:
+        """Lets a block of queries take what they need, best nodes first.
+
+        The queries go down together: the node with the highest bound of any of them is next, and only
+        those that need it at that time look into it.
+        """
         lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries).astype(np.float64))
         low, high = self.space.bounds(queries @ self.centres.T, lengths, self.radii)
-        labels = np.array([w.label for w in wanted])[:, None]
-        same = np.array([w.same for w in wanted])[:, None]
-        fits = np.where(
-            same,
-            (self.least <= labels) & (labels <= self.most),
-            (self.least != labels) | (self.most != labels),
-        )
-        for k, want in enumerate(wanted):
-            self._descend(queries[k], want, low[k].tolist(), high[k].tolist(), fits[k].tolist())
-
-    def _descend(self, query: np.ndarray, want: "Wanted", low, high, fits) -> None:
-        if not fits[0]:
-            return
-        heap = [(-high[0], 0)]
+        fits = wanted.fits(self.least, self.most)
+        high = np.where(fits, high, -np.inf)
+        heap = [(-float(high[:, 0].max(initial=-np.inf)), 0)]
         while heap:
             best, node = heapq.heappop(heap)
-            if -best < want.least():
+            if -best < wanted.least():
                 return
-            if not want.needs(low[node], high[node]):
+            which = np.flatnonzero(wanted.needs(low[:, node], high[:, node]))
+            if not len(which):
                 continue
             if self.number[node]:
                 start = self.first[node]
-                for child in range(start, start + self.number[node]):
-                    if fits[child] and want.needs(low[child], high[child]):
-                        heapq.heappush(heap, (-high[child], child))
+                below = high[which, start : start + self.number[node]].max(axis=0)
+                for child, bound in enumerate(below.tolist(), start):
+                    if bound > -np.inf:
+                        heapq.heappush(heap, (-bound, child))
             else:
                 a, b = self.runs[node]
-                want.take(self.vectors[a:b] @ query, self.ids[a:b], self.labels[a:b], self.rows[a:b])
+                scores = queries[which] @ self.vectors[a:b].T
+                wanted.take(which, scores, self.ids[a:b], self.labels[a:b], self.rows[a:b])
 
 
 class Wanted:
-    """What a query looks for: the first few rows in each of its windows of scores.
+    """What a block of queries looks for: the first few rows in each window of scores.
 
-    Windows are named by what was asked (a positive's score), a floor is a score that as many
-    rows as are wanted are known to reach.
+    ``windows`` has a list of (asked, least, greatest score) per query. A floor is a score that as
+    many rows as are wanted are known to reach; it rises as rows are found.
     """
 
-    __slots__ = ("anchor", "who", "label", "same", "number", "asked", "lows", "highs", "floors", "found")
-
-    def __init__(self, anchor, who, label, same, number, windows, floors):
-        self.anchor, self.who, self.label, self.same, self.number = anchor, who, label, same, number
-        self.asked = [w[0] for w in windows]
-        self.lows, self.highs = [w[1] for w in windows], [w[2] for w in windows]
-        self.floors = [max(f, low) for f, low in zip(floors, self.lows, strict=True)]
-        self.found: list[list[tuple[int, int, int]]] = [[] for _ in windows]
+    def __init__(self, anchors, labels, same: bool, number: int, windows, floors=None):
+        self.anchors, self.labels = np.asarray(anchors, np.int64), np.asarray(labels, np.int64)
+        self.same, self.number, self.windows = same, number, windows
+        most = max(map(len, windows), default=0)
+        # Windows that a query lacks ask for more than any score.
+        self.floors = np.full((len(windows), most), _MOST)
+        self.highs = np.full((len(windows), most), _LEAST)
+        for q, own in enumerate(windows):
+            for k, (_, low, high) in enumerate(own):
+                self.floors[q, k] = low if floors is None else max(low, floors[q][k])
+                self.highs[q, k] = high
+        self.found: list[list[list[tuple[int, int, int]]]] = [[[] for _ in own] for own in windows]
+
+    def fits(self, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether nodes with labels in a range can hold rows for each query."""
+        labels = self.labels[:, None]
+        if self.same:
+            return (least <= labels) & (labels <= most)
+        return (least != labels) | (most != labels)
 
     def least(self) -> int:
-        return min(self.floors, default=_MOST)
-
-    def needs(self, low: float, high: float) -> bool:
-        return any(high >= f and low <= h for f, h in zip(self.floors, self.highs, strict=True))
-
-    def take(self, scores, ids, labels, rows) -> None:
-        fit = (labels == self.label) & (ids != self.anchor) if self.same else labels != self.label
-        at = np.flatnonzero(fit & (scores >= self.least()) & (scores <= max(self.highs)))
-        if not len(at):
-            return
-        scores, ids, rows = scores[at].astype(np.int64), ids[at], rows[at]
-        for k, high in enumerate(self.highs):
-            here = np.flatnonzero((scores >= self.floors[k]) & (scores <= high))
-            if not len(here):
+        return self.floors.min(initial=_MOST)
+
+    def needs(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether scores between the bounds are of use to each query."""
+        return ((high[:, None] >= self.floors) & (low[:, None] <= self.highs)).any(axis=1)
+
+    def take(self, which: np.ndarray, scores: np.ndarray, ids, labels, rows) -> None:
+        """Scores of some queries (a row each) with some rows (a column each)."""
+        if self.same:
+            fit = (labels == self.labels[which, None]) & (ids != self.anchors[which, None])
+        else:
+            fit = labels != self.labels[which, None]
+        for k in range(self.floors.shape[1]):
+            inside = (scores >= self.floors[which, k, None]) & (scores <= self.highs[which, k, None])
+            query, column = np.nonzero(inside & fit)
+            if not len(query):
                 continue
-            if len(here) > self.number:
-                here = here[np.lexsort((rows[here], ids[here], -scores[here]))[: self.number]]
-            new = zip((-scores[here]).tolist(), ids[here].tolist(), rows[here].tolist(), strict=True)
-            self.found[k] = sorted([*self.found[k], *new])[: self.number]
-            if len(self.found[k]) == self.number:
-                self.floors[k] = max(self.floors[k], -self.found[k][-1][0])
+            found = -scores[query, column].astype(np.int64)
+            order = np.lexsort((rows[column], ids[column], found, query))
+            query, column, found = query[order], column[order], found[order]
+            starts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(query)], strict=True):
+                first = slice(start, min(stop, start + self.number))
+                new = zip(found[first].tolist(), ids[column[first]].tolist(), rows[column[first]].tolist(), strict=True)
+                q = int(which[query[start]])
+                kept = self.found[q][k] = sorted([*self.found[q][k], *new])[: self.number]
+                if len(kept) == self.number:
+                    self.floors[q, k] = max(self.floors[q, k], -kept[-1][0])
 
 
 def windows_of(asked: list[int] | None, low_percent: int, high_percent: int) -> list[tuple[int, int, int]]:
@@ -342,34 +356,28 @@ def _visits(index: Index, queries: DataFrame, same: bool, number: int, low: int,
         vectors = space.matrix(batch.column("vector"))
         lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).astype(np.float64))
         lows, highs = space.bounds(vectors @ index.centres.T, lengths, index.radii)
-        scores = vectors @ sample.T
-        ids, labels, rows = (batch.column(c).to_pylist() for c in ("id", "label", "row"))
+        ids, labels, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "row"))
         asked = [None] * len(ids) if same else batch.column("asked").to_pylist()
-        query, task, floors = [], [], []
-        for k, (i, label, row) in enumerate(zip(ids, labels, rows, strict=True)):
-            windows = windows_of(asked[k], low, high)
-            want = Wanted(i, row, label, same, number, windows, [_LEAST] * len(windows))
-            if not windows:
-                continue
-            want.take(scores[k], sample_ids, sample_labels, np.arange(len(sample_ids)))
-            if same:
-                fits = (index.least <= label) & (label <= index.most)
-            else:
-                fits = (index.least != label) | (index.most != label)
-            for node in np.flatnonzero(fits & (shards > 0)).tolist():
-                if want.needs(lows[k, node], highs[k, node]):
-                    shard = np.arange(starts[node], starts[node + 1])
-                    query += [k] * len(shard)
-                    task += (shard * blocks + row % blocks).tolist()
-                    floors += [want.floors] * len(shard)
+        windows = [windows_of(scores, low, high) for scores in asked]
+        want = Wanted(ids, labels, same, number, windows)
+        everything, numbers = np.arange(len(ids)), np.arange(len(sample))
+        want.take(everything, vectors @ sample.T, sample_ids, sample_labels, numbers)
+        fits = want.fits(index.least, index.most) & (shards > 0)
+        for node in range(len(shards)):
+            fits[:, node] &= want.needs(lows[:, node], highs[:, node])
+        query, node = np.nonzero(fits)
+        times = shards[node]
+        query, shard = np.repeat(query, times), np.repeat(starts[node], times) + spread(times)
+        task = shard * blocks + rows[query] % blocks
+        floors = [want.floors[q, : len(windows[q])].tolist() for q in query]
         taken = batch.take(pa.array(query, pa.int64()))
         none = pa.nulls(len(query), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(task, pa.int64()),
-                pa.array([1] * len(query), pa.int32()),
+                pa.array(np.ones(len(query), np.int32)),
                 *(taken.column(c) for c in ("id", "label", "row", "vector")),
-                none if same else pa.array([[w[0] for w in windows_of(asked[k], low, high)] for k in query], pa.list_(pa.int64())),
+                none if same else pa.array([[w[0] for w in windows[q]] for q in query], pa.list_(pa.int64())),
                 pa.array(floors, pa.list_(pa.int64())),
             ],
             names=["task", "kind", "id", "label", "row", "vector", "asked", "floors"],
@@ -392,15 +400,14 @@ def _searched(space: Space, same: bool, number: int, low: int, high: int):
         for at in range(0, part.num_rows, QUERIES_AT_ONCE):
             few = part.slice(at, QUERIES_AT_ONCE)
             columns = [few.column(c).to_pylist() for c in ("id", "row", "label", "asked", "floors")]
-            wanted = [
-                Wanted(i, row, label, same, number, windows_of(asked, low, high), floors)
-                for i, row, label, asked, floors in zip(*columns, strict=True)
-            ]
+            anchors, whos, labels, asked, floors = columns
+            windows = [windows_of(scores, low, high) for scores in asked]
+            wanted = Wanted(anchors, labels, same, number, windows, floors)
             tree.search(space.matrix(few.column("vector")), wanted)
             rows = [
-                (w.anchor, w.who, asked, i, row, -score)
-                for w in wanted
-                for asked, found in zip(w.asked, w.found, strict=True)
+                (anchor, who, window[0], i, row, -score)
+                for anchor, who, own, lists in zip(anchors, whos, windows, wanted.found, strict=True)
+                for window, found in zip(own, lists, strict=True)
                 for score, i, row in found
             ]
             names = ["anchor_id", "who", "asked", "id", "row", "score"]

@@ -122,10 +122,18 @@ def test_bounds_hold_and_trees_skip_nodes():
         products = queries @ tree.vectors[below[node]].T
         assert (products.max(1) <= high[:, node]).all() and (products.min(1) >= low[:, node]).all()
     assert sorted(below[0].tolist()) == list(range(3000))
-    looked = []
-    for k in range(50):
-        want = hard_negatives.Wanted(k, k, labels[k], True, 5, [(0, hard_negatives._LEAST, hard_negatives._MOST)], [hard_negatives._LEAST])
-        take = want.take
-        counted = type("Counted", (), {"take": lambda self, s, *rest: (looked.append(len(s)), take(s, *rest)), "needs": lambda self, *x: want.needs(*x), "least": lambda self: want.least(), "label": want.label, "same": True})()  # noqa: B023
-        tree.search(queries[k : k + 1], [counted])
+    every = [[(0, hard_negatives._LEAST, hard_negatives._MOST)]] * 50
+    wanted = hard_negatives.Wanted(ids[:50], labels[:50], True, 5, every)
+    take, looked = wanted.take, []
+
+    def counted(which, scores, *rest):
+        looked.append(scores.size)
+        take(which, scores, *rest)
+
+    wanted.take = counted
+    tree.search(queries, wanted)
     assert sum(looked) < 0.5 * 50 * 3000
+    products = queries @ vectors.T
+    for k in range(50):
+        other = [(-int(products[k, i]), i) for i in range(3000) if labels[i] == labels[k] and i != k]
+        assert [(s, i) for s, i, _ in wanted.found[k][0]] == sorted(other)[:5]
