@@ -228,14 +228,19 @@ def crawl_result(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def closed_crawl(started: DataFrame, outcomes: DataFrame, finished_at: Column) -> DataFrame:
+    """The completed log row of a run, from its (run_id, started_at) and its outcomes."""
+    closed = side_by_side(started, crawl_result(outcomes))
+    return fit(closed.withColumn("finished_at", finished_at), "crawl_logs")
+
+
 def close_crawl(
     logs: DataFrame, outcomes: DataFrame, run_id: str, finished_at: Column
 ) -> DataFrame:
     """The log with the row of this run completed."""
     started = logs.where(F.col("run_id") == run_id).select("run_id", "started_at")
-    closed = side_by_side(started, crawl_result(outcomes))
-    closed = closed.withColumn("finished_at", finished_at)
-    return logs.where(F.col("run_id") != run_id).unionByName(fit(closed, "crawl_logs"))
+    closed = closed_crawl(started, outcomes, finished_at)
+    return logs.where(F.col("run_id") != run_id).unionByName(closed)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.vocabulary import MAX_LENGTHS
-from cartulary.session import materialize
+from cartulary.session import materialize, written_small
 from cartulary.sources.cache import (
     ResponseCache,
     cache_entries,
     look_up,
     merge_entries,
     misses,
+    prompt_key,
 )
 
 PROMPTS_PER_TASK = 1_000
@@ -66,10 +67,23 @@ def answer_from(
 def answer_with(
     prompts: DataFrame, cache: ResponseCache, make_generator: GeneratorFactory
 ) -> DataFrame:
-    """Prompts with key and response; new responses are saved to the cache first."""
-    answered = generate(misses(prompts, cache.load()), make_generator)
-    cache.save(cache_entries(answered))
-    return look_up(prompts, cache.load())
+    """Prompts with key and response; new responses are saved to the cache first.
+
+    The cache is asked once, for the keys at hand. Of prompts that it knows no text moves. What
+    a failed run had answered is not asked again, task by task.
+    """
+    keyed = prompts.withColumn("key", prompt_key(F.col("prompt")))
+    known = cache.answers(keyed).where("response <> ''").select("key", "response")
+    known = materialize(known, "known")
+    missing = misses(keyed.join(_unknown(keyed, known), "key", "left_semi").drop("key"), known)
+    saved = cache.save_by_task(cache_entries(generate(missing, make_generator)))
+    return look_up(prompts, known.unionByName(saved.select("key", "response")))
+
+
+def _unknown(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """The keys that have no answer yet, counted so that a few of them go to the prompts."""
+    keys = keyed.select("key").distinct().join(known.select("key"), "key", "left_anti")
+    return written_small(keys, "unknown")
 
 
 def with_max_length(prompts: DataFrame, kind: str) -> DataFrame:

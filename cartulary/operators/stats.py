@@ -24,12 +24,25 @@ from cartulary.functions.expressions import (
 )
 from cartulary.sources.registry import ColumnSpec
 
+MEASURES = (
+    "array<struct<ordinal:int,column_name:string,clean_type:string,null_count:bigint,"
+    "min_value:string,max_value:string,min_number:double,max_number:double,avg_number:double,"
+    "approx_distinct:bigint,approx_top:array<string>>>"
+)
 CHECKS = "array<struct<ordinal:int,column_name:string,rule:string,issues:bigint>>"
 
+FACTS = (
+    f"table_name string, row_count bigint, column_count int, columns {MEASURES}, "
+    f"freshness_column string, latest timestamp_ntz, checks {CHECKS}"
+)
+
 # Longer texts travel as digests with their first characters; ranks do not depend on either.
 LONG_TEXT_BYTES = 64
 HEAD_CHARS = 32
-SKETCH_ERROR = 0.02
+# Sketches: buckets of distinct counts (2 to this power, an error of 1.6 %), and most frequent
+# values that are tracked, by their first characters.
+SKETCH_BITS = 12
+TRACKED, TRACKED_CHARS, COMPARED = 1000, 64, 100
 UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
@@ -47,6 +60,7 @@ class TablePlan:
     footers: DataFrame | None = None
 
 
+REPEATED = "table_name string, duplicate_count bigint"
 SAMPLES = "table_name string, column_name string, values array<string>"
 
 
@@ -83,49 +97,68 @@ def freshness_column(columns) -> ColumnSpec | None:
     return next((c for c in columns if c.label in V.FRESHNESS_LABELS), None)
 
 
-def table_facts(plan: TablePlan, ranges: bool = True, approx_distinct: bool = False) -> DataFrame:
+def table_facts(
+    plan: TablePlan, ranges: bool = True, approx_distinct: bool = False, approx_top: bool = False
+) -> DataFrame:
     """One row holding everything a single pass over the table can tell.
 
     All counters share one aggregate, so the table is scanned once and each task sends a single
-    row to the final step. ``approx_distinct`` adds sketches to the same pass. Where file footers
-    hold the counts, only the other figures need a scan, and only of their columns.
+    row to the final step. ``approx_distinct`` and ``approx_top`` add sketches of distinct counts
+    and most frequent values to the same pass. Where file footers hold the counts, only the other
+    figures need a scan, and only of their columns.
 
     The expressions are SQL texts because a wide table has very many of them, and each text is
     handed to Spark at once.
     """
     stamp = freshness_column(plan.columns)
-    rules = rules_for(plan.columns)
-    counts, others, columns = ["count(1) AS n"], [], []
+    counts, others = ["count(1) AS n"], []
     for i, c in enumerate(plan.columns):
         value = tick(c.name)
-        ranged = ranges and is_numeric(c)
         counts.append(f"count({value}) AS filled{i}")
         if approx_distinct:
-            sketch = f"approx_count_distinct({_comparable(c.name, c.dtype)}, {SKETCH_ERROR})"
-            others.append(f"{sketch} AS approx{i}")
-        if ranged:
+            others.append(f"hll_sketch_estimate({distinct_sketch(plan, c)}) AS approx{i}")
+        if approx_top and tracks_top(plan, c):
+            others.append(f"approx_top_k_estimate({top_sketch(c)}, {COMPARED}) AS top{i}")
+        if ranges and is_numeric(c):
             others += [f"{f}({value}) AS {f}{i}" for f in ("min", "max", "avg")]
-        low, high, mean = (f"min{i}", f"max{i}", f"avg{i}") if ranged else ("NULL",) * 3
-        approx = f"CASE WHEN n > 0 THEN approx{i} END" if approx_distinct else "NULL"
-        columns.append(
-            f"named_struct('ordinal', {c.ordinal}, 'column_name', {text_literal(c.name)}, "
-            f"'clean_type', {text_literal(c.label)}, 'null_count', n - filled{i}, "
-            f"'min_value', CAST({low} AS STRING), 'max_value', CAST({high} AS STRING), "
-            f"'min_number', CAST({low} AS DOUBLE), 'max_number', CAST({high} AS DOUBLE), "
-            f"'avg_number', CAST({mean} AS DOUBLE), 'approx_distinct', CAST({approx} AS BIGINT))"
-        )
     if stamp is not None:
         others.append(f"max({tick(stamp.name)}) AS latest")
-    others += [f"count_if({broken}) AS issues{i}" for i, (_, _, broken) in enumerate(rules)]
+    broken = rules_for(plan.columns)
+    others += [f"count_if({condition}) AS issues{i}" for i, (_, _, condition) in enumerate(broken)]
     if plan.footers is None:
         row = plan.frame.selectExpr(*counts, *others)
     else:
         row = plan.footers.selectExpr(*counts)
         row = side_by_side(row, plan.frame.selectExpr(*others)) if others else row
+    return shape_facts(plan, row, ranges, approx_distinct, approx_top)
+
+
+def shape_facts(
+    plan: TablePlan,
+    row: DataFrame,
+    ranges: bool = True,
+    approx_distinct: bool = False,
+    approx_top: bool = False,
+) -> DataFrame:
+    """The facts of a table from one row of its measures, numbered by column and rule."""
+    stamp, columns = freshness_column(plan.columns), []
+    for i, c in enumerate(plan.columns):
+        ranged = ranges and is_numeric(c)
+        low, high, mean = (f"min{i}", f"max{i}", f"avg{i}") if ranged else ("NULL",) * 3
+        approx = f"CASE WHEN n > 0 THEN coalesce(approx{i}, 0) END" if approx_distinct else "NULL"
+        top = _tracked_list(f"top{i}") if approx_top and tracks_top(plan, c) else "NULL"
+        columns.append(
+            f"named_struct('ordinal', {c.ordinal}, 'column_name', {text_literal(c.name)}, "
+            f"'clean_type', {text_literal(c.label)}, 'null_count', n - filled{i}, "
+            f"'min_value', CAST({low} AS STRING), 'max_value', CAST({high} AS STRING), "
+            f"'min_number', CAST({low} AS DOUBLE), 'max_number', CAST({high} AS DOUBLE), "
+            f"'avg_number', CAST({mean} AS DOUBLE), 'approx_distinct', CAST({approx} AS BIGINT), "
+            f"'approx_top', CAST({top} AS ARRAY<STRING>))"
+        )
     checks = ", ".join(
         f"named_struct('ordinal', {c.ordinal}, 'column_name', {text_literal(c.name)}, "
         f"'rule', '{rule}', 'issues', issues{i})"
-        for i, (c, rule, _) in enumerate(rules)
+        for i, (c, rule, _) in enumerate(rules_for(plan.columns))
     )
     latest = utc_naive(F.col("latest"), stamp.dtype) if stamp else F.lit(None)
     return row.select(
@@ -139,6 +172,41 @@ def table_facts(plan: TablePlan, ranges: bool = True, approx_distinct: bool = Fa
     )
 
 
+def distinct_sketch(plan: TablePlan, column: ColumnSpec) -> str:
+    """SQL text of the aggregate that holds the state of a distinct count; states can be united."""
+    utc = _utc_session([plan])
+    key = key_of(column.name, column.dtype, utc)
+    if key_kind(column.dtype, utc) == "real":
+        key = f"CAST({key} + 0.0D AS STRING)"
+    if key_kind(column.dtype, utc) == "text":
+        key = f"concat('=', {key})"  # empty texts are left out of sketches
+    return f"hll_sketch_agg({key}, {SKETCH_BITS})"
+
+
+def tracks_top(plan: TablePlan, column: ColumnSpec) -> bool:
+    return has_top_values(plan, column) and isinstance(column.dtype, T.StringType)
+
+
+def top_sketch(column: ColumnSpec) -> str:
+    """SQL text of the aggregate that holds the most frequent values; states can be combined.
+
+    Longer texts count by their first characters.
+    """
+    value = f"substring(CAST({tick(column.name)} AS STRING), 1, {TRACKED_CHARS})"
+    return f"approx_top_k_accumulate({value}, {TRACKED})"
+
+
+def _tracked_list(tops: str) -> str:
+    """SQL text of the first values of an estimate, by frequency and then by value."""
+    known = f"filter({tops}, x -> x.item IS NOT NULL)"
+    ordered = (
+        f"array_sort({known}, (a, b) -> CASE WHEN a.count > b.count THEN -1 "
+        "WHEN a.count < b.count THEN 1 WHEN a.item < b.item THEN -1 "
+        "WHEN a.item > b.item THEN 1 ELSE 0 END)"
+    )
+    return f"transform(slice({ordered}, 1, {V.TOP_VALUES}), x -> x.item)"
+
+
 def column_ranges(rows: DataFrame) -> DataFrame:
     """Adds the rounded mean and the text forms of smallest, largest and mean value."""
     is_real = F.col("clean_type") == "float"
@@ -323,35 +391,79 @@ def top_values(plans, frequencies: dict[str, DataFrame], limit: int = V.TOP_VALU
     """The most frequent values per column as (column_id, rank, value, freq).
 
     Equal frequencies rank by value. Every task keeps only its best few per column before the
-    final ranking, so no task sees all values of a column. Texts are ranked by their first
-    characters in this, and none that shares them with one of the best is left out; the long ones
-    among these are then looked up by digest and ranked in full.
+    final ranking, so no task sees all values of a column.
 
     Nulls are ranked last and dropped after the ranking: a filter before it would reach below
     the shuffle and keep it from being shared with the distinct counts.
     """
     parts = []
     for kind, frame in frequencies.items():
-        value, place = F.col("value"), F.row_number()
         if kind == "text":
-            value, place = F.coalesce("head", F.substring("value", 1, HEAD_CHARS)), F.rank()
-        order = [F.asc(_no_value(frame)), F.desc("freq"), F.asc_nulls_last(value)]
-        place = place.over(Window.partitionBy("column_id").orderBy(*order))
+            parts.append(_top_texts(plans, frame, limit))
+            continue
+        order = [F.asc(_no_value(frame)), F.desc("freq"), F.asc_nulls_last("value")]
+        place = F.row_number().over(Window.partitionBy("column_id").orderBy(*order))
         ranked = frame.withColumn("rank", place)
         ranked = ranked.where((F.col("rank") <= limit) & ~_no_value(frame))
-        if kind == "text":
-            texts = _with_long_texts(plans, ranked.drop("head", "rank"))
-            place = Window.partitionBy("column_id").orderBy(F.desc("freq"), F.asc("value"))
-            ranked = texts.withColumn("rank", F.row_number().over(place))
-            ranked = ranked.where(F.col("rank") <= limit)
-        elif kind == "real":
-            ranked = ranked.withColumn("value", value_text(F.col("value"), T.DoubleType()))
-        else:
-            ranked = ranked.withColumn("value", _whole_text(plans))
-        parts.append(ranked.select("column_id", "rank", "value", "freq"))
+        text = value_text(F.col("value"), T.DoubleType()) if kind == "real" else _whole_text(plans)
+        parts.append(ranked.select("column_id", "rank", text.alias("value"), "freq"))
     return union_all(parts)
 
 
+def _best(texts: DataFrame, limit: int) -> DataFrame:
+    """The first few (column_id, value, freq) of each column; each task cuts its own first."""
+    place = Window.partitionBy("column_id").orderBy(F.desc("freq"), F.asc("value"))
+    ranked = texts.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= limit)
+    return ranked.select("column_id", "rank", "value", "freq")
+
+
+def _top_texts(plans, frame: DataFrame, limit: int) -> DataFrame:
+    """Most frequent texts of any length, in two steps.
+
+    The first step ranks by frequency and first characters and finds, for each column, both at the
+    last place wanted. Less than ``limit`` texts are before that place, and those that tie with
+    it are settled by the whole text: where it is at hand, by a lookup of digests, or, if texts at
+    that place occur once, in the table itself, where each task keeps the smallest few. So a column
+    of unique texts with the same beginning sends a few rows per task.
+    """
+    head = F.coalesce("head", F.substring("value", 1, HEAD_CHARS))
+    order = [F.asc(_no_value(frame)), F.desc("freq"), F.asc_nulls_last(head)]
+    place = F.row_number().over(Window.partitionBy("column_id").orderBy(*order))
+    last = frame.withColumn("rank", place).where((F.col("rank") == limit) & ~_no_value(frame))
+    cut = F.broadcast(
+        last.select(
+            F.col("column_id").alias("cut_id"),
+            F.col("freq").alias("cut_freq"),
+            head.alias("cut_head"),
+        )
+    )
+    freq, cut_freq, cut_head = F.col("freq"), F.col("cut_freq"), F.col("cut_head")
+    before = cut_freq.isNull() | (freq > cut_freq) | ((freq == cut_freq) & (head < cut_head))
+    tied = (freq == cut_freq) & (head == cut_head)
+    placed = frame.join(cut, F.col("column_id") == F.col("cut_id"), "left")
+
+    def chosen(kept: Column) -> DataFrame:
+        # One expression over both sides, so that no part of it is pushed below the shuffle.
+        return placed.where(F.when(_no_value(frame), F.lit(False)).otherwise(kept))
+
+    at_hand = chosen(F.col("value").isNotNull() & (before | tied)).select("column_id", "value", "freq")
+    long = F.col("digest").isNotNull()
+    looked_up = chosen(long & (before | (tied & (freq > 1)))).select("column_id", "digest", "freq")
+    parts = [_best(at_hand, limit)]
+    texts = _long_texts(plans)
+    if texts is not None:
+        found = texts.join(looked_up, ["column_id", "digest"]).distinct()
+        parts.append(_best(found.withColumnRenamed("text", "value"), limit))
+        above = chosen(long & before).select("column_id", "digest")
+        once = cut.where("cut_freq = 1")
+        same = (F.col("column_id") == F.col("cut_id")) & (F.substring("text", 1, HEAD_CHARS) == cut_head)
+        unique = texts.join(F.broadcast(once), same, "left_semi")
+        unique = unique.join(F.broadcast(above), ["column_id", "digest"], "left_anti")
+        unique = unique.select("column_id", F.col("text").alias("value"), F.lit(1).cast("bigint").alias("freq"))
+        parts.append(_best(unique, limit))
+    return _best(union_all(parts).drop("rank"), limit)
+
+
 def _whole_text(plans) -> Column:
     """Whole-number keys back as the text of the type they came from."""
     value, text = F.col("value"), F.col("value").cast("string")
@@ -369,13 +481,8 @@ def _whole_text(plans) -> Column:
     return text
 
 
-def _with_long_texts(plans, ranked: DataFrame) -> DataFrame:
-    """Replaces the digests among the ranked values by the texts they stand for.
-
-    Usually a few digests per column are left; many where texts of one frequency share their first
-    characters, so how they meet the texts is up to Spark. Copies collapse in the task that finds
-    them.
-    """
+def _long_texts(plans) -> DataFrame | None:
+    """(column_id, digest, text) of every long text; None if no column has text."""
     sources = []
     for plan, columns in numbered(plans):
         texts = [(cid, c) for cid, c in columns if isinstance(c.dtype, T.StringType)]
@@ -383,20 +490,10 @@ def _with_long_texts(plans, ranked: DataFrame) -> DataFrame:
             named = plan.frame.select([quoted(c.name).alias(str(cid)) for cid, c in texts])
             sources.append(named.unpivot([], named.columns, "column_id", "text"))
     if not sources:
-        return ranked.drop("digest")
-    keyed = (
-        union_all(sources)
-        .where(F.octet_length("text") > LONG_TEXT_BYTES)
-        .select(
-            _number("column_id").alias("column_id"),
-            F.unhex(F.md5("text")).alias("digest"),
-            "text",
-        )
-    )
-    wanted = ranked.where("digest is not null").select("column_id", "digest")
-    found = keyed.join(wanted, ["column_id", "digest"]).distinct()
-    joined = ranked.join(found, ["column_id", "digest"], "left")
-    return joined.withColumn("value", F.coalesce("value", "text")).drop("text")
+        return None
+    long = union_all(sources).where(F.octet_length("text") > LONG_TEXT_BYTES)
+    digest = F.unhex(F.md5("text")).alias("digest")
+    return long.select(_number("column_id").alias("column_id"), digest, "text")
 
 
 def name_columns(plans, frame: DataFrame, wanted=None) -> DataFrame:
@@ -477,6 +574,5 @@ def repeated_keys(plans, summary: DataFrame | None = None) -> DataFrame:
             label = F.lit(plan.name).alias("table_name")
             parts.append(counted.agg(twice).select(label, "duplicate_count"))
     if not parts:
-        schema = "table_name string, duplicate_count bigint"
-        return plans[0].frame.sparkSession.createDataFrame([], schema)
+        return plans[0].frame.sparkSession.createDataFrame([], REPEATED)
     return union_all(parts)

@@ -1,8 +1,9 @@
 """Questions to the lineage graph.
 
 Questions about one table start from a handful of rows. These are written aside and, if they
-are as few as expected, sent to every task, so that the edges are scanned where they lie and
-never shuffled, however many of them a hub has.
+are as few as expected, sent to the tasks that read the buckets of their names, so that the edges are
+read where they lie and never shuffled, however many of them a hub has. A graph that is not stored
+yet is stored first.
 """
 
 from __future__ import annotations
@@ -39,12 +40,10 @@ def _named(name: str, alias: str) -> Column:
     return F.col(name).alias(alias)
 
 
-def _both_ways(edges: DataFrame, *extra: str) -> DataFrame:
+def _both_ways(edges: DataFrame) -> DataFrame:
     """Edges from either end, a loop only once."""
-    back = edges.where(F.col("src") != F.col("dst")).select(
-        _named("dst", "src"), _named("src", "dst"), *extra
-    )
-    return edges.select("src", "dst", *extra).unionByName(back)
+    back = edges.where(F.col("src") != F.col("dst"))
+    return edges.select("src", "dst").unionByName(back.select(_named("dst", "src"), _named("src", "dst")))
 
 
 def _table_called(graph: Graph, name: str, alias: str) -> DataFrame:
@@ -55,10 +54,15 @@ def _table_called(graph: Graph, name: str, alias: str) -> DataFrame:
 
 def related_tables(graph: Graph, table: str) -> DataFrame:
     """Tables connected to one table, in either direction, a row per connection."""
-    around = _both_ways(_edges(graph, RELATED_TO, "src", "dst", "via"), "via")
-    near = written_small(around.join(_table_called(graph, table, "src"), "src"), "around")
-    others = _nodes(
-        graph, TABLE, _named("full_name", "dst"), "name", "row_count", "quality_score"
+    graph = graph.store()
+    home = _table_called(graph, table, "src")
+    out = graph.edges_at(RELATED_TO, "src", home).select("src", "dst", "via")
+    into = graph.edges_at(RELATED_TO, "dst", home).where("src <> dst")
+    into = into.select(_named("dst", "src"), _named("src", "dst"), "via")
+    near = out.join(home, "src").unionByName(into.join(home, "src"))
+    near = written_small(near.select("dst", "via"), "around")
+    others = graph.nodes_called(TABLE, near).select(
+        _named("full_name", "dst"), "name", "row_count", "quality_score"
     )
     return (
         others.join(near, "dst")
@@ -74,23 +78,26 @@ def related_tables(graph: Graph, table: str) -> DataFrame:
 
 def _referred(graph: Graph, table: str, near: str, far: str) -> DataFrame:
     """Columns of ``table`` at the ``near`` end of references, with the tables at the far end."""
+    graph = graph.store()
     home = _table_called(graph, table, "home")
-    own = written_small(_edges(graph, HAS_COLUMN, "home", near).join(home, "home"), "own")
+    own = graph.edges_at(HAS_COLUMN, "src", home).select(_named("src", "home"), _named("dst", near))
+    own = written_small(own.join(home, "home").select(near), "own")
     # A column that refers to itself would use the same edge on both sides of the pattern.
-    pairs = _edges(graph, REFERENCES).where(F.col("src") != F.col("dst"))
-    found = written_small(pairs.join(own.select(near), near), "pairs")
-    names = _nodes(graph, COLUMN, "full_name", "name")
-    tables = _nodes(graph, TABLE, _named("full_name", "other"), "name", "description")
-    with_other = _edges(graph, HAS_COLUMN, "other", far).join(found, far)
-    with_names = (
-        names.select(_named("full_name", "src"), _named("name", "from_column"))
-        .join(written_small(with_other, "owners"), "src")
-        .join(names.select(_named("full_name", "dst"), _named("name", "to_column")), "dst")
-    )
+    pairs = graph.edges_at(REFERENCES, near, own).where("src <> dst").select("src", "dst")
+    found = written_small(pairs.join(own, near).select(far, near), "pairs")
+    owners = graph.edges_at(HAS_COLUMN, "dst", found).select(_named("src", "other"), _named("dst", far))
+    owned = written_small(owners.join(found, far).select("other", "src", "dst"), "owners")
+
+    def column_name(end: str, alias: str) -> DataFrame:
+        known = graph.nodes_called(COLUMN, owned.select(end))
+        return known.select(_named("full_name", end), _named("name", alias))
+
+    named = written_small(column_name("src", "from_column").join(owned, "src"), "named")
+    named = written_small(column_name("dst", "to_column").join(named, "dst"), "named")
+    tables = graph.nodes_called(TABLE, owned)
+    tables = tables.select(_named("full_name", "other"), "name", "description")
     return (
-        tables.join(with_names, "other")
-        .select("name", "from_column", "to_column", "description")
-        .distinct()
+        tables.join(named, "other").select("name", "from_column", "to_column", "description").distinct()
     )
 
 
@@ -204,11 +211,8 @@ def lineage_path(
     """
     if start == end:
         raise ValueError("a path needs two different tables")
-    kept = graph.edges.where(F.col("type").isin(list(edge_types))).select("src", "dst")
-    names = graph.nodes.select(_named("full_name", "node"), "name")
-    if not graph.stored:
-        kept, names = materialize(kept, "links"), materialize(names, "names")
-    steps = _both_ways(kept)
+    graph = graph.store()
+    kinds = list(edge_types)
     ends = graph.nodes.where((F.col("label") == TABLE) & F.col("name").isin(start, end))
     ends = materialize(ends.select(_named("full_name", "node"), "name"), "ends")
     sides = []
@@ -217,14 +221,14 @@ def lineage_path(
         sides.append(_Side(level, level.select("node"), level.count(), forward))
     while all(side.size for side in sides):
         sides.sort(key=lambda side: side.size)
-        sides[0] = _grow(steps, names, sides[0], small_level)
+        sides[0] = _grow(graph, kinds, sides[0], small_level)
         found = _meet(*sides)
         if not found.isEmpty():
             return found
     return _meet(*sides)
 
 
-def _grow(steps: DataFrame, names: DataFrame, side: _Side, small_level: int) -> _Side:
+def _grow(graph: Graph, kinds: list[str], side: _Side, small_level: int) -> _Side:
     """The next level of a search.
 
     A level of few nodes is sent to every task, which leaves the edges where they are, those of
@@ -237,7 +241,8 @@ def _grow(steps: DataFrame, names: DataFrame, side: _Side, small_level: int) ->
     near = side.level.withColumnRenamed("node", "src")
     near = F.broadcast(near) if side.size <= small_level else near
     reached = (
-        steps.join(near, "src")
+        _steps(graph, kinds, side.level)
+        .join(near, "src")
         .groupBy(_named("dst", "node"))
         .agg(F.min("path").alias("path"))
         .join(side.seen, "node", "left_anti")
@@ -245,11 +250,19 @@ def _grow(steps: DataFrame, names: DataFrame, side: _Side, small_level: int) ->
     reached = written_small(reached, "reached", small_level)
     own = F.array("name")
     path = F.concat("path", own) if side.forward else F.concat(own, "path")
+    names = graph.opened_nodes(reached).select(_named("full_name", "node"), "name")
     level = materialize(names.join(reached, "node").select("node", path.alias("path")), "level")
     seen = side.level.select("node").unionByName(level.select("node"))
     return _Side(level, seen, level.count(), side.forward)
 
 
+def _steps(graph: Graph, kinds: list[str], level: DataFrame) -> DataFrame:
+    """Edges from the nodes of a level, in either direction, a loop only once."""
+    out = graph.opened_edges("src", level).where(F.col("type").isin(kinds)).select("src", "dst")
+    into = graph.opened_edges("dst", level).where(F.col("type").isin(kinds) & (F.col("src") != F.col("dst")))
+    return out.unionByName(into.select(_named("dst", "src"), _named("src", "dst")))
+
+
 def _meet(one: _Side, other: _Side) -> DataFrame:
     """The smallest path through a node that both levels hold, if there is one."""
     head, tail = (one, other) if one.forward else (other, one)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cartulary.functions.expressions import as_of_column
 from cartulary.operators import catalog
+from cartulary.operators.increments import FileStates
 from cartulary.plans.profile import Profile, profile_tables, together
 from cartulary.session import materialize
 from cartulary.sources.registry import Registry
@@ -25,8 +25,8 @@ def _message(error: Exception) -> str:
     return lines[0] if lines else type(error).__name__
 
 
-def _run(registry: Registry, names, as_of) -> Profile:
-    found = profile_tables(registry, as_of, names)
+def _run(registry: Registry, names, as_of, **options) -> Profile:
+    found = profile_tables(registry, as_of, names, **options)
     return Profile(
         materialize(found.tables, "profile-tables"),
         materialize(found.columns, "profile-columns"),
@@ -34,25 +34,30 @@ def _run(registry: Registry, names, as_of) -> Profile:
     )
 
 
-def _run_halves(registry: Registry, names: list[str], as_of, errors: dict) -> list[Profile]:
+def _run_halves(
+    registry: Registry, names: list[str], as_of, errors: dict, **options
+) -> list[Profile]:
     """Profiles the tables together, or, if that fails, each half by itself.
 
     One broken table among many costs a few more jobs over ever smaller halves, and everything
     but that table is still profiled in shared scans and shuffles.
     """
     try:
-        return [_run(registry, names, as_of)]
+        return [_run(registry, names, as_of, **options)]
     except Exception as error:
         if len(names) == 1:
             errors[names[0]] = _message(error)
             return []
     middle = len(names) // 2
-    first = _run_halves(registry, names[:middle], as_of, errors)
-    return first + _run_halves(registry, names[middle:], as_of, errors)
+    first = _run_halves(registry, names[:middle], as_of, errors, **options)
+    return first + _run_halves(registry, names[middle:], as_of, errors, **options)
 
 
-def profile_all(registry: Registry, as_of=None) -> tuple[list[Profile], list[tuple]]:
-    """Profiles of all readable tables, and (table, columns, error) for every table."""
+def profile_all(registry: Registry, as_of=None, **options) -> tuple[list[Profile], list[tuple]]:
+    """Profiles of all readable tables, and (table, columns, error) for every table.
+
+    The options are those of ``profile_tables``.
+    """
     counts, errors, readable = {}, {}, []
     registry.preload()
     for name in registry.names():
@@ -66,7 +71,7 @@ def profile_all(registry: Registry, as_of=None) -> tuple[list[Profile], list[tup
     profiles = []
     for start in range(0, len(readable), TABLES_TOGETHER):
         batch = readable[start : start + TABLES_TOGETHER]
-        profiles += _run_halves(registry, batch, as_of, errors)
+        profiles += _run_halves(registry, batch, as_of, errors, **options)
     outcomes = [
         (name, 0 if name in errors else counts[name], errors.get(name))
         for name in registry.names()
@@ -75,39 +80,35 @@ def profile_all(registry: Registry, as_of=None) -> tuple[list[Profile], list[tup
 
 
 def crawl(
-    registry: Registry, store: CatalogStore, as_of=None, run_id: str | None = None, keep_ai=True
+    registry: Registry,
+    store: CatalogStore,
+    as_of=None,
+    run_id: str | None = None,
+    keep_ai=True,
+    sketches: bool = False,
+    states: FileStates | None = None,
 ) -> DataFrame:
     """Profiles every table, merges the results into the catalog and logs the run.
 
-    Returns the log row of the run.
+    ``sketches`` estimates distinct counts and most frequent values; ``states`` keeps the
+    measures of files between crawls, so that only new and changed ones are read. Returns the log
+    row of the run.
     """
     spark = registry.spark
     run_id = run_id or uuid.uuid4().hex
     store.setup()
-    started = as_of_column(None)
-    store.append("crawl_logs", catalog.open_crawl(spark, run_id, started))
-    profiles, rows = profile_all(registry, as_of)
+    store.open_crawl(run_id, as_of_column(None))
+    profiles, rows = profile_all(registry, as_of, sketches=sketches, states=states)
     stamp = as_of_column(as_of)
     outcomes = spark.createDataFrame(rows, OUTCOMES_SCHEMA)
     good = outcomes.where("error is null").select("table_name")
     if profiles:
         save(store, together(profiles), stamp, good, keep_ai)
-    closed = catalog.close_crawl(store.read("crawl_logs"), outcomes, run_id, as_of_column(None))
-    store.replace("crawl_logs", closed)
-    return store.read("crawl_logs").where(F.col("run_id") == run_id)
+    return store.close_crawl(run_id, outcomes, as_of_column(None))
 
 
 def save(store: CatalogStore, found: Profile, stamp, crawled: DataFrame, keep_ai=True) -> None:
     """Merges a profile into the catalog tables, of which it replaces those crawled."""
-    tables = catalog.table_rows(found.tables, stamp)
-    columns = catalog.column_rows(found.columns, stamp)
-    links = catalog.relationship_rows(found.relationships, stamp)
-    store.replace("catalog_tables", catalog.upsert_tables(store.read("catalog_tables"), tables))
-    store.replace(
-        "catalog_columns",
-        catalog.replace_columns(store.read("catalog_columns"), columns, crawled, keep_ai),
-    )
-    store.replace(
-        "catalog_relationships",
-        catalog.replace_relationships(store.read("catalog_relationships"), links, crawled),
-    )
+    store.upsert_tables(catalog.table_rows(found.tables, stamp))
+    store.replace_columns(catalog.column_rows(found.columns, stamp), crawled, keep_ai)
+    store.replace_relationships(catalog.relationship_rows(found.relationships, stamp), crawled)

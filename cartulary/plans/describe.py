@@ -53,27 +53,31 @@ def describe(
     cache: ResponseCache,
     make_generator: GeneratorFactory,
 ) -> Descriptions:
-    """Generates all texts in three batches: tables, then tags, and columns.
+    """Generates all texts in two batches: tables and columns, then tags.
 
-    Tags come after descriptions because their prompts contain them.
+    Tags come after descriptions because their prompts contain them. The results are written
+    aside.
     """
 
-    def ask(asked: DataFrame, kind: str) -> DataFrame:
-        return answer_with(with_max_length(asked, kind), cache, make_generator)
+    def ask(asked: DataFrame) -> DataFrame:
+        return answer_with(asked, cache, make_generator)
 
-    described = materialize(
-        ask(prompts.table_prompts(tables, columns, samples), "table").select(
-            "table_name", F.col("response").alias("description")
-        ),
-        "descriptions",
+    of_tables = with_max_length(prompts.table_prompts(tables, columns, samples), "table")
+    of_columns = with_max_length(prompts.column_prompts(columns, samples), "column")
+    both = of_tables.withColumn("is_table", F.lit(True)).unionByName(
+        of_columns.withColumn("is_table", F.lit(False)), allowMissingColumns=True
     )
-    tags = ask(prompts.tag_prompts(described, columns), "tags").select(
-        "table_name", F.col("response").alias("tags")
+    found = ask(materialize(both, "asked")).select(
+        "is_table", "table_name", "column_name", F.col("response").alias("description")
     )
-    described_columns = ask(prompts.column_prompts(columns, samples), "column").select(
-        "table_name", "column_name", F.col("response").alias("description")
+    found = materialize(found, "descriptions")
+    described = found.where("is_table").select("table_name", "description")
+    tagged = with_max_length(prompts.tag_prompts(described, columns), "tags")
+    tags = ask(tagged).select("table_name", F.col("response").alias("tags"))
+    return Descriptions(
+        materialize(described.join(tags, "table_name"), "table-descriptions"),
+        found.where("not is_table").drop("is_table"),
     )
-    return Descriptions(described.join(tags, "table_name"), described_columns)
 
 
 def describe_catalog(
@@ -89,8 +93,8 @@ def describe_catalog(
     none = registry.spark.createDataFrame([], stats.SAMPLES)
     samples = stats.union_all([none, *sampled])
     found = describe(tables, columns, samples, cache, make_generator)
-    store.replace("catalog_tables", catalog.describe_tables(tables, found.tables))
-    store.replace("catalog_columns", catalog.describe_columns(columns, found.columns))
+    store.describe_tables(found.tables)
+    store.describe_columns(found.columns)
     return description_summary(found, cache)
 
 

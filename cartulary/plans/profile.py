@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartulary.functions import vocabulary as V
 from cartulary.functions.expressions import as_of_column
 from cartulary.operators import quality, schema, stats
+from cartulary.operators.increments import FileStates
 from cartulary.session import materialize
 from cartulary.sources.registry import Registry
 
@@ -24,7 +25,7 @@ class Profile:
 
 
 def table_plans(registry: Registry, names=None) -> list[stats.TablePlan]:
-    plans, names = [], list(names or registry.names())
+    plans, names = [], registry.names() if names is None else list(names)
     registry.preload(names)
     for name in names:
         columns = tuple(registry.column_specs(name))
@@ -39,13 +40,22 @@ def table_plans(registry: Registry, names=None) -> list[stats.TablePlan]:
 def quality_profile(registry: Registry, as_of=None, names=None) -> DataFrame:
     """Scores and grade per table: one scan for the counters and one for the keys."""
     plans = table_plans(registry, names)
+    if not plans:
+        none, unkeyed = _nothing(registry)
+        return quality.score_tables(none, unkeyed, as_of_column(as_of))
     facts = stats.union_all([stats.table_facts(p, ranges=False) for p in plans])
     return quality.score_tables(facts, stats.repeated_keys(plans), as_of_column(as_of))
 
 
+def _nothing(registry: Registry) -> tuple[DataFrame, DataFrame]:
+    """Facts and repeated keys of no tables."""
+    spark = registry.spark
+    return spark.createDataFrame([], stats.FACTS), spark.createDataFrame([], stats.REPEATED)
+
+
 def described_columns(registry: Registry, names=None) -> DataFrame:
     """Clean column descriptors with their keys marked."""
-    names = list(names or registry.names())
+    names = registry.names() if names is None else list(names)
     return schema.mark_keys(
         schema.parse_columns(registry.raw_columns(names)),
         registry.primary_keys(names),
@@ -54,15 +64,21 @@ def described_columns(registry: Registry, names=None) -> DataFrame:
 
 
 def column_profile(
-    plans, facts: DataFrame, summary: DataFrame, described: DataFrame | None = None
+    plans, facts: DataFrame, summary: DataFrame | None, described: DataFrame | None = None
 ) -> DataFrame:
     """All statistics per column, next to the descriptors where these are given.
 
-    Every input has a row per column of the schemas.
+    Every input has a row per column of the schemas. Without a summary of the values, distinct
+    counts and most frequent values are those of the sketches in the facts.
     """
     keys = ["table_name", "column_name"]
-    named = stats.name_columns(plans, summary).select(*keys, "distinct_count", "values")
-    rows = stats.column_ranges(stats.column_nulls(facts)).join(named, keys, "left")
+    rows = stats.column_ranges(stats.column_nulls(facts))
+    if summary is None:
+        found = {"distinct_count": F.col("approx_distinct"), "values": F.col("approx_top")}
+        rows = rows.withColumns(found)
+    else:
+        named = stats.name_columns(plans, summary).select(*keys, "distinct_count", "values")
+        rows = rows.join(named, keys, "left")
     filled, is_text = F.col("row_count") > 0, F.col("clean_type").isin(*V.TEXT_LABELS)
     rows = rows.withColumns(
         {
@@ -76,33 +92,66 @@ def column_profile(
     return rows.join(described.select(extra), keys, "left")
 
 
-def column_statistics(registry: Registry, names=None) -> DataFrame:
-    """The statistics of all columns, lazily."""
-    plans = table_plans(registry, names)
-    facts = stats.union_all([stats.table_facts(p) for p in plans])
-    return column_profile(plans, facts, stats.value_summary(plans, stats.value_frequencies(plans)))
-
+def column_statistics(registry: Registry, names=None, sketches: bool = False) -> DataFrame:
+    """The statistics of all columns, lazily.
 
-def profile_tables(registry: Registry, as_of=None, names=None, sizes: bool = True) -> Profile:
-    """Everything a crawl knows about the tables.
+    With ``sketches``, distinct counts and most frequent values are estimates from the pass that
+    everything else comes from, and no values are shuffled.
+    """
+    plans = table_plans(registry, names)
+    if not plans:
+        return column_profile(plans, _nothing(registry)[0], None)
+    facts = [stats.table_facts(p, approx_distinct=sketches, approx_top=sketches) for p in plans]
+    facts, summary = stats.union_all(facts), None
+    if not sketches:
+        summary = stats.value_summary(plans, stats.value_frequencies(plans))
+    return column_profile(plans, facts, summary)
+
+
+def profile_tables(
+    registry: Registry,
+    as_of=None,
+    names=None,
+    sizes: bool = True,
+    sketches: bool = False,
+    states: FileStates | None = None,
+) -> Profile:
+    """Everything a crawl knows about the tables, of which there is at least one.
 
     Each table is scanned once for counts, ranges, freshness and rules. The values of all
     tables share one shuffle per kind of key, which serves distinct counts, most frequent
     values and one-column keys alike. Both passes run here, once; their results have a row per
     table or column and are written to the shared folder for all that is derived from them.
+
+    With ``sketches``, distinct counts and most frequent values are estimated in the first pass.
+    With ``states``, too, and of tables that lie in files only those are read that are new or
+    have changed since their states were kept.
     """
-    names = list(names or registry.names())
+    names = registry.names() if names is None else list(names)
     plans = table_plans(registry, names)
-    facts = materialize(stats.union_all([stats.table_facts(p) for p in plans]), "table-facts")
-    frequencies = stats.value_frequencies(plans)
-    summary = materialize(stats.value_summary(plans, frequencies), "value-summary")
+    manifest = registry.manifest(names) if sizes or states is not None else None
+    estimated = sketches or states is not None
+    facts = []
+    for plan in plans:
+        if states is not None and registry.has_files(plan.name):
+            facts.append(states.facts(plan, manifest))
+        else:
+            facts.append(stats.table_facts(plan, approx_distinct=estimated, approx_top=estimated))
+    facts, summary = materialize(stats.union_all(facts), "table-facts"), None
+    if not estimated:
+        frequencies = stats.value_frequencies(plans)
+        summary = materialize(stats.value_summary(plans, frequencies), "value-summary")
     columns = column_profile(plans, facts, summary, described_columns(registry, names))
-    repeated = stats.repeated_keys(plans, summary)
+    if states is not None:
+        repeated = states.repeated_keys(plans, manifest)
+    else:
+        repeated = stats.repeated_keys(plans, summary)
     tables = quality.score_tables(facts, repeated, as_of_column(as_of))
     foreign = schema.parse_foreign_keys(registry.raw_foreign_keys(names))
     tables = tables.join(F.broadcast(_key_summary(registry, names, foreign)), "table_name", "left")
     if sizes:
-        tables = tables.join(F.broadcast(registry.table_sizes(names)), "table_name", "left")
+        found = registry.table_sizes(names, manifest)
+        tables = tables.join(F.broadcast(found), "table_name", "left")
     return Profile(tables, columns, relationships(foreign))
 
 

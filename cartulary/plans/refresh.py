@@ -10,13 +10,14 @@ from cartulary.operators.generation import GeneratorFactory
 from cartulary.operators.lineage import Graph, build_graph
 from cartulary.plans.crawl import crawl
 from cartulary.plans.describe import describe_catalog
+from cartulary.session import materialize
 from cartulary.sources.cache import ResponseCache
 from cartulary.sources.registry import Registry
 from cartulary.sources.store import CatalogStore
 
 
 def rebuild_lineage(store: CatalogStore, database: str, created_at: Column | None = None) -> Graph:
-    """Replaces nodes and edges by those of the current catalog."""
+    """Makes the stored graph that of the current catalog; only parts that differ are written."""
     graph = build_graph(
         store.read("catalog_tables"),
         store.read("catalog_columns"),
@@ -24,13 +25,13 @@ def rebuild_lineage(store: CatalogStore, database: str, created_at: Column | Non
         database,
         created_at,
     )
-    store.replace("lineage_nodes", graph.nodes)
-    store.replace("lineage_edges", graph.edges)
-    return stored_graph(store)
+    nodes = materialize(graph.nodes, "nodes")
+    store.put_graph(Graph(nodes, materialize(graph.edges, "edges"), True))
+    return store.graph()
 
 
 def stored_graph(store: CatalogStore) -> Graph:
-    return Graph(store.read("lineage_nodes"), store.read("lineage_edges"), stored=True)
+    return store.graph()
 
 
 def summarize(store: CatalogStore, started_at: Column | None = None) -> DataFrame:

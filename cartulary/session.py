@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,15 +58,20 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
-def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def stamped_name() -> str:
+    """A name of its own that sorts by time."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the optimizer real sizes to choose
-    join strategies from. ``by`` names a column of few values to lay the files out by, so that
-    a filter on it opens no others.
+    join strategies from. ``by`` names columns of few values to lay the files out by, so that
+    a filter on them opens no others.
     """
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy([by] if by else []).parquet(path)
+    df.write.partitionBy(list(by)).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
@@ -85,6 +93,64 @@ def drop_written(spark: SparkSession) -> int:
     """
     count = len(_written)
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _written.pop())
     return count
+
+
+def newest() -> str:
+    """The folder of the table that was written aside last."""
+    return _written[-1]
+
+
+def drop_one(spark: SparkSession, path: str) -> None:
+    """Deletes one table that was written aside; results that still read it are lost."""
+    _written.remove(path)
+    delete(spark, path)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder, in order; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(folder))
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was written aside inside it, but for the tables to keep.
+
+    Yields a function that marks the table written last as one to keep and returns it. For steps
+    whose result is read from a few of the many tables they write on the way.
+    """
+    start, kept = len(_written), []
+
+    def keep(staged: DataFrame) -> DataFrame:
+        kept.append(_written[-1])
+        return staged
+
+    try:
+        yield keep
+    finally:
+        inside = _written[start:]
+        _written[start:] = kept
+        for path in inside:
+            if path not in kept:
+                delete(spark, path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ PRIMARY_KEYS = T.StructType(
         T.StructField("ordinal", T.IntegerType()),
     ]
 )
+MANIFEST = "table_name string, file string, bytes long, modified timestamp"
 TABLE_NAMES = T.StructType([T.StructField("table_name", T.StringType())])
 
 
@@ -56,6 +58,7 @@ FOOTER_SETTINGS = {
     "parquet": "spark.sql.parquet.aggregatePushdown",
     "orc": "spark.sql.orc.aggregatePushdown",
 }
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
 V1_SOURCES = "spark.sql.sources.useV1SourceList"
 
 
@@ -180,7 +183,7 @@ class Registry:
                 pass
 
         with ThreadPoolExecutor(SCHEMA_LOOKUPS) as pool:
-            list(pool.map(attempt, names or self.names()))
+            list(pool.map(attempt, self._chosen(names)))
 
     def load_footers(self, name: str) -> DataFrame | None:
         """The table in a form whose counts Spark takes from file footers, if it has one.
@@ -232,13 +235,13 @@ class Registry:
         """What the schemas say, one row per column."""
         rows = [
             (name, c.ordinal, c.name, c.raw_type, c.nullable, c.default)
-            for name in (names or self.names())
+            for name in self._chosen(names)
             for c in self.column_specs(name)
         ]
         return self.spark.createDataFrame(rows, RAW_COLUMNS)
 
     def raw_foreign_keys(self, names=None) -> DataFrame:
-        wanted = set(names or self.names())
+        wanted = set(self._chosen(names))
         rows, seen = [], {}
         for fk in self.constraints.foreign_keys:
             if fk.table in wanted:
@@ -268,44 +271,70 @@ class Registry:
     def primary_keys(self, names=None) -> DataFrame:
         rows = [
             (name, column, position)
-            for name in (names or self.names())
+            for name in self._chosen(names)
             for position, column in enumerate(self.primary_key(name), 1)
         ]
         return self.spark.createDataFrame(rows, PRIMARY_KEYS)
 
-    def table_sizes(self, names=None) -> DataFrame:
-        """Bytes on disk per table; 0 where a source has no files of its own.
+    def has_files(self, name: str) -> bool:
+        """Whether a table is read from files that its rows can be told by."""
+        source = self.sources[name]
+        return bool(source.path) and source.frame is None and not source.staged
 
-        Files under a path are listed without being opened. Those of a session table are taken
-        from the rows, of which no column is read; a file without rows does not count there.
-        """
-        frames = [self._table_size(name) for name in (names or self.names())]
-        sizes = frames[0]
-        for frame in frames[1:]:
-            sizes = sizes.unionByName(frame)
-        return sizes
+    def manifest(self, names=None) -> DataFrame:
+        """(table_name, file, bytes, modified) of the tables' files, written aside.
 
-    def _table_size(self, name: str) -> DataFrame:
-        source = self.sources[name]
-        if source.table:
-            files = self._files_of_rows(name)
-        elif source.path:
-            reader = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            files = reader.load(source.path).select("length")
-        else:
-            files = None
-        if files is None:
-            files = self.spark.createDataFrame([], "length long")
-        total = F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("table_size_bytes")
-        return files.agg(total).select(F.lit(name).alias("table_name"), "table_size_bytes")
+        Folders are listed by Spark, in tasks where there are many, and no file is opened. Tables
+        that have no files of their own have no rows.
+        """
+        frames = [self.spark.createDataFrame([], MANIFEST)]
+        for name in self._chosen(names):
+            source = self.sources[name]
+            path = self._location(source.table) if source.table else source.path
+            if path:
+                reader = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                frames.append(self._files(name, reader.load(path)))
+            elif source.table:
+                files = self._files_of_rows(name)
+                frames += [files] if files is not None else []
+        # A file is a row here, whatever its size: as many tasks as cores are enough.
+        kept = self.spark.conf.get(SPLIT_BYTES)
+        self.spark.conf.set(SPLIT_BYTES, "1t")
+        try:
+            return materialize(reduce(DataFrame.unionByName, frames), "manifest")
+        finally:
+            self.spark.conf.set(SPLIT_BYTES, kept)
+
+    def _files(self, name: str, frame: DataFrame) -> DataFrame:
+        return frame.select(
+            F.lit(name).alias("table_name"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_size").alias("bytes"),
+            F.col("_metadata.file_modification_time").alias("modified"),
+        )
+
+    def _location(self, table: str) -> str | None:
+        """The folder of a session table; None for a view."""
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
+        # Columns come first and may have any name.
+        found = [r["data_type"] for r in described.collect() if r["col_name"] == "Location"]
+        return found[-1] if found and ":" in found[-1] else None
 
     def _files_of_rows(self, name: str) -> DataFrame | None:
-        """Lengths of the files that a table's rows come from; None where there are no files."""
+        """The files that the rows of a view come from; None where there are no files."""
         try:
-            file = self.load(name).select(
-                F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_size").alias("length"),
-            )
+            return self._files(name, self.load(name)).distinct()
         except AnalysisException:
             return None
-        return file.distinct()
+
+    def table_sizes(self, names=None, manifest: DataFrame | None = None) -> DataFrame:
+        """Bytes on disk per table; 0 where a source has no files of its own."""
+        names = self._chosen(names)
+        manifest = self.manifest(names) if manifest is None else manifest
+        known = manifest.groupBy("table_name").agg(F.sum("bytes").alias("found"))
+        listed = self.spark.createDataFrame([(n,) for n in names], TABLE_NAMES)
+        total = F.coalesce("found", F.lit(0)).cast("long").alias("table_size_bytes")
+        return listed.join(known, "table_name", "left").select("table_name", total)
+
+    def _chosen(self, names) -> list[str]:
+        return self.names() if names is None else list(names)

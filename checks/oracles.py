@@ -134,6 +134,8 @@ scored AS (
 
 
 ALL = tuple(TABLES)
+# Where the files whose sizes are checked lie: no view over their rows knows them.
+FOLDER = "/root/testdata/sf0.01"
 VARIANTS = tuple(GAPPY)
 NUMERIC = ("integer", "float")
 SCORES = (
@@ -412,6 +414,20 @@ def oracle_sql() -> dict[str, str]:
         for name in ALL
     )
     answered = ANSWER.format("prompt")
+    descriptions = f"""WITH {_prompt_parts(ALL)}, described AS (
+  SELECT table_name, first8, {answered} AS description FROM table_prompts),
+asked AS (
+  SELECT table_name, description, {_fill(
+      V.TAGS_PROMPT, table="table_name", columns="first8", description="description")} AS prompt
+  FROM described)
+SELECT table_name, description, {answered} AS tags FROM asked"""
+    column_descriptions = (
+        f"WITH {_prompt_parts(ALL)} "
+        f"SELECT table_name, column_name, {answered} AS description FROM column_prompts"
+    )
+    sizes = _union(f"SELECT '{n}' AS t, count(*) AS n FROM {n}" for n in ALL)
+    named_columns = ", ".join(f"('{n}', '{c}')" for n in ALL for c, _ in TABLES[n])
+    foreign = ", ".join(str(fk) for fk in FOREIGN_KEYS)
     return {
         "flagship_quality": f"{scored} {SCORES}",
         "gappy_quality": f"{variants} {SCORES}",
@@ -437,6 +453,12 @@ def oracle_sql() -> dict[str, str]:
         "FILTER (WHERE grade > 'A') AS error_message FROM scored",
         "latest_crawl": f"WITH {DAILY_SQL} SELECT status, tables_crawled, columns_crawled "
         "FROM daily ORDER BY started_at DESC LIMIT 1",
+        "crawl_runs": f"WITH {DAILY_SQL}, closed AS (SELECT *, columns_crawled % 2 = 0 AS c FROM daily) "
+        "SELECT run_id, CAST(started_at AS VARCHAR) AS started_at, "
+        "CASE WHEN c THEN CAST(finished_at AS VARCHAR) END AS finished_at, "
+        "CASE WHEN c THEN tables_crawled ELSE 0 END AS tables_crawled, "
+        "CASE WHEN c THEN columns_crawled ELSE 0 END AS columns_crawled, "
+        "CASE WHEN c THEN status ELSE 'running' END AS status FROM closed",
         "crawl_durations": f"WITH {DAILY_SQL} SELECT run_id, "
         "((epoch_us(finished_at) - epoch_us(started_at)) * 2 + 6000000) // 12000000 / 10.0 "
         "AS duration_minutes FROM daily",
@@ -472,7 +494,13 @@ def oracle_sql() -> dict[str, str]:
         "column_topk": _tops(ALL, ("string",)),
         "column_profile": profile(columns, ALL),
         "gappy_profile": profile(gappy_columns, VARIANTS),
-        "approx_distinct": f"{columns} SELECT table_name, column_name, true AS close FROM col",
+        "approx_distinct": f"{columns} SELECT table_name, column_name, distinct_count, true AS close "
+        "FROM col",
+        "incremental_profile": f"{scored}, col AS ({_column_facts(ALL)}) SELECT table_name, "
+        "column_name, c.row_count, null_count, null_pct, min_number, max_number, avg_number, "
+        "duplicate_count, overall_score, grade FROM col c JOIN scored USING (table_name)",
+        "table_size": f"""SELECT regexp_extract(filename, '(\\w+)[.]parquet$', 1) AS table_name,
+  size AS table_size_bytes FROM read_blob('{FOLDER}/*.parquet')""",
         "sample_values": "SELECT table_name, column_name, listed AS sample "
         f"FROM ({_lists(ALL, SAMPLED, SKIPPED)})",
         "type_normalize": f"{raw} SELECT name, raw_type, {CLEAN_TYPE_SQL} AS clean_type FROM raw",
@@ -608,27 +636,33 @@ FROM cat_rels""",
         "cache_misses": f"WITH {CACHE_SQL} SELECT md5(text) AS key, length(text) AS characters "
         "FROM (SELECT DISTINCT text FROM documents) WHERE md5(text) NOT IN "
         "(SELECT key FROM cached WHERE response <> '')",
-        "cache_save": f"WITH {CACHE_SQL}, fresh AS (SELECT DISTINCT md5(text) AS key, "
-        "substr(text, 1, 100) || '...' AS prompt_preview FROM documents WHERE source = 'src1') "
-        "SELECT key, response, prompt_preview FROM cached WHERE key NOT IN "
-        "(SELECT key FROM fresh) UNION ALL SELECT key, 'new', prompt_preview FROM fresh",
-        "cache_stats": f"WITH {CACHE_SQL} SELECT count(*) AS total_cached FROM cached",
+        "cache_save": """WITH old AS (
+  SELECT text AS prompt, min(CASE WHEN source = 'src0' THEN '' ELSE source END) AS response
+  FROM documents GROUP BY 1),
+fresh AS (
+  SELECT DISTINCT CASE WHEN source = 'src1' THEN text ELSE 'Again: ' || text END AS prompt
+  FROM documents),
+kept AS (
+  SELECT prompt, response FROM old WHERE prompt NOT IN (SELECT prompt FROM fresh)
+  UNION ALL SELECT prompt, 'new' FROM fresh)
+SELECT md5(prompt) AS key, response, substr(prompt, 1, 100) || '...' AS prompt_preview FROM kept""",
+        "cache_stats": """SELECT 'new' AS state, count(*) FILTER (WHERE false) AS total_cached,
+  true AS located, false AS exists FROM documents
+UNION ALL SELECT 'saved', count(DISTINCT text), true, true FROM documents
+UNION ALL SELECT 'cleared', 0, true, true""",
         "generate_batch": f"WITH {CACHE_SQL} SELECT doc_id, md5(text) AS key, "
         f"coalesce(nullif(response, ''), {ANSWER.format('text')}) AS response "
         "FROM documents LEFT JOIN cached ON key = md5(text)",
-        "generate_descriptions": f"""WITH {_prompt_parts(ALL)}, described AS (
-  SELECT table_name, first8, {answered} AS description FROM table_prompts),
-asked AS (
-  SELECT table_name, description, {_fill(
-      V.TAGS_PROMPT, table="table_name", columns="first8", description="description")} AS prompt
-  FROM described)
-SELECT table_name, description, {answered} AS tags FROM asked""",
-        "generate_column_descriptions": f"WITH {_prompt_parts(ALL)} "
-        f"SELECT table_name, column_name, {answered} AS description FROM column_prompts",
+        "generate_descriptions": descriptions,
+        "generate_column_descriptions": column_descriptions,
         "graph_nodes": f"{_graph(NODE_SQL)} SELECT * FROM node",
         "graph_edges": f"{_graph(EDGE_SQL)} SELECT * FROM edge",
-        "graph_keys": f"{_graph(NODE_SQL)} SELECT label, full_name, count(*) AS count FROM node "
-        "GROUP BY 1, 2 HAVING count(*) > 1",
+        "graph_keys": "SELECT 'Table' AS label, 'rows.customer_' || o_custkey AS full_name, "
+        f"CAST(2 AS BIGINT) AS count FROM orders GROUP BY o_custkey HAVING bool_or({FIRST_CRAWL}) "
+        f"AND bool_or({SECOND_CRAWL})",
+        "cleared_graph": f"{_graph(NODE_SQL, EDGE_SQL)} SELECT 'stored' AS state, "
+        "'lineage_nodes' AS table_name, count(*) AS n FROM node UNION ALL "
+        "SELECT 'stored', 'lineage_edges', count(*) FROM edge",
         "graph_node_counts": f"{_graph(NODE_SQL)} SELECT label AS type, count(*) AS count "
         "FROM node GROUP BY 1",
         "graph_edge_counts": f"{_graph(EDGE_SQL)} SELECT type, count(*) AS count "
@@ -672,11 +706,37 @@ FROM cat_tables WHERE contains(lower(table_name), 'ring')
   OR contains(lower(ai_description), 'ring') OR contains(lower(ai_tags), 'ring')""",
         "search_documents": "SELECT doc_id, lang, n_chars FROM documents "
         "WHERE contains(lower(text), 'the ') OR contains(lower(source), 'the ')",
-        "database_lineage": "WITH sizes AS ("
-        + _union(f"SELECT '{n}' AS t, count(*) AS n FROM {n}" for n in ALL)
-        + "), fk(source_table, a, target_table, b) AS (VALUES "
-        + ", ".join(str(fk) for fk in FOREIGN_KEYS)
-        + ") SELECT source_table, s.n AS source_rows, target_table, t.n AS target_rows, "
-        "a || ' → ' || b AS via FROM fk JOIN sizes s ON s.t = source_table "
-        "JOIN sizes t ON t.t = target_table",
+        "database_lineage": f"""WITH sizes AS ({sizes}),
+named(t, c) AS (VALUES {named_columns}),
+fk(s, a, t, b) AS (VALUES {foreign}),
+none AS (SELECT CAST(NULL AS VARCHAR) AS x, CAST(NULL AS BIGINT) AS k)
+SELECT 'CONTAINS' AS type, 'tests' AS src, k AS source_rows, 'tests.' || t AS dst,
+  n AS target_rows, x AS rel_type, x AS via, x AS join_column FROM sizes, none
+UNION ALL SELECT 'HAS_COLUMN', 'tests.' || t, n, 'tests.' || t || '.' || c, k, x, x, x
+FROM named JOIN sizes USING (t), none
+UNION ALL SELECT 'REFERENCES', 'tests.' || s || '.' || a, k, 'tests.' || t || '.' || b, k,
+  'foreign_key', x, x FROM fk, none
+UNION ALL SELECT 'RELATED_TO', 'tests.' || s, o.n, 'tests.' || fk.t, p.n, x, a || ' → ' || b, a
+FROM fk JOIN sizes o ON o.t = s JOIN sizes p ON p.t = fk.t, none""",
+        "crawl_catalog": f"{scored}, fks AS ({foreign_counts}), nulls AS ("
+        + _union(
+            f"SELECT '{n}' AS table_name, CAST(sum(null_count) AS BIGINT) AS nulls "
+            f"FROM ({_column_facts(ALL)}) WHERE table_name = '{n}'"
+            for n in ALL
+        )
+        + ") SELECT table_name, row_count, CAST(column_count AS BIGINT) AS column_count, "
+        "CAST(column_count AS BIGINT) AS columns, nulls, primary_keys, "
+        "CAST(k AS BIGINT) AS foreign_key_count, CAST(k AS BIGINT) AS relationships, "
+        "overall_score AS quality_score, grade AS quality_grade, 'partial' AS status, "
+        "count(*) OVER () AS tables_crawled, "
+        "CAST(sum(column_count) OVER () AS BIGINT) AS columns_crawled, 'missing' AS failed "
+        "FROM scored JOIN fks USING (table_name) JOIN nulls USING (table_name)",
+        "describe_run": f"SELECT table_name, '' AS column_name, description, tags FROM ({descriptions}) "
+        f"UNION ALL SELECT table_name, column_name, description, NULL FROM ({column_descriptions})",
+        "full_refresh": f"{scored} SELECT count(*) AS table_count, "
+        "round(avg(overall_score), 2) AS avg_quality, count(*) AS described_count, "
+        "CAST(sum(column_count) AS BIGINT) AS column_count, 'partial' AS status, "
+        "count(*) AS tables_crawled, CAST(sum(column_count) AS BIGINT) AS columns_crawled, "
+        "CAST(1 + count(*) + sum(column_count) AS BIGINT) AS nodes, "
+        f"CAST(count(*) + sum(column_count) + {2 * len(FOREIGN_KEYS)} AS BIGINT) AS edges FROM scored",
     }

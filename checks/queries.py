@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary import Registry, TableSource
 from cartulary.functions import scores
-from cartulary.functions.expressions import as_of_column, elapsed_days
+from cartulary.functions.expressions import as_of_column, elapsed_days, side_by_side
 from cartulary.operators import catalog, generation, lineage, prompts, quality, schema, stats
 from cartulary.operators import traversal
+from cartulary.operators.increments import FileStates
 from cartulary.plans import describe as describing
 from cartulary.plans import profile as profiling
+from cartulary.plans import refresh as refreshing
+from cartulary.plans.crawl import crawl
 from cartulary.session import materialize, scratch_root
 from cartulary.sources import cache as caching
+from cartulary.sources.store import CatalogStore
 from checks import row_catalog as rows
-from checks.tables import AS_OF, footer_registry, gappy_registry, registry, table
+from checks.tables import AS_OF, CONSTRAINTS, footer_registry, gappy_registry, registry, table
 
 KEYS = ["table_name", "column_name"]
 
@@ -25,6 +32,16 @@ def fixed_now():
     return as_of_column(AS_OF)
 
 
+@contextmanager
+def scratch_store(spark: SparkSession) -> Iterator[CatalogStore]:
+    """A catalog of its own, dropped at the end: results read from it are written aside first."""
+    store = CatalogStore(spark, f"check_{uuid.uuid4().hex}").setup()
+    try:
+        yield store
+    finally:
+        store.drop()
+
+
 def facts_of(reg, ranges=False) -> DataFrame:
     plans = profiling.table_plans(reg)
     return stats.union_all([stats.table_facts(p, ranges=ranges) for p in plans])
@@ -134,6 +151,27 @@ def _daily_logs(spark, sf_dir) -> DataFrame:
     )
 
 
+def crawl_runs(spark, sf_dir):
+    """The log of a run per day of events; days with an odd number of users are still running.
+
+    Every run is an event that opens it and, later, one that closes it.
+    """
+    logs = catalog.fit(_daily_logs(spark, sf_dir), "crawl_logs")
+    opened = logs.select(
+        "run_id",
+        "started_at",
+        F.lit(0).alias("tables_crawled"),
+        F.lit(0).alias("columns_crawled"),
+        F.lit("running").alias("status"),
+    )
+    with scratch_store(spark) as store:
+        store.put("crawl_logs", catalog.fit(opened, "crawl_logs"))
+        store.put("crawl_logs", logs.where("columns_crawled % 2 = 0"))
+        times = {c: F.col(c).cast("string") for c in ("started_at", "finished_at")}
+        found = store.read("crawl_logs").withColumns(times).drop("error_message")
+        return materialize(found, "log")
+
+
 def crawl_durations(spark, sf_dir):
     logs = _daily_logs(spark, sf_dir)
     minutes = catalog.minutes_between(F.col("started_at"), F.col("finished_at"))
@@ -277,20 +315,27 @@ def _column_side(found: DataFrame) -> DataFrame:
 
 
 def approx_distinct(spark, sf_dir):
-    """Sketches in the same pass as the counts, within a tenth of the exact numbers."""
-    plans = profiling.table_plans(registry(spark, sf_dir))
-    facts = stats.union_all(
-        [stats.table_facts(p, ranges=False, approx_distinct=True) for p in plans]
-    )
+    """Exact distinct counts, and whether the sketches of a profile are within a twentieth."""
+    reg = registry(spark, sf_dir)
+    plans = profiling.table_plans(reg)
+    sketched = profiling.column_statistics(reg, sketches=True)
     exact = stats.name_columns(plans, stats.distinct_counts(stats.value_frequencies(plans)))
-    close = F.abs(F.col("approx_distinct") - F.col("distinct_count")) <= (
-        F.col("distinct_count") * 0.1
-    )
-    return (
-        stats.column_nulls(facts)
-        .join(exact.select(*KEYS, "distinct_count"), KEYS)
-        .select(*KEYS, close.alias("close"))
+    estimate = sketched.select(*KEYS, F.col("distinct_count").alias("estimate"))
+    off = F.abs(F.col("estimate") - F.col("distinct_count")) / F.col("distinct_count")
+    return exact.join(estimate, KEYS).select(*KEYS, "distinct_count", (off <= 0.05).alias("close"))
+
+
+def incremental_profile(spark, sf_dir):
+    """Columns and keys of all tables, from states that an earlier profile kept for their files."""
+    reg = registry(spark, sf_dir)
+    states = FileStates(spark, f"{scratch_root(spark)}/states-{uuid.uuid4().hex}")
+    for _ in range(2):
+        found = profiling.profile_tables(reg, AS_OF, states=states)
+    tables = found.tables.select("table_name", "duplicate_count", "overall_score", "grade")
+    columns = found.columns.select(
+        *KEYS, "row_count", "null_count", "null_pct", "min_number", "max_number", "avg_number"
     )
+    return columns.join(tables, "table_name")
 
 
 def sample_values(spark, sf_dir):
@@ -432,18 +477,23 @@ def _customer_crawl(spark, sf_dir, period: str, day: str) -> DataFrame:
 
 
 def catalog_upsert(spark, sf_dir):
+    """Two crawls saved to a store, the second over tables the first knows and new ones."""
     old = _customer_crawl(spark, sf_dir, f"o_orderdate < '{FIRST_UNTIL}'", "2024-01-01")
     described = old.withColumn("ai_description", F.concat(F.lit("about "), "table_name"))
     new = _customer_crawl(spark, sf_dir, f"o_orderdate >= '{SECOND_FROM}'", "2024-02-01")
-    return catalog.upsert_tables(described, new).select(
-        "table_name",
-        "row_count",
-        "quality_score",
-        "quality_grade",
-        "ai_description",
-        F.col("last_crawled_at").cast("string").alias("last_crawled_at"),
-        F.col("created_at").cast("string").alias("created_at"),
-    )
+    with scratch_store(spark) as store:
+        store.upsert_tables(described)
+        store.upsert_tables(materialize(new, "crawled"))
+        found = store.read("catalog_tables").select(
+            "table_name",
+            "row_count",
+            "quality_score",
+            "quality_grade",
+            "ai_description",
+            F.col("last_crawled_at").cast("string").alias("last_crawled_at"),
+            F.col("created_at").cast("string").alias("created_at"),
+        )
+        return materialize(found, "catalog")
 
 
 def _order_columns(spark, sf_dir, period: str) -> DataFrame:
@@ -464,9 +514,12 @@ def catalog_replace(spark, sf_dir):
     old = _order_columns(spark, sf_dir, f"l_shipdate < '{FIRST_UNTIL}'").withColumn(
         "ai_description", F.concat_ws(".", "table_name", "column_name")
     )
-    new = _order_columns(spark, sf_dir, f"l_shipdate >= '{SECOND_FROM}'")
-    merged = catalog.replace_columns(old, new)
-    return merged.select(*KEYS, "null_pct", "ai_description")
+    new = materialize(_order_columns(spark, sf_dir, f"l_shipdate >= '{SECOND_FROM}'"), "crawled")
+    with scratch_store(spark) as store:
+        store.put("catalog_columns", old)
+        store.replace_columns(new, new.select("table_name").distinct())
+        found = store.read("catalog_columns").select(*KEYS, "null_pct", "ai_description")
+        return materialize(found, "catalog")
 
 
 def relationship_replace(spark, sf_dir):
@@ -484,10 +537,13 @@ def relationship_replace(spark, sf_dir):
         ).distinct()
         return catalog.fit(found, "catalog_relationships")
 
-    merged = catalog.replace_relationships(
-        crawl(f"l_shipdate < '{FIRST_UNTIL}'"), crawl(f"l_shipdate >= '{SECOND_FROM}'")
-    )
-    return merged.select("source_table", "source_column", "target_table", "target_column")
+    new = materialize(crawl(f"l_shipdate >= '{SECOND_FROM}'"), "crawled")
+    with scratch_store(spark) as store:
+        store.put("catalog_relationships", crawl(f"l_shipdate < '{FIRST_UNTIL}'"))
+        store.replace_relationships(new, new.select(F.col("source_table").alias("table_name")))
+        found = store.read("catalog_relationships")
+        found = found.select("source_table", "source_column", "target_table", "target_column")
+        return materialize(found, "catalog")
 
 
 def describe_tables(spark, sf_dir):
@@ -623,16 +679,44 @@ def cache_misses(spark, sf_dir):
     return found.select("key", F.length("prompt").cast("bigint").alias("characters"))
 
 
+def _answers(spark, sf_dir) -> DataFrame:
+    """A response for every distinct document."""
+    found = table(spark, sf_dir, "documents").groupBy(F.col("text").alias("prompt"))
+    response = F.when(F.col("source") == "src0", "").otherwise(F.col("source"))
+    return caching.cache_entries(found.agg(F.min(response).alias("response")), fixed_now().cast("timestamp"))
+
+
+def _scratch_cache(spark) -> caching.ResponseCache:
+    return caching.ResponseCache(spark, f"{scratch_root(spark)}/answers-{uuid.uuid4().hex}")
+
+
 def cache_save(spark, sf_dir):
-    """The cache after new responses for the documents of one source."""
-    again = table(spark, sf_dir, "documents").where("source = 'src1'")
-    new = again.select(F.col("text").alias("prompt"), F.lit("new").alias("response")).distinct()
-    merged = caching.merge_entries(_document_cache(spark, sf_dir), caching.cache_entries(new))
-    return merged.select("key", "response", "prompt_preview")
+    """A cache of all documents after a second save, in which one source is answered anew.
+
+    The prompts of all other documents are new ones.
+    """
+    again = F.when(F.col("source") == "src1", F.col("text")).otherwise(F.concat(F.lit("Again: "), "text"))
+    new = table(spark, sf_dir, "documents").select(again.alias("prompt"), F.lit("new").alias("response"))
+    cache = _scratch_cache(spark)
+    cache.save(_answers(spark, sf_dir))
+    cache.save(caching.cache_entries(new.distinct()))
+    return cache.load().select("key", "response", "prompt_preview")
 
 
 def cache_stats(spark, sf_dir):
-    return caching.cache_size(_document_cache(spark, sf_dir))
+    """Figures of a cache before anything is saved, with all documents, and cleared."""
+    cache = _scratch_cache(spark)
+
+    def figures(state):
+        here = (F.col("cache_path") == cache.path).alias("located")
+        found = cache.stats().select(F.lit(state).alias("state"), "total_cached", here, "exists")
+        return materialize(found, "figures")
+
+    states = [figures("new")]
+    cache.save(_answers(spark, sf_dir))
+    states.append(figures("saved"))
+    cache.clear()
+    return stats.union_all([*states, figures("cleared")])
 
 
 def text_length_generator():
@@ -661,8 +745,7 @@ def _described(spark, sf_dir) -> describing.Descriptions:
     tables, columns, samples = (
         materialize(side, "catalog-side") for side in _catalog_side(spark, sf_dir)
     )
-    cache = caching.ResponseCache(spark, f"{scratch_root(spark)}/answers-{uuid.uuid4().hex}")
-    return describing.describe(tables, columns, samples, cache, text_length_generator())
+    return describing.describe(tables, columns, samples, _scratch_cache(spark), text_length_generator())
 
 
 def generate_descriptions(spark, sf_dir):
@@ -704,8 +787,31 @@ def graph_edges(spark, sf_dir):
 
 
 def graph_keys(spark, sf_dir):
-    """Nodes that share a name: none here."""
-    return lineage.repeated_nodes(rows.graph(spark, sf_dir).nodes)
+    """Nodes that share a name: the tables that two crawls saw, before they are merged."""
+    crawls = [
+        _customer_crawl(spark, sf_dir, f"o_orderdate < '{FIRST_UNTIL}'", "2024-01-01"),
+        _customer_crawl(spark, sf_dir, f"o_orderdate >= '{SECOND_FROM}'", "2024-02-01"),
+    ]
+    return lineage.repeated_nodes(lineage.table_nodes(stats.union_all(crawls), rows.DATABASE))
+
+
+def cleared_graph(spark, sf_dir):
+    """Nodes and edges in a new store, after a graph is put there, and after it is cleared."""
+    graph = rows.graph(spark, sf_dir).store()
+    with scratch_store(spark) as store:
+
+        def counted(state):
+            found = [
+                store.read(name).groupBy(F.lit(name).alias("table_name")).agg(F.count(F.lit(1)).alias("n"))
+                for name in ("lineage_nodes", "lineage_edges")
+            ]
+            return materialize(stats.union_all(found).withColumn("state", F.lit(state)), "counted")
+
+        states = [counted("new")]
+        store.put_graph(graph)
+        states.append(counted("stored"))
+        store.clear_graph()
+        return stats.union_all([*states, counted("cleared")])
 
 
 def graph_node_counts(spark, sf_dir):
@@ -779,25 +885,93 @@ def database_lineage(spark, sf_dir):
     )
     links = profiling.relationships(schema.parse_foreign_keys(reg.raw_foreign_keys()))
     graph = lineage.build_graph(tables, columns, links, "tests", rows.stamp())
-    ends = graph.nodes.where("label = 'Table'").select("full_name", "name", "row_count")
-    source = ends.select(
-        F.col("full_name").alias("src"),
-        F.col("name").alias("source_table"),
-        F.col("row_count").alias("source_rows"),
-    )
-    target = ends.select(
-        F.col("full_name").alias("dst"),
-        F.col("name").alias("target_table"),
-        F.col("row_count").alias("target_rows"),
-    )
+    counted = graph.nodes.select("full_name", "row_count")
+    source = counted.select(F.col("full_name").alias("src"), F.col("row_count").alias("source_rows"))
+    target = counted.select(F.col("full_name").alias("dst"), F.col("row_count").alias("target_rows"))
     return (
-        graph.edges.where("type = 'RELATED_TO'")
-        .join(source, "src")
+        graph.edges.join(source, "src")
         .join(target, "dst")
-        .select("source_table", "source_rows", "target_table", "target_rows", "via")
+        .select("type", "src", "source_rows", "dst", "target_rows", "rel_type", "via", "join_column")
     )
 
 
+# ---------------------------------------------------------------------------------------------
+# Whole runs over the test tables and one that cannot be read
+# ---------------------------------------------------------------------------------------------
+
+
+def _broken_registry(spark, sf_dir) -> Registry:
+    sources = list(registry(spark, sf_dir).sources.values())
+    missing = TableSource("missing", path=f"{sf_dir}/there_is_no_such_table.parquet")
+    return Registry(spark, [*sources, missing], CONSTRAINTS)
+
+
+def crawl_catalog(spark, sf_dir):
+    """What a crawl leaves in the catalog, next to the row of its log."""
+    with scratch_store(spark) as store:
+        log = crawl(_broken_registry(spark, sf_dir), store, AS_OF).select(
+            "status",
+            "tables_crawled",
+            "columns_crawled",
+            F.substring_index("error_message", ":", 1).alias("failed"),
+        )
+        columns = store.read("catalog_columns").groupBy("table_name")
+        columns = columns.agg(F.count(F.lit(1)).alias("columns"), F.sum("null_count").alias("nulls"))
+        links = store.read("catalog_relationships").groupBy(F.col("source_table").alias("table_name"))
+        links = links.agg(F.count(F.lit(1)).alias("relationships"))
+        found = (
+            store.read("catalog_tables")
+            .join(columns, "table_name", "left")
+            .join(links, "table_name", "left")
+            .select(
+                "table_name",
+                "row_count",
+                "column_count",
+                "columns",
+                "nulls",
+                "primary_keys",
+                "foreign_key_count",
+                F.coalesce("relationships", F.lit(0)).cast("bigint").alias("relationships"),
+                "quality_score",
+                "quality_grade",
+            )
+        )
+        run = log.first()
+        return materialize(found.withColumns({c: F.lit(run[c]) for c in log.columns}), "crawled")
+
+
+def describe_run(spark, sf_dir):
+    """Descriptions and tags in the catalog after a run over all tables that were crawled."""
+    reg = _broken_registry(spark, sf_dir)
+    with scratch_store(spark) as store:
+        crawl(reg, store, AS_OF)
+        describing.describe_catalog(reg, store, _scratch_cache(spark), text_length_generator())
+        tables = store.read("catalog_tables").select(
+            "table_name",
+            F.lit("").alias("column_name"),
+            F.col("ai_description").alias("description"),
+            F.col("ai_tags").alias("tags"),
+        )
+        columns = store.read("catalog_columns").select(
+            *KEYS, F.col("ai_description").alias("description"), F.lit(None).cast("string").alias("tags")
+        )
+        return materialize(tables.unionByName(columns), "described")
+
+
+def full_refresh(spark, sf_dir):
+    """The summary of a whole refresh, with the size of the graph it leaves."""
+    with scratch_store(spark) as store:
+        reg, cache = _broken_registry(spark, sf_dir), _scratch_cache(spark)
+        summary = refreshing.refresh_catalog(reg, store, "tests", cache, text_length_generator(), AS_OF)
+        graph = refreshing.stored_graph(store)
+        found = side_by_side(
+            summary.drop("duration_minutes"),
+            graph.nodes.agg(F.count(F.lit(1)).alias("nodes")),
+            graph.edges.agg(F.count(F.lit(1)).alias("edges")),
+        )
+        return materialize(found, "refreshed")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -809,6 +983,7 @@ QUERIES = {
         table_size,
         crawl_totals,
         crawl_log,
+        crawl_runs,
         latest_crawl,
         crawl_durations,
         quality_rank,
@@ -828,6 +1003,7 @@ QUERIES = {
         column_profile,
         gappy_profile,
         approx_distinct,
+        incremental_profile,
         sample_values,
         type_normalize,
         type_params,
@@ -876,5 +1052,9 @@ QUERIES = {
         search,
         search_documents,
         database_lineage,
+        cleared_graph,
+        crawl_catalog,
+        describe_run,
+        full_refresh,
     )
 }

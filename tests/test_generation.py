@@ -62,7 +62,8 @@ def test_cache_folder(spark, rows, tmp_path):
         assert ("y", "x" * 100 + "...") in rows(cache.load(), "response", "prompt_preview")
         before = sorted(rows(cache.load()))
         cache.compact()
-        assert sorted(rows(cache.load())) == before and cache._read().count() == 2
+        assert sorted(rows(cache.load())) == before
+        assert all(len(batches) == 1 for batches in cache.batches().values())
         cache.clear()
         assert rows(cache.stats(), "total_cached") == [(0,)]
 
@@ -204,3 +205,108 @@ def test_the_text_of_a_prompt_passes_one_shuffle(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_a_lookup_opens_the_buckets_of_its_keys_only(spark, rows, tmp_path):
+    cache = ResponseCache(spark, str(tmp_path / "cache"))
+    cache.save(entries(spark, [(f"prompt {i}", f"answer {i}") for i in range(500)]))
+    cache.save(entries(spark, [("prompt 3", "later")]))
+    assert len(cache.batches()) == 16 and sum(map(len, cache.batches().values())) == 17
+    wanted = ("prompt 3", "prompt 4", "none")
+    digits = {hashlib.md5(p.encode()).hexdigest()[0] for p in wanted}
+    keys = asked(spark, *wanted).select(caching.prompt_key(F.col("prompt")).alias("key"))
+    found = cache.answers(keys)
+    assert {f.split("bucket=")[1][0] for f in found.inputFiles()} == digits
+    assert sorted(rows(found, "response")) == [("answer 4",), ("later",)]
+
+
+def test_buckets_of_one_batch_are_read_without_comparing(spark, tmp_path):
+    cache = ResponseCache(spark, str(tmp_path / "cache"))
+    cache.save(entries(spark, [(f"prompt {i}", "x") for i in range(200)]))
+    plan = cache.load()._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    cache.save(entries(spark, [("prompt 3", "later")]))
+    plan = cache.load()._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan
+    assert cache.load().count() == 200
+
+
+def test_entries_are_sorted_and_have_bloom_filters(spark, tmp_path):
+    cache = ResponseCache(spark, str(tmp_path / "cache"))
+    cache.save(entries(spark, [(f"prompt {i}", "x") for i in range(300)]))
+    pq = __import__("pyarrow.parquet").parquet
+    files = list((tmp_path / "cache").rglob("*.parquet"))
+    assert len(files) == 16
+    for file in files:
+        keys = pq.read_table(str(file), columns=["key"], partitioning=None).column("key").to_pylist()
+        assert keys == sorted(keys)
+    with_filters = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter(
+        spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(str(files[0]))
+    )
+    column = with_filters.getBlocks().get(0).getColumns().get(0)
+    assert column.getPath().toDotString() == "key" and column.getBloomFilterOffset() > 0
+
+
+def test_texts_of_known_prompts_do_not_move(spark, rows, tmp_path):
+    cache = ResponseCache(spark, str(tmp_path / "cache"))
+    cache.save(entries(spark, [(f"prompt {i}", f"a{i}") for i in range(50)]))
+    many = spark.range(200).selectExpr("id", "concat('prompt ', id % 50) as prompt")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = generation.answer_with(many, cache, counting_generator(str(tmp_path)))
+        plan = found.select("id", "response")._jdf.queryExecution().executedPlan()
+        shuffled = [line for line in plan.toString().split("\n") if "Exchange" in line]
+        assert shuffled and not any("prompt" in line for line in shuffled)
+        assert dict(rows(found, "id", "response")) == {i: f"a{i % 50}" for i in range(200)}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def dying_generator(folder, fatal):
+    """Notes what it answers; dies at one prompt once all others are answered."""
+
+    def make():
+        import os
+        import time
+        import uuid
+
+        def respond(batch, lengths):
+            for prompt in batch:
+                if prompt == fatal:
+                    time.sleep(3)
+                    raise RuntimeError("the generator died")
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as note:
+                    note.write(prompt)
+            return [p.upper() for p in batch]
+
+        return respond
+
+    return make
+
+
+def test_a_failed_run_loses_only_unfinished_tasks(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(generation, "PROMPTS_PER_TASK", 2)
+    cache = ResponseCache(spark, str(tmp_path / "cache"))
+    cache.save(entries(spark, [("known", "yes")]))
+    texts = ["known", *(f"p{i}" for i in range(20))]
+    folders = [tmp_path / "first", tmp_path / "second"]
+    for f in folders:
+        f.mkdir()
+    try:
+        generation.answer_with(asked(spark, *texts), cache, dying_generator(str(folders[0]), "p7")).count()
+        raise AssertionError("the run should have failed")
+    except Exception as error:
+        assert "the generator died" in str(error)
+    kept = {r[0] for r in rows(cache.journal(), "response")}
+    assert kept
+    assert rows(cache.stats(), "total_cached") == [(1,)]
+    found = generation.answer_with(asked(spark, *texts), cache, dying_generator(str(folders[1]), ""))
+    assert dict(rows(found, "prompt", "response")) == {t: "yes" if t == "known" else t.upper() for t in texts}
+    again = set(notes(folders[1]))
+    assert {t.upper() for t in again} == {f"P{i}" for i in range(20)} - kept
+    cache.compact()
+    assert rows(cache.stats(), "total_cached") == [(21,)] and cache.journal() is None

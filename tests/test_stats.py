@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -226,3 +227,64 @@ def test_nested_values_keep_microseconds_and_know_one_zero(spark):
     )
     found = by_column(profiling.column_statistics(registry(spark, t=frame)), "distinct_count")
     assert found == {"s": (2,), "a": (1,), "m": (1,), "n": (1,)}
+
+
+def shuffled_rows(df):
+    """Rows that each shuffle of a plan sent when it ran."""
+    df.collect()
+    waiting, found = [df._jdf.queryExecution().executedPlan()], []
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def expected_tops(words, limit=3):
+    counted = {}
+    for w in words:
+        if w is not None:
+            counted[w] = counted.get(w, 0) + 1
+    best = sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:limit]
+    return [(n, w, f) for n, (w, f) in enumerate(best, 1)]
+
+
+def test_unique_texts_with_one_beginning_stay_where_they_are(spark, rows):
+    url = "https://example.org/a/folder/with/a/rather/long/name/that/all/texts/share/"
+    words = [f"{url}{i * 7919 % 20000:06}" for i in range(20_000)]
+    frame = spark.createDataFrame([(w,) for w in words], "s string").repartition(8)
+    plans = profiling.table_plans(registry(spark, t=frame))
+    found = stats.top_values(plans, stats.value_frequencies(plans))
+    sent = shuffled_rows(found)
+    assert sorted(rows(found, "rank", "value", "freq")) == expected_tops(words)
+    # The input's own shuffle and that of the frequencies; all others send a few rows per task.
+    assert sum(n > 100 for n in sent) <= 2 + sum(n == 20_000 for n in sent)
+    assert all(n <= 3 * 16 or n == 20_000 for n in sent)
+
+
+@pytest.mark.parametrize("case", range(12))
+def test_top_texts_of_any_frequencies_and_lengths(spark, rows, case):
+    r = random.Random(case)
+    heads = ["h" * 40, "h" * 31 + "i", "k" * 70]
+    pool = [None, "", "a", "h" * 32, "h" * 33]
+    pool += [r.choice(heads) + str(r.randint(0, 60)) + "x" * r.choice([0, 5, 50]) for _ in range(40)]
+    if case % 3 == 0:  # all occur once
+        words = list(dict.fromkeys(pool))
+    elif case % 3 == 1:  # all occur twice
+        words = list(dict.fromkeys(pool)) * 2
+    else:
+        words = r.choices(pool, k=r.randint(1, 150))
+    r.shuffle(words)
+    frame = spark.createDataFrame([(w, w) for w in words], "s string, t string").repartition(3)
+    plans = profiling.table_plans(registry(spark, t=frame))
+    found = stats.top_values(plans, stats.value_frequencies(plans))
+    for column in (0, 1):
+        mine = found.where(F.col("column_id") == column)
+        assert sorted(rows(mine, "rank", "value", "freq")) == expected_tops(words)
