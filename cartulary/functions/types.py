@@ -9,14 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartulary.functions.expressions import strip
-from cartulary.functions.vocabulary import LABEL_SPARK_NAMES, LABEL_TYPE_NAMES, UNKNOWN_LABEL
-
-LABEL_OF = {
-    raw: label
-    for names in (LABEL_TYPE_NAMES, LABEL_SPARK_NAMES)
-    for label, raws in names.items()
-    for raw in raws
-}
+from cartulary.functions.vocabulary import SPARK_TYPE_LABELS, TYPE_LABELS, UNKNOWN_LABEL
+
+LABEL_OF = TYPE_LABELS | SPARK_TYPE_LABELS
 
 
 def type_label(raw: Column) -> Column:

@@ -1,31 +1,47 @@
 """Fixed values the results depend on: labels, word lists, weights, thresholds, texts."""
 
-# Each label with the raw type names that stand for it.
-LABEL_TYPE_NAMES = {
-    "integer": ("integer", "bigint", "smallint", "serial", "bigserial"),
-    "decimal": ("numeric", "decimal"),
-    "float": ("real", "double precision", "float"),
-    "string": ("character varying", "varchar", "character", "char"),
-    "text": ("text",),
-    "boolean": ("boolean",),
-    "timestamp": ("timestamp without time zone", "timestamp with time zone", "timestamp"),
-    "date": ("date",),
-    "time": ("time without time zone", "time with time zone"),
-    "json": ("json", "jsonb"),
-    "uuid": ("uuid",),
-    "binary": ("bytea",),
-    "array": ("array",),
+# The label of each raw type name.
+TYPE_LABELS = {
+    "integer": "integer",
+    "bigint": "integer",
+    "smallint": "integer",
+    "serial": "integer",
+    "bigserial": "integer",
+    "numeric": "decimal",
+    "decimal": "decimal",
+    "real": "float",
+    "double precision": "float",
+    "float": "float",
+    "character varying": "string",
+    "varchar": "string",
+    "character": "string",
+    "char": "string",
+    "text": "text",
+    "boolean": "boolean",
+    "timestamp without time zone": "timestamp",
+    "timestamp with time zone": "timestamp",
+    "timestamp": "timestamp",
+    "date": "date",
+    "time without time zone": "time",
+    "time with time zone": "time",
+    "json": "json",
+    "jsonb": "json",
+    "uuid": "uuid",
+    "bytea": "binary",
+    "array": "array",
 }
 
-# Spark's own names for the same labels, where they differ.
-LABEL_SPARK_NAMES = {
-    "integer": ("tinyint", "int"),
-    "float": ("double",),
-    "string": ("string",),
-    "timestamp": ("timestamp_ntz", "timestamp_ltz"),
-    "time": ("time",),
-    "json": ("variant",),
-    "binary": ("binary",),
+# Spark's own type names, where they are none of those above.
+SPARK_TYPE_LABELS = {
+    "tinyint": "integer",
+    "int": "integer",
+    "double": "float",
+    "string": "string",
+    "timestamp_ntz": "timestamp",
+    "timestamp_ltz": "timestamp",
+    "time": "time",
+    "variant": "json",
+    "binary": "binary",
 }
 
 UNKNOWN_LABEL = "unknown"

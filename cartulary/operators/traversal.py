@@ -26,6 +26,9 @@ from cartulary.operators.lineage import (
 from cartulary.session import SMALL_ROWS, materialize, written_small
 
 
+PATH = "path array<string>, hops int"
+
+
 def _edges(graph: Graph, kind: str, src: str = "src", dst: str = "dst", *extra: str) -> DataFrame:
     return graph.edges.where(F.col("type") == kind).select(
         F.col("src").alias(src), F.col("dst").alias(dst), *extra
@@ -187,10 +190,13 @@ def search_tables(graph: Graph, keyword: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Side:
-    """One of the two searches: its latest level, what is no longer new, and its direction."""
+    """One of the two searches: its levels so far, the size of the latest, and its direction.
+
+    A level has a row per node: its name, its parent on the smallest path, the parent's rank, and
+    the rank of that path among those of the level. Equal lists of names have equal ranks.
+    """
 
-    level: DataFrame
-    seen: DataFrame
+    levels: tuple[DataFrame, ...]
     size: int
     forward: bool
 
@@ -206,8 +212,10 @@ def lineage_path(
     The graph is searched level by level from both ends, always on the side with fewer nodes,
     until the two latest levels share a node. Levels are complete, so that happens first when
     their distances add up to that of the tables, and every shortest path crosses a shared node.
-    A node keeps only its smallest list of names, which is enough because the smallest path
-    through a node is the smallest one to it followed by the smallest one from it.
+    A node keeps its parent and the rank of its smallest list of names, not the list, so its row
+    has the same size at any depth. That is enough because a list one longer is smaller if the
+    list before it has a smaller rank, or else by its own name (from the end: by its own name, or
+    else by the rank). The path is put together in the end, a row per level.
     """
     if start == end:
         raise ValueError("a path needs two different tables")
@@ -217,43 +225,83 @@ def lineage_path(
     ends = materialize(ends.select(_named("full_name", "node"), "name"), "ends")
     sides = []
     for name, forward in ((start, True), (end, False)):
-        level = ends.where(F.col("name") == name).select("node", F.array("name").alias("path"))
-        sides.append(_Side(level, level.select("node"), level.count(), forward))
+        none, zero = F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint")
+        level = ends.where(F.col("name") == name)
+        level = level.select("node", "name", none, zero.alias("before"), zero.alias("rank"))
+        sides.append(_Side((level,), level.count(), forward))
     while all(side.size for side in sides):
         sides.sort(key=lambda side: side.size)
         sides[0] = _grow(graph, kinds, sides[0], small_level)
         found = _meet(*sides)
-        if not found.isEmpty():
-            return found
-    return _meet(*sides)
+        if found is not None:
+            return graph.nodes.sparkSession.createDataFrame([(found, len(found) - 1)], PATH)
+    return graph.nodes.sparkSession.createDataFrame([], PATH)
 
 
 def _grow(graph: Graph, kinds: list[str], side: _Side, small_level: int) -> _Side:
     """The next level of a search.
 
     A level of few nodes is sent to every task, which leaves the edges where they are, those of
-    a hub included; a large one is shuffled together with the edges, and AQE splits hubs. Paths
-    to one node are reduced to the smallest before the shuffle. In an undirected graph the
+    a hub included; a large one is shuffled together with the edges, and AQE splits hubs. Parents
+    of one node are reduced to the best before the shuffle. In an undirected graph the
     neighbours of a level lie in it, in the one before or in the next, so two levels are enough
     to tell which nodes are new. Levels are written to the shared folder, which keeps the plan
     short and survives lost executors.
     """
-    near = side.level.withColumnRenamed("node", "src")
+    latest = side.levels[-1]
+    near = latest.select(_named("node", "src"), "rank")
     near = F.broadcast(near) if side.size <= small_level else near
+    seen = latest.select("node")
+    if len(side.levels) > 1:
+        seen = seen.unionByName(side.levels[-2].select("node"))
     reached = (
-        _steps(graph, kinds, side.level)
+        _steps(graph, kinds, latest)
         .join(near, "src")
         .groupBy(_named("dst", "node"))
-        .agg(F.min("path").alias("path"))
-        .join(side.seen, "node", "left_anti")
+        .agg(F.min(F.struct(_named("rank", "before"), _named("src", "parent"))).alias("best"))
+        .join(seen, "node", "left_anti")
     )
     reached = written_small(reached, "reached", small_level)
-    own = F.array("name")
-    path = F.concat("path", own) if side.forward else F.concat(own, "path")
     names = graph.opened_nodes(reached).select(_named("full_name", "node"), "name")
-    level = materialize(names.join(reached, "node").select("node", path.alias("path")), "level")
-    seen = side.level.select("node").unionByName(level.select("node"))
-    return _Side(level, seen, level.count(), side.forward)
+    found = names.join(reached, "node").select("node", "name", "best.parent", "best.before")
+    found = materialize(found, "found")
+    level = materialize(_ranked(found, side.forward, small_level), "level")
+    return _Side((*side.levels, level), level.count(), side.forward)
+
+
+def _ranked(found: DataFrame, forward: bool, small_level: int) -> DataFrame:
+    """The nodes of a level with the rank of their paths.
+
+    Distinct pairs of rank and name are sorted by all tasks together, and their numbers grow along
+    the ranges of the sort; they have gaps, but the same order.
+    """
+    pair = ["before", "name"]
+    places = found.select(pair).distinct().orderBy(pair if forward else pair[::-1])
+    places = places.withColumn("rank", F.monotonically_increasing_id())
+    ranked = found.join(written_small(places, "places", small_level), pair)
+    return ranked.select("node", "name", "parent", "before", "rank")
+
+
+def _meet(one: _Side, other: _Side) -> list[str] | None:
+    """The names of the smallest path through a node that both latest levels hold."""
+    head, tail = (one, other) if one.forward else (other, one)
+    ahead = head.levels[-1].select("node", _named("rank", "first"))
+    shared = ahead.join(tail.levels[-1].select("node", _named("rank", "second")), "node")
+    best = shared.agg(F.min(F.struct("first", "second", "node")).alias("best")).first()["best"]
+    if best is None:
+        return None
+    before = _names_from(head, best["node"], best["first"])
+    return before[::-1] + _names_from(tail, best["node"], best["second"])[1:]
+
+
+def _names_from(side: _Side, node: str, rank: int) -> list[str]:
+    """The names from a node of the latest level back to where the search began."""
+    names = []
+    for level in reversed(side.levels):
+        row = level.where((F.col("node") == node) & (F.col("rank") == rank)).first()
+        names.append(row["name"])
+        node, rank = row["parent"], row["before"]
+    return names
 
 
 def _steps(graph: Graph, kinds: list[str], level: DataFrame) -> DataFrame:
@@ -261,12 +309,3 @@ def _steps(graph: Graph, kinds: list[str], level: DataFrame) -> DataFrame:
     out = graph.opened_edges("src", level).where(F.col("type").isin(kinds)).select("src", "dst")
     into = graph.opened_edges("dst", level).where(F.col("type").isin(kinds) & (F.col("src") != F.col("dst")))
     return out.unionByName(into.select(_named("dst", "src"), _named("src", "dst")))
-
-
-def _meet(one: _Side, other: _Side) -> DataFrame:
-    """The smallest path through a node that both levels hold, if there is one."""
-    head, tail = (one, other) if one.forward else (other, one)
-    rest = tail.level.select("node", F.expr("slice(path, 2, size(path))").alias("rest"))
-    whole = head.level.join(rest, "node").select(F.concat("path", "rest").alias("path"))
-    best = whole.agg(F.min("path").alias("path")).where("path is not null")
-    return best.select("path", (F.size("path") - 1).alias("hops"))

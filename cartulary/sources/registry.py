@@ -6,6 +6,7 @@ schema metadata: a row per column or key, never a row of data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -74,6 +75,8 @@ class TableSource:
     ``footer_counts`` takes row and null counts of Parquet or ORC files from their footers, so
     that columns without other statistics are not read for them. The files must hold statistics,
     as those written by Spark do.
+
+    ``ranges`` gives the conditions that the tasks read a database table by, one each.
     """
 
     name: str
@@ -86,12 +89,19 @@ class TableSource:
     declared: dict = field(default_factory=dict)
     staged: bool = False
     footer_counts: bool = False
+    ranges: Callable[[SparkSession], list[str]] | None = None
 
     def load(self, spark: SparkSession) -> DataFrame:
         if self.frame is not None:
             return self.frame
         if self.table:
             return spark.table(self.table)
+        if self.ranges is not None:
+            conditions = self.ranges(spark)
+            if conditions:
+                others = {k: v for k, v in self.options.items() if k not in ("url", "dbtable")}
+                url, name = self.options["url"], self.options["dbtable"]
+                return spark.read.jdbc(url, name, predicates=conditions, properties=others)
         reader = spark.read.format(self.format).options(**self.options)
         if self.schema is not None:
             reader = reader.schema(self.schema)

@@ -67,15 +67,15 @@ def test_options_of_a_table_read_in_ranges():
     assert source.declared["status"][0] == "character varying(30)"
 
 
-def key(name, kind, table, column, place, target=None, target_place=None):
+def key(number, kind, table, column, place, target=None, target_column=None):
     return {
-        "constraint_name": name,
+        "constraint_id": number,
         "constraint_type": kind,
         "table_name": table,
         "column_name": column,
         "ordinal_position": place,
-        "position_in_unique_constraint": target_place,
-        "unique_constraint_name": target,
+        "referred_table": target,
+        "referred_column": target_column,
     }
 
 
@@ -92,13 +92,14 @@ def column(table, name, kind, length=None, digits=None, decimals=None, nullable=
 
 
 def test_declared_keys():
+    """The constraints of lines and notes may have the same name; their numbers differ."""
     keys = [
-        key("fk", "FOREIGN KEY", "lines", "part", 2, "parts_pk", 1),
-        key("fk", "FOREIGN KEY", "lines", "supplier", 1, "parts_pk", 2),
-        key("parts_pk", "PRIMARY KEY", "parts", "supplier", 2),
-        key("parts_pk", "PRIMARY KEY", "parts", "part", 1),
-        key("lines_pk", "PRIMARY KEY", "lines", "id", 1),
-        key("fk", "FOREIGN KEY", "notes", "line", 1, "lines_pk", 1),
+        key(5, "FOREIGN KEY", "lines", "part", 2, "parts", "part"),
+        key(5, "FOREIGN KEY", "lines", "supplier", 1, "parts", "supplier"),
+        key(2, "PRIMARY KEY", "parts", "supplier", 2),
+        key(2, "PRIMARY KEY", "parts", "part", 1),
+        key(1, "PRIMARY KEY", "lines", "id", 1),
+        key(9, "FOREIGN KEY", "notes", "line", 1, "lines", "id"),
     ]
     columns = [column("lines", "id", "integer", nullable="NO"), column("lines", "part", "integer")]
     found = jdbc.constraints_from(keys, columns)
@@ -115,3 +116,62 @@ def test_declared_types():
     assert text == "character varying(150)"
     assert jdbc.declared_type(column("t", "c", "numeric", None, 10, 2)) == "numeric(10,2)"
     assert jdbc.declared_type(column("t", "c", "integer")) == "integer"
+
+
+@pytest.mark.parametrize(
+    "starts, expected",
+    [
+        ([1, 500, 1000], ['"k" < 500 OR "k" IS NULL', '"k" >= 500 AND "k" < 1000', '"k" >= 1000']),
+        ([-9, -5, 0], ['"k" < -5 OR "k" IS NULL', '"k" >= -5 AND "k" < 0', '"k" >= 0']),
+        ([1, 7, 7, 7, 9], ['"k" < 7 OR "k" IS NULL', '"k" >= 7 AND "k" < 9', '"k" >= 9']),
+        ([3, 3, 3], []),
+        ([3], []),
+        ([], []),
+        (["a", "it's", "z"], ['"k" < \'it\'\'s\' OR "k" IS NULL', '"k" >= \'it\'\'s\' AND "k" < \'z\'', '"k" >= \'z\'']),
+    ],
+)
+def test_ranges_of_keys(starts, expected):
+    assert jdbc.range_predicates("k", starts) == expected
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "text"])
+def test_ranges_hold_equally_many_rows_and_every_row_once(kind):
+    duckdb = pytest.importorskip("duckdb")
+    key = {
+        "even": "i - 5000",
+        "skewed": "CASE WHEN i % 3 = 0 THEN 7 ELSE CAST(pow(1.001, i) AS BIGINT) END",
+        "text": "CASE WHEN i % 10 = 0 THEN NULL ELSE 'it''s ' || (i * 7919 % 10000) END",
+    }[kind]
+    connection = duckdb.connect()
+    connection.execute(f'CREATE TABLE "t" AS SELECT {key} AS "a""k" FROM range(10000) r(i)')
+    table = jdbc.name_in_sql("t")
+    found = connection.execute(jdbc.starts_query(table, 'a"k', 1000)).fetchall()
+    ranges = jdbc.range_predicates('a"k', [r[0] for r in found])
+    counts = [connection.execute(f"SELECT count(*) FROM {table} WHERE {p}").fetchone()[0] for p in ranges]
+    connection.close()
+    assert sum(counts) == 10_000 and len(counts) >= 6
+    hot = 3334 if kind == "skewed" else 0
+    assert max(counts) <= 2000 + hot
+
+
+def test_sampled_starts_and_names_with_quotes():
+    query = jdbc.starts_query(jdbc.name_in_sql("pu\"blic", "t"), "id", 1_000_000, 0.5)
+    assert "/ 5000.0)" in query and 'FROM "pu""blic"."t" TABLESAMPLE SYSTEM (0.5)' in query
+    assert jdbc.text_in_sql("o'hara") == "'o''hara'"
+
+
+def test_a_table_is_read_by_its_ranges(monkeypatch):
+    calls = []
+
+    class Reader:
+        def jdbc(self, url, name, **options):
+            calls.append((url, name, options))
+            return "rows"
+
+    class Session:
+        read = Reader()
+
+    monkeypatch.setattr(jdbc, "balanced_ranges", lambda spark, options, table, key: ["a", "b"])
+    source = jdbc.table_source("orders", {"url": "jdbc:x", "user": "u"}, key="id")
+    assert source.load(Session()) == "rows" and source.staged
+    assert calls == [("jdbc:x", '"public"."orders"', {"predicates": ["a", "b"], "properties": {"user": "u"}})]
