@@ -294,19 +294,35 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _told_apart(source: DataFrame) -> tuple[DataFrame, str]:
+    """Rows and the name of a column with a number per document, in order: the id, as a rule.
+
+    If rows repeat an id with other texts, pairs of id and text hash are numbered in their order.
+    """
+    known, body = source.where("id is not null"), F.xxhash64("text").alias("body")
+    texts = known.groupBy("id").agg(F.min(body).alias("a"), F.max(body).alias("b"))
+    if written(texts.where("a != b").select("id"), "repeated-ids").isEmpty():
+        return source, "id"
+    places = known.select("id", body).distinct().orderBy("id", "body")
+    places = written(places.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return source.withColumn("body", F.xxhash64("text")).join(places, ["id", "body"], "left"), "number"
+
+
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: id, ``kept`` text, ``n_words``, ``n_removed`` and ``kept_sha256``.
 
     Each word covered by a window of 20 words that also starts earlier is removed; what stays is
     joined by single spaces. Words are what ASCII white space separates. All windows are judged on
     the input. Null and empty texts have no words; rows with a null id lose none and take none
-    from others; ids are whole numbers, and rows that repeat an id must be equal: they get equal
-    results. Windows of equal hashes (128 bits, of the anchor's name and the words) count as equal.
+    from others; ids are whole numbers. Rows that repeat an id and its text get equal results; of
+    rows that repeat an id with other texts, that with the smaller hash of its text counts as
+    earlier. Windows of equal hashes (128 bits, of the anchor's name and the words) count as equal.
     """
     # Written before texts move, so that the two steps do not need disk at the same time.
-    gone = written(repeated_windows(docs, id_column, text_column), "gone")
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    joined = source.join(gone, source["id"] == gone["doc"], "left").select("id", "text", "gone")
+    source, key = _told_apart(source)
+    gone = written(repeated_windows(source, key, "text"), "gone")
+    joined = source.join(gone, source[key] == gone["doc"], "left").select("id", "text", "gone")
     return joined.mapInArrow(
         _kept_rows, "id long, kept string, n_words long, n_removed long, kept_sha256 string"
     ).withColumnRenamed("id", id_column)

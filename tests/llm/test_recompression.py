@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cartulary.llm import recompression as R
 from cartulary.llm.common import hashes, offsets
@@ -81,6 +82,20 @@ def test_null_ids_repeated_rows_other_columns_and_no_rows(spark):
     assert read_back(R.drop_repeats(documents(spark, [None])))[0].n_words == 0
 
 
+def test_ids_repeated_with_other_texts(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, words[0]), (5, words[1]), (5, " ".join(words[0].split()[:5])), (5, f"{words[1]} x"), (7, words[2]), (5, words[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id, r.n_words, r.n_removed) for r in R.drop_repeats(docs).collect())
+    # Of the two texts of id 5 that share 60 words one is the earlier, with its copy or alone.
+    first = [(1, 60, 0), (5, 5, 0), (7, 60, 0)]
+    assert found in (
+        sorted([*first, (5, 60, 0), (5, 60, 0), (5, 61, 60)]),
+        sorted([*first, (5, 60, 60), (5, 60, 60), (5, 61, 0)]),
+    )
+    assert R.drop_repeats(docs.select("doc_id", F.lit("one text").alias("text"))).count() == 6
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_each_window_has_an_anchor_that_equal_windows_share(seed):
     r = random.Random(seed)
