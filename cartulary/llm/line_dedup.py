@@ -49,6 +49,14 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str, min_chars: int) ->
     )
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer if documents have a column of that name themselves."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_shared_lines(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -81,13 +89,17 @@ def drop_shared_lines(
         .agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
         .select(F.col("doc")[id_column].alias("__id"), F.col("body").alias("__body"), "__gone")
     )
-    marked = docs.drop(*COUNTS).join(
+    kept = docs.drop(*COUNTS)
+    lines = _free(kept, "__lines")
+    marked = kept.join(
         gone,
         docs[id_column].eqNullSafe(gone["__id"])
         & (F.xxhash64(docs[text_column]) == gone["__body"]),
         "left",
     )
-    lines = _lines(F.col(text_column))
+    # A column of its own, or a text would be split again for each line that it loses.
+    marked = marked.withColumn(lines, _lines(F.col(text_column)))
+    lines = F.col(lines)
     starts = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda p: p + 1))
     stops = F.concat(F.col("__gone"), F.array(F.size(lines)))
     stretches = F.flatten(

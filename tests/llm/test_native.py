@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 from cartulary.llm import chat, warc
 from cartulary.llm.line_dedup import drop_shared_lines
@@ -37,6 +38,22 @@ def test_lines(spark):
     assert drop_shared_lines(docs).columns == ["doc_id", "text", "gone", "n_lines", "n_dropped"]
 
 
+def test_time_is_in_proportion_to_the_lines_dropped(spark):
+    """A text is split once, not once for each of its shared lines."""
+
+    def seconds(number):
+        rows = [(d, "\n".join(f"a line that three share, {i}" + (f"\nown {d}" if i % 50 == 0 else "") for i in range(number))) for d in range(3)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        start = time.perf_counter()
+        found = {r.doc_id: r.n_dropped for r in drop_shared_lines(docs).collect()}
+        assert found == {0: number, 1: number, 2: 0}
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = seconds(16_000), seconds(64_000)
+    assert large < 8 * small + 2 and large < 30
+
+
 def test_lines_of_repeated_rows_and_none(spark):
     line = "this line has enough characters"
     docs = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line)], "doc_id long, text string")
