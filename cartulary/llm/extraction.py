@@ -88,11 +88,16 @@ _FAMILY = {w: i for i, words in enumerate(FAMILIES.values()) for w in words.spli
 _N_MARKS = len(KINDS) + 1 + len(FAMILIES)
 _MEASURES = 14
 
+# Quotes open a value only right after an equals sign; a quote that is never closed ends with the page.
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:--!?>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(>|\Z)"
+    r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"?+|'[^']*+'?+|[^\s>]*+))?+""")
+_READ = ("class", "id", "role", "style", "hidden", "aria-hidden")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -103,6 +108,8 @@ def marks(tag: str, attributes: str) -> tuple[int, ...]:
     found = {_KIND.get(tag, len(KINDS))}
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
+        if name not in _READ:
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             found.add(len(KINDS) + 1 + _FAMILY["hidden"])
         elif name == "style":

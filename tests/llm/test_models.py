@@ -1,8 +1,11 @@
 """Extraction, language identification and fingerprints."""
 
 import html
+import itertools
+import random
 import re
 
+import numpy as np
 from cartulary.llm import extraction, language, winnowing
 from cartulary.llm.queries import MULTILINGUAL, op6_fingerprints
 from pyspark.sql import functions as F
@@ -42,6 +45,63 @@ def test_odd_pages(spark):
     assert extraction.extract_pages(pages.limit(0)).collect() == []
 
 
+SENTENCES = (
+    "A paragraph in the middle of an article holds two or three sentences, as this one does. "
+    "It is here, like all others around it, to be read by whoever opened the page."
+)
+
+
+def test_attributes_are_read_by_name():
+    """Names and values that only look like those that matter leave a paragraph where it is."""
+    plain = "<p>"
+    odd = [
+        '<p title="Hidden gem">', '<p data-id="nav">', "<p title=it's>", '<p data-class=menu hidden-note="x">',
+        "<p lang='en' title='a > b'>", '<p title = "class=nav id=footer">', "<p title=a=b>", "<p/>", '<p x">',
+    ]
+    pages = []
+    for opening in [plain, *odd]:
+        body = "".join(f"<p>{SENTENCES} {i}</p>" for i in range(3))
+        pages.append(f"<html><body><nav><a href=x>Home</a></nav><article><h1>Title</h1>{body}{opening}don't {SENTENCES}</p>{body}</article><footer>Copyright</footer></body></html>")
+    forest = extraction.Forest()
+    for page in pages:
+        forest.add(page)
+    texts = extraction.extract(forest, extraction.trained())
+    assert f"don't {SENTENCES}" in texts[0]
+    assert all(t == texts[0] for t in texts)
+    unclosed = extraction.Forest()
+    unclosed.add(f'<article><p>{SENTENCES}</p><p title="unbalanced>{SENTENCES}</p></article>')
+    assert extraction.extract(unclosed, extraction.trained()) == [SENTENCES]
+
+
+def test_marginals_equal_sums_over_all_labellings():
+    r = random.Random(6)
+    model = extraction.trained()
+    for _ in range(25):
+        forest = extraction.Forest()
+        parts = r.choices(["<p>some text here", "</p>", "<div class=nav>", "</div>", "<b>bold</b>", "<ul><li>one", "</ul>", "<aside>x", "</aside>"], k=r.randint(1, 9))
+        forest.add("".join(parts))
+        data = extraction.arrays(forest)
+        n = len(data.parent)
+        if n > 12:
+            continue
+        scores = data.features @ model.weights
+        total, single, pairs = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+        for states in itertools.product((0, 1), repeat=n):
+            score = sum(scores[i] for i in range(n) if states[i])
+            for i in range(n):
+                if data.parent[i] >= 0:
+                    score += model.pairs[data.kind[i], states[data.parent[i]], states[i]]
+            weight = np.exp(score)
+            total += weight
+            single += weight * np.array(states)
+            for i in range(n):
+                if data.parent[i] >= 0:
+                    pairs[i, states[data.parent[i]], states[i]] += weight
+        found, joint = extraction.marginals(data, model)
+        assert np.allclose(found, single / total, atol=1e-9)
+        assert np.allclose(joint, pairs / total, atol=1e-9)
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     training = language.is_training(F.col("doc_id"))
