@@ -443,8 +443,8 @@ def _top_texts(plans, frame: DataFrame, limit: int) -> DataFrame:
     placed = frame.join(cut, F.col("column_id") == F.col("cut_id"), "left")
 
     def chosen(kept: Column) -> DataFrame:
-        # One expression over both sides, so that no part of it is pushed below the shuffle.
-        return placed.where(F.when(_no_value(frame), F.lit(False)).otherwise(kept))
+        # Never below zero, but one expression that no part of is pushed below the shuffle.
+        return placed.where((F.monotonically_increasing_id() < 0) | (~_no_value(frame) & kept))
 
     at_hand = chosen(F.col("value").isNotNull() & (before | tied)).select("column_id", "value", "freq")
     long = F.col("digest").isNotNull()
