@@ -360,13 +360,17 @@ def value_frequencies(plans, wanted=None) -> dict[str, DataFrame]:
             rows = rows.select(
                 "column_id",
                 F.when(~long, F.col("value")).alias("value"),
-                F.when(long, F.unhex(F.md5("value"))).alias("digest"),
+                F.when(long, _digest("value")).alias("digest"),
                 F.when(long, F.substring("value", 1, HEAD_CHARS)).alias("head"),
             )
         counted[kind] = rows.groupBy(rows.columns).agg(F.count(F.lit(1)).alias("freq"))
     return counted
 
 
+def _digest(name: str) -> Column:
+    return F.unhex(F.md5(name))
+
+
 def _no_value(frame: DataFrame) -> Column:
     test = F.col("value").isNull()
     return test & F.col("digest").isNull() if "digest" in frame.columns else test
@@ -443,7 +447,7 @@ def _top_texts(plans, frame: DataFrame, limit: int) -> DataFrame:
     placed = frame.join(cut, F.col("column_id") == F.col("cut_id"), "left")
 
     def chosen(kept: Column) -> DataFrame:
-        # Never below zero, but one expression that no part of is pushed below the shuffle.
+        # A number is never below zero; with it, no part of this is pushed below the shuffle.
         return placed.where((F.monotonically_increasing_id() < 0) | (~_no_value(frame) & kept))
 
     at_hand = chosen(F.col("value").isNotNull() & (before | tied)).select("column_id", "value", "freq")
@@ -452,13 +456,17 @@ def _top_texts(plans, frame: DataFrame, limit: int) -> DataFrame:
     parts = [_best(at_hand, limit)]
     texts = _long_texts(plans)
     if texts is not None:
-        found = texts.join(looked_up, ["column_id", "digest"]).distinct()
+        found = texts.withColumn("digest", _digest("text")).join(looked_up, ["column_id", "digest"]).distinct()
         parts.append(_best(found.withColumnRenamed("text", "value"), limit))
-        above = chosen(long & before).select("column_id", "digest")
-        once = cut.where("cut_freq = 1")
+        # Few rows per column on the other side of both joins, and no two alike. They are no semi and
+        # anti joins because Spark would do these once for each table.
+        above = chosen(long & before).select(
+            F.col("column_id").alias("above_id"), F.col("digest").alias("above_digest")
+        )
         same = (F.col("column_id") == F.col("cut_id")) & (F.substring("text", 1, HEAD_CHARS) == cut_head)
-        unique = texts.join(F.broadcast(once), same, "left_semi")
-        unique = unique.join(F.broadcast(above), ["column_id", "digest"], "left_anti")
+        unique = texts.join(F.broadcast(cut.where("cut_freq = 1")), same)
+        known = (F.col("column_id") == F.col("above_id")) & (_digest("text") == F.col("above_digest"))
+        unique = unique.join(F.broadcast(above), known, "left").where("above_id is null")
         unique = unique.select("column_id", F.col("text").alias("value"), F.lit(1).cast("bigint").alias("freq"))
         parts.append(_best(unique, limit))
     return _best(union_all(parts).drop("rank"), limit)
@@ -482,7 +490,7 @@ def _whole_text(plans) -> Column:
 
 
 def _long_texts(plans) -> DataFrame | None:
-    """(column_id, digest, text) of every long text; None if no column has text."""
+    """(column_id, text) of every long text; None if no column has text."""
     sources = []
     for plan, columns in numbered(plans):
         texts = [(cid, c) for cid, c in columns if isinstance(c.dtype, T.StringType)]
@@ -492,8 +500,7 @@ def _long_texts(plans) -> DataFrame | None:
     if not sources:
         return None
     long = union_all(sources).where(F.octet_length("text") > LONG_TEXT_BYTES)
-    digest = F.unhex(F.md5("text")).alias("digest")
-    return long.select(_number("column_id").alias("column_id"), digest, "text")
+    return long.select(_number("column_id").alias("column_id"), "text")
 
 
 def name_columns(plans, frame: DataFrame, wanted=None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Questions about one table start from a handful of rows. These are written aside and, if they
 are as few as expected, sent to the tasks that read the buckets of their names, so that the edges are
-read where they lie and never shuffled, however many of them a hub has. A graph that is not stored
-yet is stored first.
+read where they lie and never shuffled, however many of them a hub has. Of a graph that is not
+stored, what a question needs is written aside first.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cartulary.functions.vocabulary import HUB_LIMIT
 from cartulary.operators.lineage import (
     COLUMN,
+    DATABASE,
     EDGE_TYPES,
     HAS_COLUMN,
     REFERENCES,
@@ -57,7 +58,7 @@ def _table_called(graph: Graph, name: str, alias: str) -> DataFrame:
 
 def related_tables(graph: Graph, table: str) -> DataFrame:
     """Tables connected to one table, in either direction, a row per connection."""
-    graph = graph.store()
+    graph = graph.kept([RELATED_TO], [TABLE])
     home = _table_called(graph, table, "src")
     out = graph.edges_at(RELATED_TO, "src", home).select("src", "dst", "via")
     into = graph.edges_at(RELATED_TO, "dst", home).where("src <> dst")
@@ -81,7 +82,7 @@ def related_tables(graph: Graph, table: str) -> DataFrame:
 
 def _referred(graph: Graph, table: str, near: str, far: str) -> DataFrame:
     """Columns of ``table`` at the ``near`` end of references, with the tables at the far end."""
-    graph = graph.store()
+    graph = graph.kept([HAS_COLUMN, REFERENCES], [TABLE, COLUMN])
     home = _table_called(graph, table, "home")
     own = graph.edges_at(HAS_COLUMN, "src", home).select(_named("src", "home"), _named("dst", near))
     own = written_small(own.join(home, "home").select(near), "own")
@@ -219,8 +220,9 @@ def lineage_path(
     """
     if start == end:
         raise ValueError("a path needs two different tables")
-    graph = graph.store()
     kinds = list(edge_types)
+    labels = [TABLE] if set(kinds) <= {RELATED_TO} else [DATABASE, TABLE, COLUMN]
+    graph = graph.kept(kinds, labels)
     ends = graph.nodes.where((F.col("label") == TABLE) & F.col("name").isin(start, end))
     ends = materialize(ends.select(_named("full_name", "node"), "name"), "ends")
     sides = []
