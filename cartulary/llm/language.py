@@ -28,8 +28,9 @@ SAMPLE_PER_LANGUAGE = 500
 UNDETERMINED = "und"
 ROUNDS = 3
 
-# Longest piece and longest stretch of a word, in bytes. Longer words are scored in stretches.
-PIECE_BYTES, STRETCH_BYTES = 8, 32
+# Positions after which sums are scaled, so that those of long words stay within a float; bytes of
+# units that are summed side by side.
+SCALED_EVERY, SIDE_BYTES = 16, 1 << 20
 # Added to each piece's expected count.
 SMOOTHING = 0.05
 SCORE_BYTES = 12 << 20
@@ -45,7 +46,7 @@ def pieces(path: str) -> tuple[list[np.ndarray], list[np.ndarray], int]:
         known = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
     hashed, numbers = [], []
     with np.errstate(over="ignore"):
-        for size in range(PIECE_BYTES + 1):
+        for size in range(max(map(len, known), default=0) + 1):
             own = [i for i, p in enumerate(known) if len(p) == size]
             h = np.zeros(len(own), np.uint64)
             for k in range(size):
@@ -62,48 +63,74 @@ def words(text: str | None) -> list[str]:
 
 
 def stretches(word: str) -> list[bytes]:
-    """The bytes that are segmented: the word behind a space, in stretches of bounded length."""
-    data = b" " + word.encode("utf-8", "surrogatepass")
-    return [data[i : i + STRETCH_BYTES] for i in range(0, len(data), STRETCH_BYTES)]
+    """The bytes that are segmented, which is the whole word behind a space."""
+    return [b" " + word.encode("utf-8", "surrogatepass")]
 
 
-def _spans(vocab: tuple, data: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """By start and end: the rows of ``data`` that have a piece there, and the pieces."""
+def _spans(vocab: tuple, data: np.ndarray, starts) -> Iterator[tuple[int, list]]:
+    """By start: the ends of pieces of any length, with the rows of ``data`` that have them there."""
     hashed, numbers, _ = vocab
     n, length = data.shape
-    out = {}
-    with np.errstate(over="ignore"):
-        for start in range(length):
-            h = np.zeros(n, np.uint64)
-            for end in range(start + 1, min(length, start + PIECE_BYTES) + 1):
+    for start in starts:
+        found, h = [], np.zeros(n, np.uint64)
+        for end in range(start + 1, min(length, start + len(hashed) - 1) + 1):
+            with np.errstate(over="ignore"):
                 h = h * _BASE + data[:, end - 1]
-                table = hashed[end - start]
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-                    rows = np.flatnonzero(table[at] == h)
-                    if len(rows):
-                        out[start, end] = rows, numbers[end - start][at[rows]]
-    return out
+            table = hashed[end - start]
+            if len(table):
+                at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                rows = np.flatnonzero(table[at] == h)
+                if len(rows):
+                    found.append((end, rows, numbers[end - start][at[rows]]))
+        yield start, found
 
 
 def _by_length(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Units of one length as rows of bytes plus one, with their places in the list."""
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     for size in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == size)
-        data = np.frombuffer(b"".join([units[i] for i in at.tolist()]), np.uint8)
-        yield at, data.reshape(-1, size).astype(np.uint64) + np.uint64(1)
+        same, step = np.flatnonzero(sizes == size), max(1, SIDE_BYTES // size)
+        for at in np.split(same, range(step, len(same), step)):
+            data = np.frombuffer(b"".join([units[i] for i in at.tolist()]), np.uint8)
+            yield at, data.reshape(-1, size).astype(np.uint64) + np.uint64(1)
+
+
+def _scaled(near: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """``near`` divided by powers of two, which are added to ``power``; that loses no digit."""
+    up = np.frexp(near.max(axis=0))[1]
+    power += up
+    return np.ldexp(near, -up)
+
+
+def _ahead(vocab: tuple, data: np.ndarray, chances: np.ndarray, kept: list | None = None):
+    """Sums over all segmentations of whole units, and the powers of two to multiply them by.
+
+    Only positions that a piece can reach from the present one are held. ``kept`` takes the sums up
+    to each position, with their powers.
+    """
+    n, length = data.shape
+    held = min(len(vocab[0]) - 1, length) + 1
+    near = np.zeros((held, n, *chances.shape[1:]))
+    near[0], power = 1, np.zeros(near.shape[1:], np.int64)
+    for start, found in _spans(vocab, data, range(length)):
+        if start and start % SCALED_EVERY == 0:
+            power = power.copy()
+            near = _scaled(near, power)
+        now = near[start % held].copy()
+        near[start % held] = 0
+        for end, rows, piece in found:
+            near[end % held][rows] += now[rows] * chances[piece]
+        if kept is not None:
+            kept.append((now, power))
+    return near[length % held], power
 
 
 def forward(vocab: tuple, units: list[bytes], chances: np.ndarray) -> np.ndarray:
     """Log probability of each unit in each language. ``chances``: a row of pieces' per language."""
     out = np.zeros((len(units), chances.shape[1]))
     for at, data in _by_length(units):
-        total = np.zeros((data.shape[1] + 1, len(data), chances.shape[1]))
-        total[0] = 1
-        for (start, end), (rows, piece) in sorted(_spans(vocab, data).items()):
-            total[end][rows] += total[start][rows] * chances[piece]
-        out[at] = np.log(total[-1])
+        total, power = _ahead(vocab, data, chances)
+        out[at] = np.log(total) + power * np.log(2)
     return out
 
 
@@ -111,18 +138,22 @@ def expected(vocab: tuple, units: list[bytes], weights: np.ndarray, chances: np.
     """Expected uses of each piece in units that occur ``weights`` times, in one language."""
     out = np.zeros(vocab[2])
     for at, data in _by_length(units):
-        length, n = data.shape[1], len(data)
-        spans = sorted(_spans(vocab, data).items())
-        ahead, behind = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-        ahead[0], behind[length] = 1, 1
-        for (start, end), (rows, piece) in spans:
-            ahead[end][rows] += ahead[start][rows] * chances[piece]
-        for (start, end), (rows, piece) in reversed(spans):
-            behind[start][rows] += behind[end][rows] * chances[piece]
-        share = weights[at] / ahead[length]
-        for (start, end), (rows, piece) in spans:
-            use = ahead[start][rows] * chances[piece] * behind[end][rows] * share[rows]
-            out += np.bincount(piece, use, vocab[2])
+        (n, length), kept = data.shape, []
+        total, all_power = _ahead(vocab, data, chances, kept)
+        share = weights[at] / total
+        held = min(len(vocab[0]) - 1, length) + 1
+        behind, power = np.zeros((held, n)), np.zeros(n, np.int64)
+        behind[length % held] = 1
+        for start, found in _spans(vocab, data, range(length - 1, -1, -1)):
+            ahead, its_power = kept.pop()
+            behind[start % held] = 0
+            if start % SCALED_EVERY == 0 and length > SCALED_EVERY:
+                behind = _scaled(behind, power)
+            ahead = np.ldexp(ahead * share, its_power + power - all_power)
+            for end, rows, piece in found:
+                rest = chances[piece] * behind[end % held][rows]
+                behind[start % held][rows] += rest
+                out += np.bincount(piece, ahead[rows] * rest, vocab[2])
     return out
 
 

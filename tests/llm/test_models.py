@@ -188,3 +188,29 @@ def test_short_texts_are_like_their_edited_texts(spark, tmp_path):
         near = found[row["doc_id"]].near_edited
         assert near == len(x & y) / len(x | y) and near > 0
         assert near < 1 or text == edited
+
+
+def test_pieces_and_words_of_any_length_are_summed():
+    """Pieces over 8 bytes, cuts across byte 32, and words whose chance is no float, in plain logs."""
+    import base64
+
+    import numpy as np
+
+    vocab = language.pieces(MULTILINGUAL)
+    known = {base64.b64decode(x.split()[0]): i for i, x in enumerate(open(MULTILINGUAL, "rb"))}
+    longest = max(map(len, known))
+    chances = np.random.default_rng(2).random((vocab[2], 2)) / 1e6
+    for word in ("действительно", "internationalization" * 3, "ありがとうございました", "ab" * 400):
+        (data,) = language.stretches(word)
+        logs, uses = [np.zeros(2)], np.zeros(vocab[2])
+        for end in range(1, len(data) + 1):
+            ways = [
+                logs[k] + np.log(chances[known[data[k:end]]])
+                for k in range(max(0, end - longest), end)
+                if data[k:end] in known
+            ]
+            logs.append(np.logaddexp.reduce(ways, axis=0))
+        assert np.allclose(language.forward(vocab, [data], chances)[0], logs[-1], rtol=1e-12)
+        uses = language.expected(vocab, [data, data], np.array([1.0, 2.0]), chances[:, 0])
+        covered = sum(uses[number] * len(piece) for piece, number in known.items())
+        assert abs(covered - 3 * len(data)) < 1e-6 * len(data)
