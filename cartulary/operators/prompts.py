@@ -8,16 +8,17 @@ from pyspark.sql.window import Window
 
 from cartulary.functions import vocabulary as V
 from cartulary.functions.expressions import fill
+from cartulary.session import spread
 
 
 def first_columns(columns: DataFrame, limit: int) -> DataFrame:
     """The first few columns of every table by name, as (table_name, place, column_name).
 
-    Each task keeps only its first few per table before the ranking is settled.
+    Columns are dealt out by table once, before they are ranked.
     """
     place = F.row_number().over(Window.partitionBy("table_name").orderBy("column_name"))
     return (
-        columns.select("table_name", "column_name")
+        spread(columns.select("table_name", "column_name"), "table_name")
         .withColumn("place", place)
         .where(F.col("place") <= limit)
     )

@@ -44,12 +44,6 @@ def _named(name: str, alias: str) -> Column:
     return F.col(name).alias(alias)
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    """Edges from either end, a loop only once."""
-    back = edges.where(F.col("src") != F.col("dst"))
-    return edges.select("src", "dst").unionByName(back.select(_named("dst", "src"), _named("src", "dst")))
-
-
 def _table_called(graph: Graph, name: str, alias: str) -> DataFrame:
     """The node of a table, as a side that is small enough to broadcast unless names repeat."""
     found = graph.nodes.where((F.col("label") == TABLE) & (F.col("name") == name))
@@ -121,11 +115,13 @@ def hubs(graph: Graph, limit: int = HUB_LIMIT) -> DataFrame:
     """The tables with most connections; tables without any are left out.
 
     Connections are counted per task before they are shuffled, so a hub costs no more than
-    other tables.
+    other tables. Both ends of an edge are taken in one pass; a loop counts once.
     """
+    ends = F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst"))
     degrees = (
-        _both_ways(_edges(graph, RELATED_TO))
-        .groupBy(_named("src", "full_name"))
+        _edges(graph, RELATED_TO)
+        .select(F.explode(ends).alias("full_name"))
+        .groupBy("full_name")
         .agg(F.count(F.lit(1)).alias("connections"))
     )
     tables = _nodes(graph, TABLE, "full_name", "name", "row_count", "quality_score")
