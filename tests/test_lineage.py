@@ -3,7 +3,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from cartulary.operators import catalog, lineage, schema
+from cartulary.operators import catalog, lineage, prompts, schema
 from cartulary.operators import traversal as ask
 from cartulary.plans.profile import relationships
 from cartulary.sources.registry import PRIMARY_KEYS, RAW_COLUMNS, RAW_FOREIGN_KEYS
@@ -279,3 +279,28 @@ def test_repeated_rows_make_one_node_and_one_edge(spark, rows):
     assert rows(twice.nodes.where("full_name = 'd.a'"), "row_count") == [(7,)]
     raw = lineage.table_nodes(tables.unionByName(tables), "d")
     assert sorted(rows(lineage.repeated_nodes(raw), "full_name", "count")) == [("d.a", 2), ("d.b", 2)]
+
+
+def test_names_are_dealt_out_before_they_are_sorted(spark):
+    """Steps that hold their partition keep the session's number of partitions, however small."""
+    tables, columns = small_catalog(spark)
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    graph = lineage.build_graph(tables, columns, links(spark, []), "d", stamp())
+    assert graph.nodes.rdd.getNumPartitions() >= 2 * number
+    assert catalog.columns_for_lineage(columns).rdd.getNumPartitions() == number
+    assert prompts.first_columns(columns, 2).rdd.getNumPartitions() == number
+
+
+def test_hubs_read_the_keys_once(spark, rows):
+    tables, columns = small_catalog(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    keys = links(spark, [("a", "x", "b", "k"), ("a", "y", "b", "j"), ("b", "k", "b", "j")])
+    graph = lineage.build_graph(tables, columns, keys.mapInArrow(seen, keys.schema), "d", stamp())
+    assert rows(ask.hubs(graph), "table", "connections") == [("b", 2), ("a", 1)]
+    assert read.value == 3
