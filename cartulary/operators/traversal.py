@@ -3,7 +3,7 @@
 Questions about one table start from a handful of rows. These are written aside and, if they
 are as few as expected, sent to the tasks that read the buckets of their names, so that the edges are
 read where they lie and never shuffled, however many of them a hub has. Of a graph that is not
-stored, what a question needs is written aside first.
+stored, the rows of the catalog are read for them, or else what a question needs is written aside first.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from cartulary.session import SMALL_ROWS, materialize, written_small
 
 
 PATH = "path array<string>, hops int"
+# Levels of a path search, of both sides together, that are read from the rows of the catalog.
+ROWS_LEVELS = 8
 
 
 def _edges(graph: Graph, kind: str, src: str = "src", dst: str = "dst", *extra: str) -> DataFrame:
@@ -46,7 +48,7 @@ def _named(name: str, alias: str) -> Column:
 
 def _table_called(graph: Graph, name: str, alias: str) -> DataFrame:
     """The node of a table, as a side that is small enough to broadcast unless names repeat."""
-    found = graph.nodes.where((F.col("label") == TABLE) & (F.col("name") == name))
+    found = graph.tables_named(name)
     return written_small(found.select(_named("full_name", alias)), "table")
 
 
@@ -59,7 +61,7 @@ def related_tables(graph: Graph, table: str) -> DataFrame:
     into = into.select(_named("dst", "src"), _named("src", "dst"), "via")
     near = out.join(home, "src").unionByName(into.join(home, "src"))
     near = written_small(near.select("dst", "via"), "around")
-    others = graph.nodes_called(TABLE, near).select(
+    others = graph.nodes_called(TABLE, near, ["name", "row_count", "quality_score"]).select(
         _named("full_name", "dst"), "name", "row_count", "quality_score"
     )
     return (
@@ -87,12 +89,12 @@ def _referred(graph: Graph, table: str, near: str, far: str) -> DataFrame:
     owned = written_small(owners.join(found, far).select("other", "src", "dst"), "owners")
 
     def column_name(end: str, alias: str) -> DataFrame:
-        known = graph.nodes_called(COLUMN, owned.select(end))
+        known = graph.nodes_called(COLUMN, owned.select(end), ["name"])
         return known.select(_named("full_name", end), _named("name", alias))
 
     named = written_small(column_name("src", "from_column").join(owned, "src"), "named")
     named = written_small(column_name("dst", "to_column").join(named, "dst"), "named")
-    tables = graph.nodes_called(TABLE, owned)
+    tables = graph.nodes_called(TABLE, owned, ["name", "description"])
     tables = tables.select(_named("full_name", "other"), "name", "description")
     return (
         tables.join(named, "other").select("name", "from_column", "to_column", "description").distinct()
@@ -218,8 +220,9 @@ def lineage_path(
         raise ValueError("a path needs two different tables")
     kinds = list(edge_types)
     labels = [TABLE] if set(kinds) <= {RELATED_TO} else [DATABASE, TABLE, COLUMN]
-    graph = graph.kept(kinds, labels)
-    ends = graph.nodes.where((F.col("label") == TABLE) & F.col("name").isin(start, end))
+    if not graph.rows:
+        graph = graph.written(kinds, labels)
+    ends = graph.tables_named(start, end)
     ends = materialize(ends.select(_named("full_name", "node"), "name"), "ends")
     sides = []
     for name, forward in ((start, True), (end, False)):
@@ -229,14 +232,18 @@ def lineage_path(
         sides.append(_Side((level,), level.count(), forward))
     while all(side.size for side in sides):
         sides.sort(key=lambda side: side.size)
-        sides[0] = _grow(graph, kinds, sides[0], small_level)
+        # Rows of the catalog are read for few names and a few times; else the graph is written aside.
+        grown = sum(len(side.levels) - 1 for side in sides)
+        if graph.rows and (sides[0].size > small_level or grown >= ROWS_LEVELS):
+            graph = graph.written(kinds, labels, ["name"])
+        sides[0] = _grow(graph, kinds, labels, sides[0], small_level)
         found = _meet(*sides)
         if found is not None:
             return graph.nodes.sparkSession.createDataFrame([(found, len(found) - 1)], PATH)
     return graph.nodes.sparkSession.createDataFrame([], PATH)
 
 
-def _grow(graph: Graph, kinds: list[str], side: _Side, small_level: int) -> _Side:
+def _grow(graph: Graph, kinds: list[str], labels: list[str], side: _Side, small_level: int) -> _Side:
     """The next level of a search.
 
     A level of few nodes is sent to every task, which leaves the edges where they are, those of
@@ -253,14 +260,14 @@ def _grow(graph: Graph, kinds: list[str], side: _Side, small_level: int) -> _Sid
     if len(side.levels) > 1:
         seen = seen.unionByName(side.levels[-2].select("node"))
     reached = (
-        _steps(graph, kinds, latest)
+        _steps(graph, kinds, near)
         .join(near, "src")
         .groupBy(_named("dst", "node"))
         .agg(F.min(F.struct(_named("rank", "before"), _named("src", "parent"))).alias("best"))
         .join(seen, "node", "left_anti")
     )
     reached = written_small(reached, "reached", small_level)
-    names = graph.opened_nodes(reached).select(_named("full_name", "node"), "name")
+    names = graph.opened_nodes(reached, labels).select(_named("full_name", "node"), "name")
     found = names.join(reached, "node").select("node", "name", "best.parent", "best.before")
     found = materialize(found, "found")
     level = materialize(_ranked(found, side.forward, small_level), "level")
@@ -304,6 +311,10 @@ def _names_from(side: _Side, node: str, rank: int) -> list[str]:
 
 def _steps(graph: Graph, kinds: list[str], level: DataFrame) -> DataFrame:
     """Edges from the nodes of a level, in either direction, a loop only once."""
+    if graph.rows:
+        out = into = graph.rows.edges_near(kinds, ("src", "dst"), level).select("src", "dst")
+        into = into.where("src <> dst")
+        return out.unionByName(into.select(_named("dst", "src"), _named("src", "dst")))
     out = graph.opened_edges("src", level).where(F.col("type").isin(kinds)).select("src", "dst")
     into = graph.opened_edges("dst", level).where(F.col("type").isin(kinds) & (F.col("src") != F.col("dst")))
     return out.unionByName(into.select(_named("dst", "src"), _named("src", "dst")))

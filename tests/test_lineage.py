@@ -3,6 +3,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
+from cartulary import session
 from cartulary.operators import catalog, lineage, prompts, schema
 from cartulary.operators import traversal as ask
 from cartulary.plans.profile import relationships
@@ -304,3 +305,83 @@ def test_hubs_read_the_keys_once(spark, rows):
     graph = lineage.build_graph(tables, columns, keys.mapInArrow(seen, keys.schema), "d", stamp())
     assert rows(ask.hubs(graph), "table", "connections") == [("b", 2), ("a", 1)]
     assert read.value == 3
+
+
+def odd_graph(spark):
+    """A catalog with repeats, dots in names, unknown ends, loops and many tables beside the point."""
+    tables = [("a", 1), ("a", 2), ("b", 3), ("c", None), ("p.q", 4), ("hub", 5), ("z", 6)]
+    tables += [(f"t{i}", i) for i in range(300)]
+    columns = [("a", "x"), ("a", "y"), ("a", "x"), ("b", "k"), ("c", "k"), ("p.q", "r"), ("p", "q.r")]
+    columns += [("hub", "k"), ("lost", "k")] + [(f"t{i}", "k") for i in range(300)]
+    keys = [("a", "x", "b", "k"), ("a", "y", "b", "k"), ("a", "x", "a", "x"), ("a", "x", "p.q", "r")]
+    keys += [("a", "x", "nowhere", "k"), ("lost", "k", "b", "k"), ("b", "k", "c", "none"), ("c", "k", "a", "x")]
+    keys += [("p.q", "r", "z", "none"), ("a", "", "b", "k"), (None, "x", "b", "k")]
+    keys += [(f"t{i}", "k", "hub", "k") for i in range(300)]
+    return lineage.build_graph(
+        catalog.fit(spark.createDataFrame(tables, "table_name string, row_count long"), "catalog_tables"),
+        catalog.fit(spark.createDataFrame(columns, "table_name string, column_name string"), "catalog_columns"),
+        links(spark, keys),
+        "d",
+        stamp(),
+    )
+
+
+def answers(graph, rows):
+    return [
+        rows(ask.lineage_path(graph, "b", "z", (lineage.RELATED_TO,))),
+        rows(ask.foreign_keys(graph)),
+        rows(ask.upstream(graph, "a")),
+        rows(ask.related_tables(graph, "a")),
+    ]
+
+
+@pytest.fixture(scope="module")
+def stored_answers(spark):
+    def rows(df):
+        return [tuple(r) for r in df.collect()]
+
+    return answers(odd_graph(spark).store(), rows)
+
+
+@pytest.mark.parametrize("few, levels", [(2_000, 8), (0, 1)])
+def test_questions_to_the_rows_of_a_catalog(spark, rows, monkeypatch, stored_answers, few, levels):
+    """A graph that is not stored gives the same answers, by filters, by joins, and written aside."""
+    monkeypatch.setattr(lineage, "FEW_NAMES", few)
+    monkeypatch.setattr(ask, "ROWS_LEVELS", levels)
+    assert answers(odd_graph(spark), rows) == stored_answers
+    assert all(stored_answers)
+
+
+@pytest.mark.parametrize(
+    "question",
+    [
+        lambda graph: ask.upstream(graph, "a"),
+        lambda graph: ask.lineage_path(graph, "b", "z", (lineage.RELATED_TO,)),
+    ],
+)
+def test_a_question_writes_only_what_it_finds(spark, question):
+    """The rest of the catalog, three hundred tables, is neither written aside nor shuffled."""
+    before = len(session._written)
+    assert question(odd_graph(spark)).count()
+    written = session._written[before:]
+    assert written
+    assert sum(spark.read.parquet(path).count() for path in written) < 150
+
+
+def test_larger_files_mean_more_partitions(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "with space")
+    spark.range(1000).selectExpr("concat('t', id) AS table_name").write.parquet(path)
+    tables = spark.read.parquet(path)
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.partitions_for(tables) == number
+    read = sum(file.stat().st_size for file in (tmp_path / "with space").glob("*.parquet"))
+    monkeypatch.setattr(session, "FILE_BYTES", 100)
+    more = -(-read // 100)
+    assert more > number
+    assert session.partitions_for(tables, tables) == more
+    columns = tables.withColumn("column_name", F.lit("k"))
+    graph = lineage.build_graph(
+        catalog.fit(tables, "catalog_tables"), catalog.fit(columns, "catalog_columns"), links(spark, []), "d"
+    )
+    assert graph.nodes.rdd.getNumPartitions() >= 2 * more
+    assert graph.nodes.count() == 2001 and graph.edges.count() == 2000
