@@ -24,7 +24,14 @@ from cartulary.operators.lineage import (
     TABLE,
     Graph,
 )
-from cartulary.session import SMALL_ROWS, materialize, written_small
+from cartulary.session import (
+    SMALL_ROWS,
+    materialize,
+    partitions_for,
+    sorted_by,
+    spread,
+    written_small,
+)
 
 
 PATH = "path array<string>, hops int"
@@ -143,24 +150,28 @@ def hubs(graph: Graph, limit: int = HUB_LIMIT) -> DataFrame:
 
 
 def foreign_keys(graph: Graph) -> DataFrame:
-    """Every reference from column to column."""
+    """Every reference from column to column.
+
+    The names at both ends are looked up in the columns, which drops what has no column there, so
+    of a graph that has its rows the keys are taken as they come.
+    """
+    named = ["full_name", "table_name", "name"]
+    if graph.rows:
+        number = graph.rows.partitions
+        known = graph.rows.labelled(COLUMN, named[1:]).select(named)
+        pairs = spread(graph.rows.claimed(REFERENCES).select("src", "dst"), "src", number=number).distinct()
+    else:
+        number = partitions_for(graph.nodes, graph.edges)
+        known = _nodes(graph, COLUMN, *named)
+        pairs = spread(_edges(graph, REFERENCES), "src", number=number)
 
     def end(key: str, table: str, column: str) -> DataFrame:
-        return _nodes(
-            graph,
-            COLUMN,
-            _named("full_name", key),
-            _named("table_name", table),
-            _named("name", column),
-        )
+        return known.select(_named("full_name", key), _named("table_name", table), _named("name", column))
 
-    return (
-        _edges(graph, REFERENCES)
-        .join(end("src", "from_table", "from_column"), "src")
-        .join(end("dst", "to_table", "to_column"), "dst")
-        .select("from_table", "from_column", "to_table", "to_column")
-        .orderBy("from_table", "from_column", "to_table", "to_column")
-    )
+    begun = pairs.join(end("src", "from_table", "from_column"), "src").drop("src")
+    found = spread(begun, "dst", number=number).join(end("dst", "to_table", "to_column"), "dst")
+    order = ["from_table", "from_column", "to_table", "to_column"]
+    return sorted_by(found.select(order), *order, number=number)
 
 
 def matches_keyword(keyword: str, *texts: Column) -> Column:
