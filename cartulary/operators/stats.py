@@ -551,7 +551,12 @@ def sample_values(plans) -> DataFrame:
     frequencies = value_frequencies(plans, has_samples)
     if not frequencies:
         return plans[0].frame.sparkSession.createDataFrame([], SAMPLES)
-    named = name_columns(plans, value_lists(top_values(plans, frequencies)))
+    return samples_of(plans, value_lists(top_values(plans, frequencies)))
+
+
+def samples_of(plans, summary: DataFrame) -> DataFrame:
+    """The samples among the values that a summary has of the columns of the same tables."""
+    named = name_columns(plans, summary.where("values is not null"), has_samples)
     return named.select("table_name", "column_name", "values")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -20,6 +21,15 @@ TABLES_TOGETHER = 64
 OUTCOMES_SCHEMA = "table_name string, column_count int, error string"
 
 
+@dataclass(frozen=True)
+class Crawled:
+    """The log row of a run and, for the tables named, the values it found that prompts may show."""
+
+    log: DataFrame
+    sampled: tuple[str, ...] = ()
+    samples: DataFrame | None = None
+
+
 def _message(error: Exception) -> str:
     lines = str(error).strip().splitlines()
     return lines[0] if lines else type(error).__name__
@@ -31,6 +41,7 @@ def _run(registry: Registry, names, as_of, **options) -> Profile:
         materialize(found.tables, "profile-tables"),
         materialize(found.columns, "profile-columns"),
         found.relationships,
+        found.samples,
     )
 
 
@@ -94,6 +105,19 @@ def crawl(
     measures of files between crawls, so that only new and changed ones are read. Returns the log
     row of the run.
     """
+    return crawl_sampled(registry, store, as_of, run_id, keep_ai, sketches, states).log
+
+
+def crawl_sampled(
+    registry: Registry,
+    store: CatalogStore,
+    as_of=None,
+    run_id: str | None = None,
+    keep_ai=True,
+    sketches: bool = False,
+    states: FileStates | None = None,
+) -> Crawled:
+    """A crawl that also returns samples of what it has read, so that prompts need no second read."""
     spark = registry.spark
     run_id = run_id or uuid.uuid4().hex
     store.setup()
@@ -102,9 +126,14 @@ def crawl(
     stamp = as_of_column(as_of)
     outcomes = spark.createDataFrame(rows, OUTCOMES_SCHEMA)
     good = outcomes.where("error is null").select("table_name")
+    sampled, samples = (), None
     if profiles:
-        save(store, together(profiles), stamp, good, keep_ai)
-    return store.close_crawl(run_id, outcomes, as_of_column(None))
+        found = together(profiles)
+        save(store, found, stamp, good, keep_ai)
+        if found.samples is not None:
+            sampled, samples = tuple(name for name, _, error in rows if error is None), found.samples
+    log = store.close_crawl(run_id, outcomes, as_of_column(None))
+    return Crawled(log, sampled, samples)
 
 
 def save(store: CatalogStore, found: Profile, stamp, crawled: DataFrame, keep_ai=True) -> None:

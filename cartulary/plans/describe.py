@@ -11,6 +11,7 @@ from cartulary.functions.expressions import side_by_side
 from cartulary.functions.vocabulary import DESCRIBED_SAMPLE
 from cartulary.operators import catalog, prompts, stats
 from cartulary.operators.generation import GeneratorFactory, answer_with, with_max_length
+from cartulary.plans.crawl import Crawled
 from cartulary.plans.profile import table_plans
 from cartulary.session import materialize
 from cartulary.sources.cache import ResponseCache
@@ -81,15 +82,23 @@ def describe(
 
 
 def describe_catalog(
-    registry: Registry, store: CatalogStore, cache: ResponseCache, make_generator: GeneratorFactory
+    registry: Registry,
+    store: CatalogStore,
+    cache: ResponseCache,
+    make_generator: GeneratorFactory,
+    crawled: Crawled | None = None,
 ) -> DataFrame:
     """Describes everything in the catalog and returns how much that was.
 
+    Samples are those of the crawl, where one is given; only tables that it has none of are read.
     A table that can no longer be read is described without samples.
     """
     tables, columns = store.read("catalog_tables"), store.read("catalog_columns")
-    names = registry.names()
+    known = crawled.sampled if crawled else ()
+    names = [name for name in registry.names() if name not in known]
     sampled = readable_samples(registry, names) if names else []
+    if known:
+        sampled.append(crawled.samples)
     none = registry.spark.createDataFrame([], stats.SAMPLES)
     samples = stats.union_all([none, *sampled])
     found = describe(tables, columns, samples, cache, make_generator)

@@ -17,11 +17,15 @@ from cartulary.sources.registry import Registry
 
 @dataclass(frozen=True)
 class Profile:
-    """What a crawl knows about tables, columns and foreign keys."""
+    """What a crawl knows about tables, columns and foreign keys.
+
+    ``samples`` has the values that prompts may show, unless values were only estimated.
+    """
 
     tables: DataFrame
     columns: DataFrame
     relationships: DataFrame
+    samples: DataFrame | None = None
 
 
 def table_plans(registry: Registry, names=None) -> list[stats.TablePlan]:
@@ -152,15 +156,18 @@ def profile_tables(
     if sizes:
         found = registry.table_sizes(names, manifest)
         tables = tables.join(F.broadcast(found), "table_name", "left")
-    return Profile(tables, columns, relationships(foreign))
+    samples = None if summary is None else stats.samples_of(plans, summary)
+    return Profile(tables, columns, relationships(foreign), samples)
 
 
 def together(profiles: list[Profile]) -> Profile:
     """Several profiles of different tables as one."""
+    sampled = all(p.samples is not None for p in profiles)
     return Profile(
         stats.union_all([p.tables for p in profiles]),
         stats.union_all([p.columns for p in profiles]),
         stats.union_all([p.relationships for p in profiles]),
+        stats.union_all([p.samples for p in profiles]) if sampled else None,
     )
 
 

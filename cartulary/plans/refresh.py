@@ -8,7 +8,7 @@ from cartulary.functions.expressions import as_of_column
 from cartulary.operators import catalog
 from cartulary.operators.generation import GeneratorFactory
 from cartulary.operators.lineage import Graph, build_graph
-from cartulary.plans.crawl import crawl
+from cartulary.plans.crawl import crawl_sampled
 from cartulary.plans.describe import describe_catalog
 from cartulary.session import materialize
 from cartulary.sources.cache import ResponseCache
@@ -57,8 +57,8 @@ def refresh_catalog(
     A step that fails ends the run. Returns the summary row.
     """
     started = registry.spark.range(1).select(as_of_column(None).alias("at")).first()["at"]
-    crawl(registry, store, as_of)
+    crawled = crawl_sampled(registry, store, as_of)
     if make_generator is not None:
-        describe_catalog(registry, store, cache, make_generator)
+        describe_catalog(registry, store, cache, make_generator, crawled)
     rebuild_lineage(store, database)
     return summarize(store, as_of_column(started))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cartulary import Constraints, ForeignKey, Registry, TableSource
 from cartulary.plans import refresh as refreshing
-from cartulary.plans.crawl import crawl
+from cartulary.plans import describe as describing
+from cartulary.plans.crawl import crawl, crawl_sampled
 from cartulary.plans.profile import column_statistics
 from cartulary.sources.cache import ResponseCache
 from cartulary.sources.store import CatalogStore
@@ -188,6 +189,41 @@ def test_a_broken_table_does_not_stop_the_descriptions(spark, rows, store, folde
     assert refreshing.stored_graph(store).nodes.where("label = 'Column'").count() == 5
 
 
+def test_descriptions_after_a_crawl_read_no_table_again(spark, rows, store, folder, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    pairs = spark.createDataFrame([(i % 4, f"v{i % 5}") for i in range(20)] + [(None, None)], "n int, v string")
+    more = [
+        TableSource("noted", frame=pairs.mapInPandas(note, pairs.schema)),
+        TableSource("bare", frame=pairs.where("n > 9")),
+        TableSource("missing", path=str(folder / "nowhere")),
+    ]
+    reg = Registry(spark, sources(folder, *more), CONSTRAINTS)
+    crawled = crawl_sampled(reg, store, AS_OF)
+    assert crawled.log.first()["status"] == "partial"
+    assert sorted(crawled.sampled) == ["bare", "noted", "orders", "users"]
+    before, cache = reads.value, ResponseCache(spark, str(tmp_path / "cache"))
+    describing.describe_catalog(reg, store, cache, template(), crawled)
+    assert reads.value == before > 0
+    own = describing.sample_values(reg, crawled.sampled)
+    assert sorted(rows(crawled.samples)) == sorted(rows(own))
+    assert ("noted", "v", ["v0", "v1", "v2"]) in rows(own)
+    # Without the crawl the prompts are the same, so the cache has all answers.
+    answers = cache.load().count()
+    describing.describe_catalog(reg, store, cache, template())
+    assert cache.load().count() == answers
+
+
+def test_estimated_values_are_no_samples(spark, rows, store, folder):
+    crawled = crawl_sampled(Registry(spark, sources(folder), CONSTRAINTS), store, AS_OF, sketches=True)
+    assert (crawled.sampled, crawled.samples) == ((), None)
+
+
 def test_size_of_a_table_with_a_space_in_a_partition(spark, rows, store):
     store.setup()
     rows_by_text = spark.sql("select id, if(id < 5, 'a b', 'c%') as p from range(10)")
