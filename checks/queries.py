@@ -18,7 +18,7 @@ from cartulary.operators.increments import FileStates
 from cartulary.plans import describe as describing
 from cartulary.plans import profile as profiling
 from cartulary.plans import refresh as refreshing
-from cartulary.plans.crawl import crawl
+from cartulary.plans.crawl import crawl, crawl_sampled
 from cartulary.session import materialize, scratch_root
 from cartulary.sources import cache as caching
 from cartulary.sources.store import CatalogStore
@@ -944,8 +944,8 @@ def describe_run(spark, sf_dir):
     """Descriptions and tags in the catalog after a run over all tables that were crawled."""
     reg = _broken_registry(spark, sf_dir)
     with scratch_store(spark) as store:
-        crawl(reg, store, AS_OF)
-        describing.describe_catalog(reg, store, _scratch_cache(spark), text_length_generator())
+        crawled = crawl_sampled(reg, store, AS_OF)
+        describing.describe_catalog(reg, store, _scratch_cache(spark), text_length_generator(), crawled)
         tables = store.read("catalog_tables").select(
             "table_name",
             F.lit("").alias("column_name"),
