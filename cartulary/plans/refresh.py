@@ -17,13 +17,18 @@ from cartulary.sources.store import CatalogStore
 
 
 def rebuild_lineage(store: CatalogStore, database: str, created_at: Column | None = None) -> Graph:
-    """Makes the stored graph that of the current catalog; only parts that differ are written."""
+    """Makes the stored graph that of the current catalog; only parts that differ are written.
+
+    The session's number of partitions goes by the tables that were crawled, the catalog has a row per
+    column of them: a partition per core will do unless its own files ask for more.
+    """
     graph = build_graph(
         store.read("catalog_tables"),
         store.read("catalog_columns"),
         store.read("catalog_relationships"),
         database,
         created_at,
+        store.spark.sparkContext.defaultParallelism,
     )
     nodes = materialize(graph.nodes, "nodes")
     store.put_graph(Graph(nodes, materialize(graph.edges, "edges"), True))

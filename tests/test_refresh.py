@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -219,6 +220,27 @@ def test_descriptions_after_a_crawl_read_no_table_again(spark, rows, store, fold
     assert cache.load().count() == answers
 
 
+def test_a_small_catalog_takes_few_partitions(spark, rows, store, folder, monkeypatch):
+    crawl(Registry(spark, sources(folder), CONSTRAINTS), store, AS_OF)
+    plans, kept = [], refreshing.materialize
+
+    def note(frame, *rest):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return kept(frame, *rest)
+
+    monkeypatch.setattr(refreshing, "materialize", note)
+    session_number = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", "77")
+    try:
+        graph = refreshing.rebuild_lineage(store, "shop")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", session_number)
+    asked = set(re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", "".join(plans)))
+    assert asked == {str(cores)} and cores < 77
+    assert (graph.nodes.count(), graph.edges.count()) == (8, 9)
+
+
 def test_estimated_values_are_no_samples(spark, rows, store, folder):
     crawled = crawl_sampled(Registry(spark, sources(folder), CONSTRAINTS), store, AS_OF, sketches=True)
     assert (crawled.sampled, crawled.samples) == ((), None)
