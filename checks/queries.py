@@ -783,7 +783,7 @@ def graph_nodes(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir):
-    return rows.graph(spark, sf_dir).edges
+    return rows.graph(spark, sf_dir).all_edges()
 
 
 def graph_keys(spark, sf_dir):

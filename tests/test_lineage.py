@@ -1,11 +1,12 @@
 import re
+import time
 from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cartulary import session
-from cartulary.operators import catalog, lineage, prompts, schema
+from cartulary.operators import catalog, lineage, prompts, schema, stats
 from cartulary.operators import traversal as ask
 from cartulary.plans.profile import relationships
 from cartulary.sources.registry import PRIMARY_KEYS, RAW_COLUMNS, RAW_FOREIGN_KEYS
@@ -404,3 +405,85 @@ def test_ends_are_looked_up_where_they_were_dealt_out(spark, tmp_path, monkeypat
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     numbers = set(re.findall(r"hashpartitioning\([^()]*, (\d+)\)", capsys.readouterr().out))
     assert numbers == {str(number)}
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return set(re.findall(r"shuffle_\d+", blocks.getAllBlocks().mkString(",")))
+
+
+def left_shuffled(spark, before):
+    """Shuffle files that are there since; they are deleted in the background."""
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            return set()
+        time.sleep(0.1)
+    return shuffle_files(spark) - before
+
+
+@pytest.fixture(scope="module")
+def filed_catalog(spark, tmp_path_factory):
+    """The rows of the odd graph, with names that are missing, in files: those are what counts as large."""
+    tables = [("a", 1), ("a", 2), ("b", 3), ("c", None), ("p.q", 4), ("hub", 5), ("z", 6), (None, 7)]
+    columns = [("a", "x"), ("a", "y"), ("a", "x"), ("b", "k"), ("c", "k"), ("p.q", "r"), ("p", "q.r")]
+    columns += [("hub", "k"), ("lost", "k"), ("a", None), ("lost.k", None)] + [(f"t{i}", "k") for i in range(60)]
+    keys = [("a", "x", "b", "k"), ("a", "y", "b", "k"), ("a", "x", "a", "x"), ("a", "x", "p.q", "r")]
+    keys += [("a", "x", "nowhere", "k"), ("lost", "k", "b", "k"), ("b", "k", "c", "none"), ("c", "k", "a", "x")]
+    keys += [("p.q", "r", "z", "none"), ("p", "q.r", "b", "k"), ("a", "", "b", "k"), (None, "x", "b", "k")]
+    keys += [("a", "x", "b", "k"), ("a", "y", "lost", "k")] + [(f"t{i}", "k", "hub", "k") for i in range(60)]
+    folder = tmp_path_factory.mktemp("catalog")
+    found = {
+        "catalog_tables": spark.createDataFrame(tables, "table_name string, row_count long"),
+        "catalog_columns": spark.createDataFrame(columns, "table_name string, column_name string"),
+        "catalog_relationships": links(spark, keys),
+    }
+    for name, frame in found.items():
+        frame.write.parquet(str(folder / name))
+    return [catalog.fit(spark.read.parquet(str(folder / name)), name) for name in found]
+
+
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_a_large_graph_is_written_in_slices(spark, rows, monkeypatch, filed_catalog, small):
+    """The same edges, and neither shuffle files nor tables of a step stay on the disk."""
+    whole = lineage.build_graph(*filed_catalog, "d", stamp())
+    assert not whole.sliced
+    expected = sorted(rows(whole.edges), key=str)
+    monkeypatch.setattr(session, "SLICE_BYTES", 100)
+    monkeypatch.setattr(lineage, "SMALL_ROWS", small)
+    monkeypatch.setattr(lineage, "materialize_slices", slices_seen := Seen(lineage.materialize_slices))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = lineage.build_graph(*filed_catalog, "d", stamp())
+        assert large.sliced
+        before, aside = shuffle_files(spark), len(session._written)
+        found = large.all_edges()
+        assert not left_shuffled(spark, before)
+        assert len(session._written) == aside + 1
+        assert sorted(rows(found), key=str) == expected
+        assert slices_seen.count["edges"] == len(lineage.EDGE_TYPES) * session.MOST_SLICES
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    nodes = [node.drop("created_at") for _, node in large.rows.node_slices()]
+    assert sorted(map(str, rows(stats.union_all(nodes)))) == sorted(map(str, rows(whole.nodes.drop("created_at"))))
+
+
+class Seen:
+    """Counts the slices that a function is given, by label."""
+
+    def __init__(self, function):
+        self.function, self.count = function, {}
+
+    def __call__(self, slices, label, by):
+        def counted():
+            for each in slices:
+                self.count[label] = self.count.get(label, 0) + 1
+                yield each
+
+        return self.function(counted(), label, by)
+
+
+def test_a_small_graph_is_not_written_aside(spark, filed_catalog):
+    aside = len(session._written)
+    graph = lineage.build_graph(*filed_catalog, "d", stamp())
+    assert graph.all_edges() is graph.edges
+    assert len(session._written) == aside
